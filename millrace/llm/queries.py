@@ -9,6 +9,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .runtime import scratch
+    from .warc import assemble_transactions, read_warc, write_warc
+
+    path = scratch(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    captures = assemble_transactions(read_warc(spark, path, payloads=False))
+    field = lambda name: F.col("metadata.fields")[name]
+    return captures.select(
+        field("pageId").cast("long").alias("page_id"),
+        F.coalesce(F.col("principal.payload_bytes"), field("payloadLength").cast("long")).alias("payload_bytes"),
+        F.col("principal.payload_digest").alias("payload_digest"),
+        F.col("principal.type").alias("record_type"),
+        field("refersToPage").cast("long").alias("refers_to"),
+    )
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,5 +42,26 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op9_packing": op9_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op3_warc": op3_warc,
+    "op8_top_k": op8_top_k,
+    "op9_packing": op9_packing,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
+    "op8_top_k": """
+        WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
