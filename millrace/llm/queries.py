@@ -28,6 +28,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(_table(spark, sf_dir, "documents"))
+
+
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import brown_scores
+
+    return brown_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k
 
@@ -44,6 +56,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_warc": op3_warc,
+    "op4_ngram_join": op4_ngram_join,
+    "op6_brown_lm": op6_brown_lm,
     "op8_top_k": op8_top_k,
     "op9_packing": op9_packing,
 }
