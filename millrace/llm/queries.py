@@ -9,6 +9,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated_pairs
+
+    return contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .line_dedup import dedup_lines
+
+    kept = dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -55,6 +70,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
     "op6_brown_lm": op6_brown_lm,
@@ -62,7 +79,26 @@ QUERIES = {
     "op9_packing": op9_packing,
 }
 
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, w, least(13, len(w)) AS wn FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 8),
+        dp AS (SELECT doc_id, pos, w[pos + 1] AS a, w[pos + 2] AS b, w[pos + 3] AS c, w[pos + 4] AS e, w[pos + 5] AS f
+               FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM d WHERE len(w) >= 5)),
+        ip AS (SELECT item_id, pos, w[pos + 1] AS a, w[pos + 2] AS b, w[pos + 3] AS c, w[pos + 4] AS e, w[pos + 5] AS f
+               FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS pos FROM i)),
+        hits AS (SELECT doc_id, item_id, dp.pos, ip.pos AS ipos FROM dp JOIN ip USING (a, b, c, f)
+                 UNION ALL SELECT doc_id, item_id, dp.pos, ip.pos FROM dp JOIN ip USING (a, b, e, f)),
+        placed AS (SELECT h.*, d.w AS dw, i.w AS iw, wn, CAST(ceil(wn * 0.75) AS INTEGER) AS need, least(pos, ipos, wn - 5) AS before
+                   FROM hits h JOIN d USING (doc_id) JOIN i USING (item_id)),
+        sized AS (SELECT *, greatest(least(before + wn, len(dw) - (pos - before)), least(before + wn, len(iw) - (ipos - before))) AS n FROM placed),
+        same AS (SELECT doc_id, item_id, pos, wn, need, n,
+                        list_transform(range(1, n + 1), lambda j: CASE WHEN dw[pos - before + j] = iw[ipos - before + j] THEN 1 ELSE 0 END) AS same FROM sized),
+        good AS (SELECT * FROM same WHERE n >= wn AND
+                 list_max(list_transform(range(1, n - wn + 2), lambda s: list_sum(list_slice(same, s, s + wn - 1)))) >= need)
+        SELECT doc_id, item_id, CAST(min(pos) AS INTEGER) AS first_word, count(*) AS n_seeds FROM good GROUP BY doc_id, item_id""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
