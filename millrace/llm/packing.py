@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bpe import Encoder
 
@@ -114,7 +115,7 @@ def pack_documents(
     groups = max(1, round(docs.count() / group_docs))
     pieces = tokenised_pieces(docs, id_col, text_col, tokenizer, capacity, end_id, keep_ids)
     group = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)).cast("long")
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long")
 
     def pack(key, frame):
         frame = frame.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")

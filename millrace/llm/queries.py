@@ -55,6 +55,14 @@ def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores, train_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = train_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return toxicity_scores(docs, chain).select("doc_id", "p_quality", "p_toxic", "is_toxic")
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k
 
@@ -75,6 +83,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
     "op6_brown_lm": op6_brown_lm,
+    "op7_toxicity": op7_toxicity,
     "op8_top_k": op8_top_k,
     "op9_packing": op9_packing,
 }
