@@ -1,11 +1,58 @@
-"""The corpus pipeline: stages over `documents`, each by one operator of millrace.llm."""
+"""The corpus pipeline: stages over `documents`, each by one operator of millrace.llm.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept, and returns the columns of documents; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    from millrace.llm.toxicity import toxicity_scores, train_toxicity
+
+    chain = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_scores(docs.select(*COLUMNS), chain).where("not is_toxic").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each component stays; a document all of whose lines were copies goes."""
+    from millrace.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(docs.select(*COLUMNS))
+    return _documents(kept.where("n_removed = 0 or n_removed < n_lines"))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one that gives the group its id.
+
+    Near duplicates share at least 0.8 of their five-word shingles.
+    """
+    from millrace.llm.ngram_join import ngram_components
+
+    groups = ngram_components(docs, n=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(groups, F.col("doc_id") == F.col("_copy"), "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    from millrace.llm.decontaminate import drop_contaminated
+
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 ids."""
     import public_tokenizers
 
     from millrace.llm.packing import pack_documents
@@ -13,7 +60,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_join),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+#: Training, MinHash, components and packing aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -49,6 +49,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import brown_scores
 
@@ -77,15 +83,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_brown_lm": op6_brown_lm,
     "op7_toxicity": op7_toxicity,
     "op8_top_k": op8_top_k,
     "op9_packing": op9_packing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
