@@ -1,0 +1,10 @@
+"""Queries over the test tables, by family, with their oracle SQL."""
+
+from __future__ import annotations
+
+from . import text_queries
+
+_FAMILIES = (text_queries,)
+
+QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
