@@ -1,12 +1,12 @@
 """Identities, fingerprints and ranks as column expressions."""
 
-from __future__ import annotations
-
 import hashlib
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DOMAIN = "millrace/document/v1"
 RANK_DOMAIN = "millrace/rank/v1"
@@ -46,18 +46,23 @@ def short_id(prefix: str, *parts: Column, length: int = 10) -> Column:
     return F.concat(F.lit(prefix + "_"), F.left(F.md5(F.concat_ws("||", F.lit(prefix), *parts)), F.lit(length)))
 
 
-@F.pandas_udf("string")
-def blake2b_rank(c: pd.Series) -> pd.Series:
-    """Keyed BLAKE2b-128 of a string, in hex; null stays null."""
-    return c.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=16, person=b"millrace-rank-v1").hexdigest())
+def _mapped(c: Column, f) -> Column:
+    """An Arrow UDF over strings; null stays null."""
+
+    def go(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else f(v))
+
+    return F.pandas_udf(go, StringType())(c)
+
 
+def blake2b_rank(c: Column) -> Column:
+    """Personalised BLAKE2b-128 of a string, in hex."""
+    return _mapped(c, lambda v: hashlib.blake2b(v.encode(), digest_size=16, person=b"millrace-rank-v1").hexdigest())
 
-@F.pandas_udf("string")
-def nfc_folded(c: pd.Series) -> pd.Series:
-    """NFC, case-folded, white space squeezed; null stays null."""
-    import unicodedata
 
-    return c.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).casefold().split()))
+def nfc_folded(c: Column) -> Column:
+    """NFC, case-folded, white space squeezed."""
+    return _mapped(c, lambda v: " ".join(unicodedata.normalize("NFC", v).casefold().split()))
 
 
 def set_fingerprint(ids: Column) -> Column:
