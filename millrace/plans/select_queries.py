@@ -340,7 +340,7 @@ def pck3(spark, d):
 
 @query("pck4_epoch_order", "SELECT e AS epoch, doc_id, row_number() OVER (PARTITION BY e ORDER BY sha256(concat_ws(chr(31), e, doc_id)), doc_id) AS place FROM documents, range(2) t(e)")
 def pck4(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("epoch"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("epoch"))
     w = Window.partitionBy("epoch").orderBy(F.sha2(F.concat_ws("\x1f", F.col("epoch").cast("string"), F.col("doc_id").cast("string")), 256), "doc_id")
     return rows.select("epoch", "doc_id", F.row_number().over(w).cast("long").alias("place"))
 
