@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import materialise
+
 # Of any 13 aligned words with up to three substitutions, one of
 # the two masks meets five in a row that agree wherever the mask has a 1.
 MASKS = ("11101", "11011")
 SPAN = 5
 BROADCAST_SEEDS = 2_000_000  # rows of (hash, item, position): 64 MB at most
+BROADCAST_HITS = 500_000  # of (item, two positions)
 
 
 def word_hashes(text: Column) -> Column:
@@ -24,11 +27,11 @@ def _seed(h: Column, at: Column, mask: str, number: int) -> Column:
 
 
 def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each position and mask: `keep`, at, seed."""
-    at = F.explode(F.sequence(F.lit(0), F.size("h") - SPAN))
-    placed = rows.where(F.size("h") >= SPAN).select(*keep, at.alias("at"))
-    both = F.explode(F.array(*[_seed(F.col("h"), F.col("at"), m, i) for i, m in enumerate(MASKS)]))
-    return placed.select(*keep, "at", both.alias("seed"))
+    """A row for each position and mask: `keep`, at, mask, seed. `h` goes no further, so that rows stay narrow."""
+    places = F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN))
+    placed = rows.select(*keep, "h", F.explode(places).alias("at"))
+    both = F.posexplode(F.array(*[_seed(F.col("h"), F.col("at"), m, i) for i, m in enumerate(MASKS)]))
+    return placed.select(*keep, "at", both.alias("mask", "seed"))
 
 
 def contaminated_pairs(
@@ -60,13 +63,19 @@ def contaminated_pairs(
     together; other columns are ignored.
     """
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), word_hashes(F.col(f"`{item_text_col}`")).alias("h"))
-    items = items.where(F.size("h") >= max(least_words, SPAN)).withColumn("item_size", F.size("h"))
-    seeds = _seeds(items, ["item_id", "item_size", "h"])
-    seeds = seeds.select("seed", "item_id", F.col("at").alias("item_at"), "item_size", F.col("h").alias("item_h"))
-    words = docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_hashes(F.col(f"`{text_col}`")).alias("h"))
-    hits = _seeds(words, ["doc_id", "h"])
+    items = materialise(items.where(F.size("h") >= max(least_words, SPAN)).withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"]), "items")
+    seeds = _seeds(items, ["item"]).select("seed", "item", F.col("at").alias("item_at"))
     small = seeds.count() <= BROADCAST_SEEDS
-    hits = hits.join(F.broadcast(seeds) if small else seeds, "seed")
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    words = keyed.select(F.xxhash64("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("h"))
+    hits = _seeds(words, ["key"]).join(F.broadcast(seeds) if small else seeds, "seed").select("key", F.struct("item", "mask", "at", "item_at").alias("hit"))
+    hits = materialise(hits.groupBy("key").agg(F.collect_set("hit").alias("hits")), "hits")
+    few = (hits.agg(F.sum(F.size("hits") + 1)).first()[0] or 0) <= BROADCAST_HITS
+    found = keyed.withColumn("key", F.xxhash64("doc_id", "text")).join(F.broadcast(hits) if few else hits, "key")
+    found = found.select("doc_id", word_hashes(F.col("text")).alias("h"), "hits").select("doc_id", "h", F.explode("hits").alias("hit"))
+    ends = items.select("item", "item_id", F.col("h").alias("item_h"), F.size("h").alias("item_size"))
+    hits = found.select("doc_id", "h", "hit.*").join(F.broadcast(ends) if small else ends, "item")
     w = F.least(F.lit(window), F.col("item_size"))
     need = F.ceil(w * F.lit(share)).cast("int")
     # words of both from `before` words ahead of the hit up to a window's length after it
