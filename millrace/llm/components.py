@@ -11,66 +11,87 @@ from .runtime import connected_components, discard, materialise
 
 
 def components_from_buckets(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2
-) -> tuple[DataFrame, DataFrame]:
-    """(labels, links): components of the links that lie within buckets.
-
-    `shared` has rows (bucket, id); any two linked ids meet in some bucket.
-    `verify` takes pairs (a, b) and returns those that are linked. In each of the
-    first rounds every id is compared with one pivot only, the one that it shares
-    most buckets with, and verified links join components; so a bucket of n near
-    copies costs n comparisons, not n * n. The last step compares all remaining
-    pairs of a bucket that lie in different components, which is what exactness
-    needs and, after the rounds, few. Returns (id, component) of ids with links,
-    and the verified links (a, b); every id's component is the one that all links
-    within the buckets give.
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true"
+) -> DataFrame:
+    """(id, component) of ids with links: components of the links that lie within buckets.
+
+    `shared` has rows (bucket, id, n, u): any two linked ids meet in some bucket; n
+    is an id's size and u what it has for itself, and `may`, a condition on n, u,
+    other_n and other_u, holds for every pair that can be linked. `verify` takes
+    pairs (a, b) and returns those that are linked. First every id is compared with
+    one pivot, the id of its bucket with least for itself, and ids without a link
+    with a second pivot; so a bucket of n near copies costs n comparisons, not
+    n * n. The last step compares all remaining pairs of a bucket that may be
+    linked and lie in different components, which is what exactness needs and, by
+    then, few.
     """
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    tried: DataFrame | None = None
-    old: list[DataFrame] = []
-    for r in range(rounds + 1):
+    least_own = F.struct((F.col("u") / (F.col("n") + 1)).alias("o"), F.col("id").alias("pivot"), F.col("n").alias("other_n"), F.col("u").alias("other_u"))
+    by_hash = F.struct(F.xxhash64("id", F.lit(1)).alias("o"), F.col("id").alias("pivot"), F.col("n").alias("other_n"), F.col("u").alias("other_u"))
+    tried, links = [], []
+    for order in (least_own, by_hash):
         rows = shared
-        if labels is None:
-            rows = rows.withColumn("component", F.col("id"))
-        else:
-            rows = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = rows.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), (F.min("id") if r % 2 == 0 else F.max("id")).alias("pivot")
-        )
-        mixed = mixed.where("low <> high").select("bucket", "pivot")
-        if r < rounds:
-            seen = rows.join(mixed, "bucket").where("id <> pivot")
-            if labels is not None:
-                of_pivot = labels.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
-                seen = seen.join(of_pivot, "pivot", "left").where("component <> coalesce(pivot_component, pivot)")
-            pairs = seen.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n"))
-            best = pairs.groupBy("id").agg(F.max(F.struct("n", "pivot")).alias("m"))
-            pairs = best.select(F.least("id", F.col("m.pivot")).alias("a"), F.greatest("id", F.col("m.pivot")).alias("b")).distinct()
-        else:
-            left = rows.join(mixed.select("bucket"), "bucket", "left_semi")
-            right = left.select("bucket", F.col("id").alias("b"), F.col("component").alias("component_b"))
-            pairs = left.join(right, "bucket").where("id < b and component <> component_b").select(F.col("id").alias("a"), "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        for found in links:
+            ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            rows = rows.join(ids, "id", "left_anti")
+        pivots = shared.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.pivot", "p.other_n", "p.other_u")
+        seen = rows.join(pivots, "bucket").where("id <> pivot").where(may)
+        best = seen.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("k")).groupBy("id").agg(F.max(F.struct("k", "pivot")).alias("m"))
+        pairs = best.select(F.least("id", F.col("m.pivot")).alias("a"), F.greatest("id", F.col("m.pivot")).alias("b")).distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            if r < rounds:  # no bucket spans two components, or only through pairs that were tried
-                old.append(pairs)
-                if r == 0:
-                    break
-                continue
-            old.append(pairs)
-            break
-        found = materialise(verify(pairs), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        new = materialise(connected_components(links), "labels")
-        old += [pairs] + ([labels] if labels is not None else [])
-        labels = new
-    discard(*old)
-    if links is None:
-        spark = shared.sparkSession
-        kind = dict(shared.dtypes)["id"]
-        return spark.createDataFrame([], f"id {kind}, component {kind}"), spark.createDataFrame([], f"a {kind}, b {kind}")
-    return labels, links
+        tried.append(pairs)
+        links.append(materialise(verify(pairs), "links"))
+    every = links[0].unionByName(links[1])
+    labels = materialise(connected_components(every), "labels")
+    rows = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    span = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    rows = materialise(rows.join(span, "bucket"), "mixed")
+    left = rows.select("bucket", F.col("id").alias("a"), "n", "u", "component").alias("l")
+    right = rows.select("bucket", F.col("id").alias("b"), F.col("n").alias("other_n"), F.col("u").alias("other_u"), F.col("component").alias("other_component")).alias("r")
+    pairs = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & F.expr(f"a < b and component <> other_component and {may}")).select("a", "b").distinct()
+    for before in tried:
+        pairs = pairs.join(before, ["a", "b"], "left_anti")
+    pairs = materialise(pairs, "pairs")
+    last = materialise(verify(pairs), "links")
+    discard(*tried, pairs, rows)
+    return merged(labels, last)
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links; stars stay as they are if there is none."""
+    if links.isEmpty():
+        return labels
+    return materialise(connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)), "labels")
+
+
+def linkable(shared: DataFrame, sizes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, n, u) of the rows of `shared` that may have a link; u counts a set's own n-grams.
+
+    `sizes` has (id, n), `grams` (id, gram) of all ids of `shared`; links are Jaccard
+    similarities of at least `percent`. An n-gram that no other candidate has is in no overlap, so a set of n n-grams, u
+    of them its own, shares n - u at most, of a union of at least the other's size
+    plus u. Near copies that differ too much from all others go here, before any
+    pair is made; what goes makes further n-grams unique, so this is done twice.
+    """
+    kept = shared.select("bucket", "id").join(sizes, "id")
+    for _ in range(2):
+        ids = kept.select("id").distinct()
+        own = grams.join(ids, "id", "left_semi").groupBy("gram").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z")
+        own = materialise(own.groupBy("id").agg(F.count(F.lit(1)).alias("u")), "own")
+        rows = kept.select("bucket", "id", "n").join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0).cast("long")))
+        rows = rows.where(f"100 * (n - u) >= {percent} * n")
+        ends = rows.groupBy("bucket").agg(F.min(F.col("n")).alias("least"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+        rows = rows.join(ends.select("bucket", "least"), "bucket").where(f"100 * (n - u) >= {percent} * (least + u)").drop("least")
+        ends = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+        kept = materialise(rows.join(ends.select("bucket"), "bucket"), "kept")
+    return kept
+
+
+#: What two sets can share at most: neither can share its own n-grams.
+_MOST = "least(n - u, other_n - other_u)"
+
+
+def may_link(percent: int) -> str:
+    """The condition of `components_from_buckets` for sets that `linkable` has left."""
+    return f"100 * {_MOST} >= {percent} * (n + other_n - {_MOST})"

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mixed
-from .components import components_from_buckets
-from .runtime import connected_components, discard, materialise
+from .components import components_from_buckets, linkable, may_link, merged
+from .runtime import materialise
 from .words import shingle_hashes, text_chunks, word_hashes
 
 SLACK = 2  # fragments beyond the differences that a linked pair may have
@@ -133,6 +133,34 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(go, "id long, n_shingles long, part int, grams array<long>")
 
 
+def _runs(batches):
+    """Rows of sorted (bucket, id) whose bucket the row before or behind shares, with another id."""
+    held = None  # last row so far, and whether it is out already
+
+    def table(bucket, ident):
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ident)], ["bucket", "id"])
+
+    for batch in batches:
+        bucket, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if held is not None:
+            bucket, ident = np.append(held[0], bucket), np.append(held[1], ident)
+        fresh = np.ones(len(bucket), bool)
+        fresh[1:] = (bucket[1:] != bucket[:-1]) | (ident[1:] != ident[:-1])
+        bucket, ident = bucket[fresh], ident[fresh]
+        same = bucket[1:] == bucket[:-1]
+        keep = np.zeros(len(bucket), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if held is not None and held[2]:
+            keep[0] = False
+            if len(keep) == 1:
+                continue
+        out = bool(keep[-1]) or (held is not None and held[2] and len(bucket) == 1)
+        if keep.any():
+            yield table(bucket[keep], ident[keep])
+        held = (bucket[-1], ident[-1], out)
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -161,27 +189,24 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     twice = keyed.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     twice = keyed.join(twice, "id").where("node <> a").select("a", F.col("node").alias("b"))
 
-    signed = materialise(_signatures(plain.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), n, percent), "signatures")
-    ends = signed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
-    shared = materialise(signed.join(ends, "bucket"), "shared")
-    discard(signed)
+    signed = _signatures(plain.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), n, percent)
+    shared = materialise(signed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_runs, "bucket long, id long"), "shared")
 
     nodes = shared.select(F.col("id").alias("node")).distinct()
     wanted = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("id")).distinct()
     parts = materialise(_fragments(plain.join(wanted, "id", "left_semi"), n), "fragments").dropDuplicates(["id", "part"])
     sizes = classes.groupBy(F.col("node").alias("id")).agg(F.max("n_shingles").alias("n"))
+    shared = linkable(shared, sizes, parts.select("id", F.explode("grams").alias("gram")), percent)
+    parts = parts.join(shared.select("id").distinct(), "id", "left_semi")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        fit = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        fit = fit.where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb")
-        left = parts.select(F.col("id").alias("a"), "part", F.col("grams").alias("ga"))
-        right = parts.select(F.col("id").alias("b"), "part", F.col("grams").alias("gb"))
-        partial = fit.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
+        left = parts.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), "part", F.col("grams").alias("ga"))
+        right = parts.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), "part", F.col("grams").alias("gb"))
+        partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
         total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return total.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
-    _, links = components_from_buckets(shared, verify)
-    labels = materialise(connected_components(links.unionByName(twice)), "labels").select(F.col("id").alias("node"), "component")
+    labels = merged(components_from_buckets(shared, verify, may_link(percent)), twice).select(F.col("id").alias("node"), "component")
     named = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named, "named")
     least = named.where("id is not null and n_shingles > 0").groupBy("component").agg(F.min("id").alias("least"))
