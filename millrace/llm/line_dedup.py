@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components_from_buckets
+from .components import components_from_buckets, linkable, may_link
 from .runtime import materialise
 
 SHINGLE = 8
 BANDS, ROWS = 8, 3
-BROADCAST_ROWS = 1_000_000  # rows of at most a few longs each
+BROADCAST_ENTRIES = 2_000_000  # of a long or two each: 64 MB at most
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast a materialised table if it is counted to be small; a shuffled join otherwise."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """Broadcast a materialised table if its rows, and entries of its lists, are counted to be few; a
+    shuffled join otherwise."""
+    entries = df.agg(F.sum(F.size(lists) + 1 if lists else F.lit(1))).first()[0] or 0
+    return F.broadcast(df) if entries <= BROADCAST_ENTRIES else df
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,8 +50,10 @@ def minhash_signatures(lines: DataFrame) -> DataFrame:
     """
     rows = lines.select("id", _wide(F.col("line")).alias("wide"))
     rows = rows.select("id", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at"))
-    rows = rows.select("id", _shingle(F.col("wide"), F.col("at")).alias("x"))
-    return rows.groupBy("id").agg(*[F.min(F.col("x").bitwiseXOR(F.xxhash64(F.lit(f"order {j}")))).alias(f"m{j}") for j in range(BANDS * ROWS)])
+    # 32 bits do for candidates
+    rows = rows.select("id", F.hash(F.substring("wide", 2 * F.col("at") + 1, F.lit(2 * SHINGLE))).alias("x"))
+    order = lambda j: F.hash(F.lit(f"order {j}"))
+    return rows.groupBy("id").agg(*[F.min(F.col("x").bitwiseXOR(order(j))).alias(f"m{j}") for j in range(BANDS * ROWS)])
 
 
 def line_buckets(signatures: DataFrame) -> DataFrame:
@@ -73,10 +77,11 @@ def line_classes(lines: DataFrame, similarity: float) -> DataFrame:
         right = grams.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
         sized = pairs.join(left, "a").join(right, "b")
         common = sized.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("c"), (F.size("ga") + F.size("gb")).alias("n"))
-        return common.where(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b")
+        return common.where(100 * F.col("c") >= round(100 * similarity) * (F.col("n") - F.col("c"))).select("a", "b")
 
-    labels, _ = components_from_buckets(shared, verify)
-    return labels
+    percent = round(100 * similarity)
+    shared = linkable(shared, grams.select("id", F.size("grams").alias("n")), grams.select("id", F.explode("grams").alias("gram")), percent)
+    return components_from_buckets(shared, verify, may_link(percent))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -95,7 +100,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are replaced. An empty table gives no rows.
     """
     lines = _lines(docs, id_col, text_col)
-    labels = materialise(line_classes(lines, similarity), "labels")
+    labels = line_classes(lines, similarity)
     found = lines.select("key", "doc_id", "pos", "id")
     found = found.join(_bounded(labels), "id", "left").select("key", "doc_id", "pos", F.coalesce("component", "id").alias("component"))
     found = materialise(found, "lines")
@@ -108,7 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`").cast("string")
     pieces = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    joined = docs.withColumn("_key", F.xxhash64(F.col(f"`{id_col}`"), text)).join(_bounded(drops), "_key", "left")
+    joined = docs.withColumn("_key", F.xxhash64(F.col(f"`{id_col}`"), text)).join(_bounded(drops, "_drop"), "_key", "left")
     removed = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop"))
     return joined.withColumns(
         {
