@@ -16,8 +16,8 @@ from .words import text_chunks
 GRAM = 32  # bytes of the string that an anchor is chosen by
 _POS_BITS = 26
 _SEGMENT = 1 << 22
-BROADCAST_ROWS = 500_000
-CROWD = 1024  # distinct surroundings of one anchor beyond which its windows are compared by hash
+BROADCAST_ENTRIES = 100_000  # of some 50 bytes each
+CROWD = 4096  # distinct surroundings of one anchor beyond which its windows are compared by hash
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -201,8 +201,10 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(go, "key long, pos long, low long, high long, h long, ctx long")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, lists: str) -> DataFrame:
+    """Broadcast a materialised table whose lists are counted to hold few entries; else join by shuffle."""
+    entries = df.agg(F.sum(F.size(lists) + 1)).first()[0] or 0
+    return F.broadcast(df) if entries <= BROADCAST_ENTRIES else df
 
 
 def repeated_spans(texts: DataFrame, length: int, block_bytes: int = 2 << 20) -> DataFrame:
@@ -215,17 +217,14 @@ def repeated_spans(texts: DataFrame, length: int, block_bytes: int = 2 << 20) ->
     may match.
     """
     rows = materialise(_anchor_rows(texts, length), "anchors")
-    by_anchor = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1")
-    by_anchor = materialise(by_anchor, "repeated-anchors")
-    whole = by_anchor.where("c0 = c1").select("h", F.col("c0").alias("ctx"))
-    mixed_h = by_anchor.where("c0 <> c1").select("h")
+    # equal surroundings meet before anything is dealt by anchor alone
     place = F.struct("key", "pos", "low", "high")
-    classes = rows.join(mixed_h, "h").groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
+    classes = rows.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
     classes = materialise(classes.select("h", "ctx", "n", "at.*"), "surroundings")
-    whole = whole.unionByName(classes.where("n > 1").select("h", "ctx"))
+    whole = classes.where("n > 1").select("h", "ctx")
 
-    crowds = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("high") - F.col("low") + length).alias("bytes"))
-    crowds = materialise(crowds.select("h", (F.col("n") > CROWD).alias("crowded"), "bytes"), "crowds")
+    crowds = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("high") - F.col("low") + length).alias("bytes")).where("k > 1")
+    crowds = materialise(crowds.select("h", (F.col("k") > CROWD).alias("crowded"), "bytes"), "crowds")
     total = crowds.where("not crowded").agg(F.sum("bytes").alias("b")).first()["b"] or 0
     blocks = max(1, -(-total // block_bytes))
     wanted = classes.join(crowds.select("h", "crowded"), "h")
@@ -254,7 +253,7 @@ def repeated_spans(texts: DataFrame, length: int, block_bytes: int = 2 << 20) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
 
-    cuts = texts.join(_bounded(wanted), "key").where(F.col("id").eqNullSafe(F.col("rep"))).select("text", "key", "list")
+    cuts = texts.join(_bounded(wanted, "list"), "key").where(F.col("id").eqNullSafe(F.col("rep"))).select("text", "key", "list")
     cuts = cuts.mapInArrow(cut, "h long, ctx long, n long, low long, high long, bytes binary, crowded boolean")
     cuts = materialise(cuts, "cuts")
     once = cuts.where("not crowded").withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
@@ -321,7 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = _texts(docs, id_col, text_col)
     spans = materialise(repeated_spans(texts, length), "spans")
-    joined = texts.join(_bounded(spans), "key", "left").select("id", "text", "spans")
+    joined = texts.join(_bounded(spans, "spans"), "key", "left").select("id", "text", "spans")
     kind = dict(texts.dtypes)["id"]
 
     def cut(batches):
