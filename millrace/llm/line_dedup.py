@@ -10,6 +10,7 @@ from .runtime import materialise
 
 SHINGLE = 8
 BANDS, ROWS = 8, 3
+CROWD = 64  # lines of a bucket beyond which lines with too many shingles of their own go first
 BROADCAST_ENTRIES = 2_000_000  # of a long or two each: 64 MB at most
 
 
@@ -80,7 +81,14 @@ def line_classes(lines: DataFrame, similarity: float) -> DataFrame:
         return common.where(100 * F.col("c") >= round(100 * similarity) * (F.col("n") - F.col("c"))).select("a", "b")
 
     percent = round(100 * similarity)
-    shared = linkable(shared, grams.select("id", F.size("grams").alias("n")), grams.select("id", F.explode("grams").alias("gram")), percent)
+    sizes = grams.select("id", F.size("grams").cast("long").alias("n"))
+    crowded = materialise(shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("bucket"), "crowded")
+    few = shared.join(crowded, "bucket", "left_anti").join(sizes, "id").select("bucket", "id", "n", F.lit(0).cast("long").alias("u"))
+    many = materialise(shared.join(crowded, "bucket", "left_semi").select("bucket", "id"), "many")
+    if not many.isEmpty():  # only there do shingles of their own spare many pairs
+        own = grams.join(many.select("id").distinct(), "id", "left_semi").select("id", F.explode("grams").alias("gram"))
+        few = few.unionByName(linkable(many, sizes, own, percent))
+    shared = materialise(few, "linkable")
     return components_from_buckets(shared, verify, may_link(percent))
 
 
