@@ -161,19 +161,20 @@ def unique_runs(pages: list[list[str]], least: int) -> list[list[str]]:
     run that repeats across pages shows as neighbours of different pages with a
     common prefix of `least` words; runs within one block only are compared, as
     blocks end with separators of their own. Blocks that are shorter than `least`
-    are compared whole.
+    are compared whole, by their text.
     """
     words: dict[str, int] = {}
-    stream, page_of, block_of = [], [], []
+    stream, page_of = [], []
+    short: dict[str, list[int]] = {}  # first and last page of each short block
     for p, blocks in enumerate(pages):
-        for b, text in enumerate(blocks):
+        for text in blocks:
+            if text.count(" ") + 1 < least:
+                short.setdefault(text, [p, p])[1] = p
             for w in text.split(" "):
                 stream.append(words.setdefault(w, len(words)))
                 page_of.append(p)
-                block_of.append(b)
             stream.append(-1)
             page_of.append(p)
-            block_of.append(b)
     if not stream:
         return pages
     s = np.array(stream, np.int64)
@@ -183,7 +184,6 @@ def unique_runs(pages: list[list[str]], least: int) -> list[list[str]]:
     s[ends] = np.arange(len(ends))
     order = suffix_array(s)
     nearest_end = ends[np.searchsorted(ends, np.arange(len(s)))]
-    begin = np.concatenate([[0], ends[:-1] + 1])[np.searchsorted(ends, np.arange(len(s)))]
     # how far each suffix agrees with the one before it in the order, up to `least` words
     a, b = order[:-1], order[1:]
     room = np.minimum(nearest_end[a] - a, nearest_end[b] - b)
@@ -196,9 +196,7 @@ def unique_runs(pages: list[list[str]], least: int) -> list[list[str]]:
         same = s[a[i] + k] == s[b[i] + k]
         common[i[same]] += 1
         alive[i[~same]] = False
-    # a block shorter than `least` counts if it is one whole block on both pages
-    whole = lambda x: (x == begin[x]) & (common == nearest_end[x] - x) & (common > 0)
-    joined = (common >= least) | (whole(a) & whole(b))
+    joined = common >= least
     covered = np.zeros(len(s) + 1, np.int64)
     group = np.concatenate([[0], np.cumsum(~joined)])
     low, high = np.full(group[-1] + 1, len(pages)), np.full(group[-1] + 1, -1)
@@ -217,12 +215,40 @@ def unique_runs(pages: list[list[str]], least: int) -> list[list[str]]:
             w = text.split(" ")
             left = [x for x, h in zip(w, hit[pos : pos + len(w)]) if not h]
             pos += len(w) + 1
-            if left:
+            if left and not (len(w) < least and short[text][0] < short[text][1]):
                 kept.append(" ".join(left))
         out.append(kept)
     return out
 
 
+def shared_places(pages: DataFrame, least: int) -> DataFrame:
+    """(row, places array<struct<block int, at int>>): where runs begin that occur on distinct pages of the host.
+
+    The same runs as `unique_runs` finds, for hosts of any size: each window of
+    `least` words within a block, and each shorter block, is one row with the hash
+    of host and words, and what isn't confined to one page meets its places again.
+    """
+    blocks = pages.select("host", "row", F.posexplode("blocks").alias("block", "text")).withColumn("words", F.split("text", " "))
+    windows = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - least)),
+        lambda i: F.unhex(F.md5(F.concat_ws("\n", "host", F.array_join(F.slice("words", i + 1, least), " ")).cast("binary"))),
+    )
+    windows = blocks.select("row", "block", F.posexplode(windows).alias("at", "w"))
+    spread = windows.groupBy("w").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("w")
+    return windows.join(spread, "w").groupBy("row").agg(F.collect_list(F.struct("block", "at")).alias("places"))
+
+
+def without_places(blocks: list[str], places: list[tuple[int, int]], least: int) -> list[str]:
+    """Blocks less the `least` words from each place on."""
+    words = [text.split(" ") for text in blocks]
+    gone = [bytearray(len(w)) for w in words]
+    for block, at in places:
+        n = min(least, len(words[block]) - at)
+        gone[block][at : at + n] = b"\1" * n
+    left = [" ".join(x for x, g in zip(w, gone_) if not g) for w, gone_ in zip(words, gone)]
+    return [x for x in left if x]
+
+
 def main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_words: int = 8, group_pages: int = 256
 ) -> DataFrame:
@@ -234,8 +260,9 @@ def main_text(
     blocks are the text. The blocks of other pages go through the host suffix
     array: the word streams of a host's pages are suffix-sorted together, and runs
     of at least `least_words` words, or whole blocks, that occur on distinct pages
-    are removed; unique runs stay. A host with more than `group_pages` such pages
-    is dealt by page hash to groups of about that size.
+    are removed; unique runs stay. The pages of a host with more than `group_pages`
+    of them don't meet in one task: their runs are compared by hash, over all pages
+    of the host, with the same result.
 
     Null html gives an empty text. A null url is a host of its own. Ids may be null
     or repeat; rows are extracted one by one. Other columns are ignored. An empty
@@ -271,17 +298,27 @@ def main_text(
         return go
 
     closed = plain.mapInArrow(extract(False), f"page_id {kind}, url string, text string, n_chars long")
-    unsure = materialise(plain.mapInArrow(extract(True), f"page_id {kind}, url string, blocks array<string>"), "open-pages")
+    unsure = materialise(plain.mapInArrow(extract(True), f"page_id {kind}, url string, blocks array<string>").withColumn("row", F.monotonically_increasing_id()), "open-pages")
     host = F.coalesce(F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     unsure = unsure.withColumn("host", host)
     if unsure.isEmpty():
         return closed
-    sizes = unsure.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / group_pages)).alias("groups"))
-    dealt = unsure.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("url", "page_id"), F.col("groups")))
+    large = unsure.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_pages).select("host")
+    schema = f"page_id {kind}, url string, text string, n_chars long"
 
-    def solve(key, table):
-        kept = unique_runs(table["blocks"].to_pylist(), least_words)
+    def texts_of(ids, urls, kept):
         texts = ["\n".join(x) for x in kept]
-        return pa.table([table["page_id"], table["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        return [ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
+
+    def solve(key, table):
+        return pa.table(*texts_of(table["page_id"], table["url"], unique_runs(table["blocks"].to_pylist(), least_words)))
+
+    def cut(batches):
+        for batch in batches:
+            kept = [without_places(b, [(x["block"], x["at"]) for x in p or []], least_words) for b, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(*texts_of(batch.column(0), batch.column(1), kept))
 
-    return closed.unionByName(dealt.groupBy("host", "part").applyInArrow(solve, f"page_id {kind}, url string, text string, n_chars long"))
+    small = unsure.join(large, "host", "left_anti").groupBy("host").applyInArrow(solve, schema)
+    many = unsure.join(large, "host", "left_semi")
+    many = many.join(shared_places(many, least_words), "row", "left").select("page_id", "url", "blocks", "places").mapInArrow(cut, schema)
+    return closed.unionByName(small).unionByName(many)

@@ -389,6 +389,39 @@ def test_html(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_large_host(spark):
+    """What repeats on few pages of a host goes, whether its pages are solved together or compared by hash."""
+    from millrace.llm.html import main_text, unique_runs
+
+    rnd = random.Random(3)
+    pages = []
+    for i in range(400):
+        blocks = [" ".join(f"{k}{i}x{rnd.randrange(1000)}" for k in range(rnd.randint(2, 20))), f"own{i} Home"]
+        blocks += ["rare banner that only five pages of this big site do show at all"] * (i % 80 == 7) + ["Home"] * (i % 100 == 1) + ["Back Home", "Home"] * (i % 100 == 2)
+        blocks += ["said twice here and nowhere else on the whole wide site"] * (2 * (i == 9)) + [f"lead{i} rare banner that only five pages of this tail{i}"] * (i == 50)
+        pages.append(blocks)
+    seen, expected = collections.defaultdict(set), []
+    runs = lambda w: [(j, tuple(w[j : j + 8])) for j in range(max(1, len(w) - 7))]
+    for i, blocks in enumerate(pages):
+        for b in blocks:
+            for _, r in runs(b.split(" ")):
+                seen[r].add(i)
+    for blocks in pages:
+        kept = []
+        for b in blocks:
+            w = b.split(" ")
+            gone = {j + k for j, r in runs(w) if len(seen[r]) > 1 for k in range(8)}
+            kept.append(" ".join(x for j, x in enumerate(w) if j not in gone))
+        expected.append([x for x in kept if x])
+    assert unique_runs(pages, 8) == expected
+    assert not any("rare" in x or x in ("Home", "Back Home") for p in expected for x in p)
+    rows = [(i, f"http://{h}/{i}", "".join(f"<div>{b}</div>" for b in blocks)) for h in ("big", "other") for i, blocks in enumerate(pages)]
+    rows.append((0, "http://third/", "<div>Home</div>"))
+    for group_pages in (256, 1000):
+        got = collections.Counter((r["url"], r["text"]) for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), group_pages=group_pages).collect())
+        assert got == collections.Counter([(f"http://{h}/{i}", "\n".join(e)) for h in ("big", "other") for i, e in enumerate(expected)] + [("http://third/", "Home")])
+
+
 # ---- pipeline
 
 
