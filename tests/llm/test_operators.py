@@ -232,6 +232,54 @@ def test_brown_scores(spark):
     assert brown_scores(docs_frame(spark, []), frequent=15, tails=16).count() == 0
 
 
+def test_rare_words_have_classes_of_their_own(spark):
+    """Words beyond the core that end alike are told apart by their contexts, whether sent to the tasks or joined."""
+    from millrace.llm.lm import best_classes, brown_scores
+
+    rnd = random.Random(6)
+    some = lambda k: f"c{k}" if rnd.random() < 0.2 else f"{k}{rnd.randrange(30)}zz"
+    pair = lambda: f"{some('a')} x {some('b')} y"
+    rows = [(i, " ".join(pair() for _ in range(20))) for i in range(150)]
+    scores = []
+    for table in (1 << 17, 20):
+        got = brown_scores(docs_frame(spark, rows), table=table, frequent=4, tails=64, classes=6).collect()
+        scores.append(sorted((r["doc_id"], round(r["score"], 6)) for r in got))
+    assert scores[0] == scores[1]
+    held = [r for r in got if r["held_out"]]
+    # after x and y the class is certain, and its words are half as many
+    assert sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held) > -0.9
+
+    # each move against the whole likelihood, counted anew
+    k = 4
+    stream = np.array([0] + [rnd.randrange(1, 9) for _ in range(400)])
+    stream[50] = stream[51] = stream[52] = 8
+    label = np.array([0, 1, 2, 3, 1, 2, 3, 1, 2])
+    f = lambda x: sum(v * math.log(v) for v in x.ravel() if v)
+
+    def tables(label):
+        t = np.zeros((k, k))
+        np.add.at(t, (label[stream[:-1]], label[stream[1:]]), 1)
+        return t
+
+    def value(label):
+        t = tables(label)
+        return f(t) - f(t.sum(0)) - f(t.sum(1))
+
+    for w in range(1, 9):
+        seen = collections.Counter()
+        for a, b in zip(stream[:-1], stream[1:]):
+            if a == b == w:
+                seen[2 * k] += 1
+            elif a == w:
+                seen[int(label[b])] += 1
+            elif b == w:
+                seen[k + int(label[a])] += 1
+        code, n = map(np.array, zip(*sorted(seen.items())))
+        best = best_classes(np.zeros(len(code), np.int64), code, n, label[w : w + 1], tables(label))[0]
+        moved = [value(np.where(np.arange(9) == w, b, label)) for b in range(1, k)]
+        assert abs(moved[best - 1] - max(moved)) < 1e-6
+
+
 def test_probabilities_sum_to_one():
     from millrace.llm.lm import BrownModel, exchange_clustering
 
