@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -284,21 +285,70 @@ def sel23(spark, d):
     return a.exceptAll(b).union(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("differences"))
 
 
+def share_search(start: dict[str, int], caps: dict[str, int], amounts, strides=(128, 32, 8, 1), ahead: int = 400) -> dict[str, int]:
+    """Prefix lengths whose token shares come nearest to equal, by exchange of `stride` rows between two groups.
+
+    Lengths keep their total. At each stride the exchange that lowers the squared
+    share error most is made, until none does. Where `ahead` exchanges at the first
+    stride wouldn't cross all rows, larger strides, by four, come before it.
+    `amounts(wanted)` gives the running sums of all (group, length) pairs in `wanted`.
+    """
+    while strides[0] * ahead < sum(start.values()):
+        strides = (4 * strides[0], *strides)
+    groups, counts, known = sorted(start), dict(start), {}
+
+    def loss(ns):
+        total = sum(known[g, ns[g]] for g in groups)
+        return sum((known[g, ns[g]] / total - 1 / len(groups)) ** 2 for g in groups) if total else 0.0
+
+    for stride in strides:
+        while True:
+            # each group's next lengths, some exchanges ahead, are fetched at once
+            near = {(g, counts[g] + k * stride) for g in groups for k in (-1, 0, 1)}
+            if any(0 <= n <= caps[g] and (g, n) not in known for g, n in near):
+                near = {(g, counts[g] + k * stride) for g in groups for k in range(-ahead, ahead + 1)}
+                known |= amounts({(g, n) for g, n in near if 0 <= n <= caps[g] and (g, n) not in known})
+            best, choice = loss(counts), None
+            for i in groups:
+                for j in groups:
+                    if i == j or counts[i] < stride or counts[j] + stride > caps[j]:
+                        continue
+                    trial = counts | {i: counts[i] - stride, j: counts[j] + stride}
+                    score = loss(trial)
+                    if score < best - 1e-16:
+                        best, choice = score, trial
+            if choice is None:
+                break
+            counts = choice
+    return counts
+
+
 @query("sel24_prefix_search")
 def sel24(spark, d):
-    """Lengths of four prefixes, one for each language, whose token shares come nearest to equal.
+    """Lengths of the languages' prefixes, half of all rows together, whose token shares come nearest to equal.
 
-    Windows give each language's running sums; the driver gets them at the strides
-    of the coarsest search only, at most 64 numbers a language.
+    Starts from equal lengths as far as languages have the rows, and exchanges rows
+    between languages at strides 128, 32, 8 and 1. Windows give each language's
+    running sums; the driver fetches those that a stride's next exchanges can reach,
+    at most 801 numbers a language at once. Rows without a language take no part.
     """
     w = Window.partitionBy("lang").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = candidates(spark, d).withColumn("n", F.row_number().over(w)).withColumn("running", F.sum("tokens").over(w)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("lang")))
-    stride = F.greatest(F.lit(1), F.floor(F.col("all") / 64)).cast("int")
-    steps = rows.where(F.col("n") % stride == 0).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "running"))).alias("s")).orderBy("lang").collect()
-    sums = {r["lang"]: [(x["n"], x["running"]) for x in r["s"]] for r in steps}
-    goal = min((s[-1][1] for s in sums.values()), default=0) / 2
-    best = [(k, min(s, key=lambda x: (abs(x[1] - goal), x[0]))) for k, s in sums.items()]
-    return spark.createDataFrame([(k, int(n), int(t)) for k, (n, t) in best], "lang string, docs long, tokens long")
+    rows = candidates(spark, d).select("lang", F.row_number().over(w).alias("n"), F.sum("tokens").over(w).alias("running"))
+    rows = rows.where("lang is not null").persist(StorageLevel.DISK_ONLY)
+    caps = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.max("n").alias("n")).collect()}
+    goal, start = sum(caps.values()) // 2, {g: 0 for g in caps}
+    for left, g in zip(range(len(caps), 0, -1), sorted(caps, key=lambda g: (caps[g], g))):
+        start[g] = min(caps[g], (goal - sum(start.values())) // left)
+
+    def amounts(wanted):
+        at = spark.createDataFrame(sorted(wanted), "lang string, n int")
+        found = {(r["lang"], r["n"]): r["running"] for r in rows.join(F.broadcast(at), ["lang", "n"]).collect()}
+        return {(g, n): 0 for g, n in wanted if n == 0} | found
+
+    chosen = share_search(start, caps, amounts)
+    sums = amounts(set(chosen.items()))
+    rows.unpersist()
+    return spark.createDataFrame([(g, n, int(sums[g, n])) for g, n in sorted(chosen.items())], "lang string, docs long, tokens long")
 
 
 # ---- tokens, packing, windows

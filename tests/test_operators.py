@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.operators import dedup as D
@@ -57,3 +59,35 @@ def test_shards(spark):
     assert sorted(map(tuple, shards.from_shards(s, 4).collect())) == [(i, i % 7) for i in range(10)]
     m = shards.manifest(s, 4).first()
     assert (m["shards"], m["tokens"], m["whole"]) == (3, 10, True)
+
+
+def test_prefix_search(spark, tmp_path):
+    """Against the same search over whole arrays, and against all exchanges of one row; groups of uneven size and lengths."""
+    from millrace.plans import select_queries as Q
+
+    d = str(tmp_path)
+    rnd = random.Random(8)
+    rows = [(i, " ".join(["w"] * rnd.randint(1, {"en": 90, "de": 20, "fr": 40}[g])), g, "s", 0) for i, g in enumerate(["en"] * 700 + ["de"] * 400 + ["fr"] * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    sums = {}
+    for r in sorted(Q.candidates(spark, d).collect(), key=lambda r: (r["rank"], r["doc_id"])):
+        s = sums.setdefault(r["lang"], [0])
+        s.append(s[-1] + r["tokens"])
+    got = {r["lang"]: (r["docs"], r["tokens"]) for r in Q.QUERIES["sel24_prefix_search"](spark, d).collect()}
+    assert all(sums[g][n] == t for g, (n, t) in got.items()) and sum(n for n, _ in got.values()) == 700
+
+    def loss(ns):
+        amounts = [sums[g][n] for g, n in ns.items()]
+        return sum((a / sum(amounts) - 1 / 3) ** 2 for a in amounts)
+
+    # the search over whole arrays
+    counts = {"fr": 233, "de": 233, "en": 234}
+    for stride in (128, 32, 8, 1):
+        for _ in range(400):
+            trials = [counts | {i: counts[i] - stride, j: counts[j] + stride} for i in sorted(sums) for j in sorted(sums) if i != j and counts[i] >= stride and counts[j] + stride < len(sums[j])]
+            best = min(trials, key=loss, default=counts)
+            if loss(best) >= loss(counts) - 1e-16:
+                break
+            counts = best
+    assert {g: n for g, (n, _) in got.items()} == counts
