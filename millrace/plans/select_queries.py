@@ -207,26 +207,38 @@ def sel15(spark, d):
 SQL["sel15_best_of_n"] = "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1"
 
 
+def mix_weights(share: np.ndarray, mix: np.ndarray) -> np.ndarray:
+    """Weights of buckets whose attributed shares (kinds x buckets) add up to `mix`; ValueError if there are none."""
+    if np.linalg.matrix_rank(share, tol=1e-10) < len(mix):
+        raise ValueError("token mix unavailable: singular attribution matrix")
+    weight = np.linalg.solve(share, mix)
+    if (weight <= 0).any():
+        raise ValueError("token mix infeasible: a bucket's weight isn't positive")
+    return weight
+
+
 @query("sel16_token_mix")
 def sel16(spark, d):
-    """Weights of languages that give a wanted mix, and prefixes cut where they come nearest.
+    """Weights of all languages that give an equal mix of tokens, and prefixes cut where they come nearest.
 
-    A small attribution matrix (token shares of sources' parities by language) is
-    summed by Spark and solved on the driver.
+    Tokens are attributed to languages too: every fourth document counts for the
+    language that follows its own. The attribution matrix (languages by languages)
+    is summed by Spark and solved on the driver; a mix that can't be had raises.
     """
-    rows = candidates(spark, d).withColumn("kind", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")).where("lang in ('en', 'fr')")
-    table_ = {(r["lang"], r["kind"]): float(r["t"]) for r in rows.groupBy("lang", "kind").agg(F.sum("tokens").alias("t")).collect()}  # four rows
-    langs, kinds = ["en", "fr"], ["even", "odd"]
-    m = np.array([[table_.get((g, k), 0.0) for g in langs] for k in kinds])
-    share = m / np.maximum(m.sum(0), 1)
-    try:
-        weight = np.clip(np.linalg.solve(share, np.array([0.5, 0.5])), 0.0, None)
-    except np.linalg.LinAlgError:
-        weight = np.array([0.5, 0.5])
-    weight = weight / weight.sum() if weight.sum() > 0 else np.array([0.5, 0.5])
-    target = F.when(F.col("lang") == "en", float(weight[0]) * 20000).otherwise(float(weight[1]) * 20000)
+    rows = candidates(spark, d).where("lang is not null")
+    table_ = {(r["lang"], r["moved"]): float(r["t"]) for r in rows.groupBy("lang", (F.col("doc_id") % 4 == 0).alias("moved")).agg(F.sum("tokens").alias("t")).collect()}  # two rows a language
+    langs = sorted({g for g, _ in table_})
+    k = len(langs)
+    m = np.zeros((k, k))
+    for i, g in enumerate(langs):
+        m[i, i] += table_.get((g, False), 0.0) + table_.get((g, None), 0.0)
+        m[(i + 1) % k, i] += table_.get((g, True), 0.0)
+    supply = m.sum(0)
+    weight = mix_weights(m / supply, np.full(k, 1 / k)) if k else supply
+    total = min([20000.0, *(supply / weight)])
+    targets = spark.createDataFrame([(g, float(total * x)) for g, x in zip(langs, weight)], "lang string, target double")
     w = Window.partitionBy("lang").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = rows.withColumn("target", target).withColumn("running", F.sum("tokens").over(w)).withColumn("before", F.col("running") - F.col("tokens"))
+    cut = rows.join(F.broadcast(targets), "lang").withColumn("running", F.sum("tokens").over(w)).withColumn("before", F.col("running") - F.col("tokens"))
     nearer = (F.col("running") - F.col("target")) < (F.col("target") - F.col("before"))
     return cut.where((F.col("running") <= F.col("target")) | ((F.col("before") < F.col("target")) & nearer)).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
 

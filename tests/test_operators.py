@@ -91,3 +91,49 @@ def test_prefix_search(spark, tmp_path):
                 break
             counts = best
     assert {g: n for g, (n, _) in got.items()} == counts
+
+
+def test_token_mix(spark, tmp_path):
+    """All four languages, against elimination by fractions and prefixes cut one row at a time; no mix raises."""
+    from fractions import Fraction
+
+    import numpy as np
+    import pytest
+
+    from millrace.plans import select_queries as Q
+
+    d = str(tmp_path)
+    rnd = random.Random(9)
+    langs = ["de", "en", "es", "fr"]
+    rows = [(i, " ".join(["w"] * rnd.randint(1, 30 + 60 * (i % 3))), rnd.choice(langs), "s", 0) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    buckets = {g: [] for g in langs}
+    for r in sorted(Q.candidates(spark, d).collect(), key=lambda r: (r["rank"], r["doc_id"])):
+        buckets[r["lang"]].append((r["doc_id"], r["tokens"]))
+    a = [[Fraction(0)] * 4 + [Fraction(1, 4)] for _ in langs]
+    for i, g in enumerate(langs):
+        for doc, n in buckets[g]:
+            a[(i + (doc % 4 == 0)) % 4][i] += Fraction(n, sum(n for _, n in buckets[g]))
+    for i in range(4):
+        a[i] = [x / a[i][i] for x in a[i]]
+        for j in range(4):
+            if j != i:
+                a[j] = [x - a[j][i] * y for x, y in zip(a[j], a[i])]
+    weight = [r[-1] for r in a]
+    total = min([Fraction(20000), *(sum(n for _, n in buckets[g]) / x for g, x in zip(langs, weight))])
+    expected = {}
+    for g, x in zip(langs, weight):
+        used = docs = 0
+        for _, n in buckets[g]:
+            over = used + n > total * x
+            if over and abs(used + n - total * x) >= abs(used - total * x):
+                break
+            used, docs = used + n, docs + 1
+            if over:
+                break
+        expected[g] = (docs, used)
+    assert {r["lang"]: (r["docs"], r["tokens"]) for r in Q.QUERIES["sel16_token_mix"](spark, d).collect()} == expected
+    for share in ([[0.5, 0.5], [0.5, 0.5]], [[0.9, 0.8], [0.1, 0.2]]):
+        with pytest.raises(ValueError):
+            Q.mix_weights(np.array(share), np.array([0.5, 0.5]))
