@@ -258,7 +258,7 @@ _math = "concat('Steps: ', left(text, 20), chr(10), 'Final answer: ', CASE WHEN
 
 @query("vrf6_math_format", f"SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '1200.5' ELSE '7' END AS answer, true AS has_steps FROM conversations")
 def vrf6(spark, d):
-    t = F.concat(F.lit("Steps: "), F.left("text", F.lit(20)), F.lit("\nFinal answer: "), F.when(F.col("conv_id") % 2 == 0, "1,200.50").otherwise("7"))
+    t = F.concat(F.lit("Steps: "), "text", F.lit("\nFinal answer: "), F.when(F.col("conv_id") % 2 == 0, "1,200.50").otherwise("7"))
     return _conv(spark, d).select("conv_id", "turn", T.numeric_token(T.final_answer(t)).alias("answer"), t.contains("Steps:").alias("has_steps"))
 
 

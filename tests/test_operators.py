@@ -137,3 +137,12 @@ def test_token_mix(spark, tmp_path):
     for share in ([[0.5, 0.5], [0.5, 0.5]], [[0.9, 0.8], [0.1, 0.2]]):
         with pytest.raises(ValueError):
             Q.mix_weights(np.array(share), np.array([0.5, 0.5]))
+
+
+def test_math_format_reads_whole_texts(spark, tmp_path):
+    from millrace.plans import chat_queries as Q
+
+    rows = [(1, 0, "user", "x " * 500 + "\nFinal answer: 1,234.50\nmore"), (1, 1, "assistant", "no answer in " + "this text " * 500)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, Q.QUERIES["vrf6_math_format"](spark, str(tmp_path)).select("conv_id", "turn", "answer", "has_steps").collect()))
+    assert got == [(1, 0, "1234.5", True), (1, 1, "7", True)]
