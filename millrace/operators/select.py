@@ -6,23 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_by_quota(df: DataFrame, group: str, order: list[str], size: str, target: str) -> DataFrame:
+RANK_DIGITS = 4  # hex digits of a digest that make a bin: 65,536 bins a group at most, 1.5 million rows each at 10**11
+
+
+def running_total(df: DataFrame, groups: list[str], order: list[str], size: str, name: str = "running", rank: str | None = None) -> DataFrame:
+    """`df` with `name`, the sum of `size` from a group's first row to this one, without a task for each group.
+
+    `rank` (the first of `order` unless named) is a hex digest, so its first digits cut a
+    group into even bins in order; bins are summed, and only rows of one bin are ordered
+    together. Columns of `order` before it should have few values; they are part of the bin.
+    """
+    rank = rank or order[0]
+    lead = order[: order.index(rank)]
+    keys = [*groups, *lead, "_bin"]
+    binned = df.withColumn("_bin", F.coalesce(F.left(rank, F.lit(RANK_DIGITS)), F.lit("")))
+    sums = binned.groupBy(*keys).agg(F.sum(size).alias("_s"))
+    w = Window.partitionBy(*groups).orderBy(*lead, "_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("_before", F.sum("_s").over(w) - F.col("_s")).select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    v = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = binned.join(sums, same).withColumn(name, F.col("_before") + F.sum(size).over(v))
+    return out.drop("_bin", "_before", *[f"_{i}" for i in range(len(keys))])
+
+
+def prefix_by_quota(df: DataFrame, group: str, order: list[str], size: str, target: str, rank: str | None = None) -> DataFrame:
     """Whole rows in order until a group's sizes reach its target: a row stays if those before it fall short."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running", F.sum(size).over(w)).where(F.col("running") - F.col(size) < F.col(target))
+    return running_total(df, [group], order, size, rank=rank).where(F.col("running") - F.col(size) < F.col(target))
 
 
-def prefix_by_quota_binned(df: DataFrame, group: str, rank: str, order: list[str], size: str, target: str, digits: int = 2) -> DataFrame:
-    """The same rows without a window over whole groups: sizes are summed by rank bin (the first hex
-    digits), bins below the boundary are taken whole, and only the boundary bin is ordered."""
-    binned = df.withColumn("_bin", F.left(rank, F.lit(digits)))
-    sums = binned.groupBy(group, "_bin").agg(F.sum(size).alias("_s"))
-    w = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.withColumn("_before", F.sum("_s").over(w) - F.col("_s")).drop("_s")
-    near = binned.join(sums, [group, "_bin"]).where(F.col("_before") < F.col(target))
-    v = Window.partitionBy(group, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = near.withColumn("running", F.col("_before") + F.sum(size).over(v))
-    return out.where(F.col("running") - F.col(size) < F.col(target)).drop("_bin", "_before")
+def prefix_by_quota_windowed(df: DataFrame, group: str, order: list[str], size: str, target: str) -> DataFrame:
+    """The same rows by one window over whole groups: for small tables, and to hold the other against."""
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("running", F.sum(size).over(w)).where(F.col("running") - F.col(size) < F.col(target))
 
 
 def owned_selection(candidates: DataFrame, nodes: list[tuple[str, Column, int]], identity: str, order: list[str], size: str) -> DataFrame:

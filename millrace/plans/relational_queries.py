@@ -295,10 +295,18 @@ def sql5(spark, d):
 
 @query("sql6_counters", "SELECT a.source AS source, b.source AS owner, count(*) AS documents FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND b.doc_id < a.doc_id GROUP BY ALL")
 def sql6(spark, d):
-    """Later copies by their own and every earlier copy's source."""
+    """Later copies by their own and every earlier copy's source.
+
+    Pairs of copies are counted, not made: a row counts, for each source that has the
+    text, how many of that source's rows come before it.
+    """
     rows = _t(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    a, b = rows, rows.select(F.col("doc_id").alias("other"), F.col("source").alias("owner"), "h")
-    return a.join(b, "h").where("other < doc_id").groupBy("source", "owner").agg(F.count(F.lit(1)).alias("documents"))
+    several = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    rows = rows.join(several, "h")
+    owners = rows.select("h", F.col("source").alias("owner")).distinct()
+    before = F.count_if(F.col("source") == F.col("owner")).over(Window.partitionBy("h", "owner").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1))
+    met = rows.join(owners, "h").withColumn("documents", before)
+    return met.groupBy("source", "owner").agg(F.sum("documents").alias("documents")).where("documents > 0")
 
 
 @query("sql9_intersections", "SELECT a.source AS left_source, b.source AS right_source, count(*) AS shared FROM (SELECT DISTINCT source, sha256(text) AS h FROM documents) a JOIN (SELECT DISTINCT source, sha256(text) AS h FROM documents) b ON a.h = b.h AND a.source < b.source GROUP BY ALL")

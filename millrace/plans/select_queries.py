@@ -52,10 +52,10 @@ def sel1(spark, d):
     return S.prefix_by_quota(rows, "source", ["rank", "doc_id"], "tokens", "target").select("doc_id", "source", "running")
 
 
-@query("sel2_binned_prefix", SQL["sel1_prefix_by_quota"])
+@query("sel2_window_prefix", SQL["sel1_prefix_by_quota"])
 def sel2(spark, d):
     rows = candidates(spark, d).withColumn("target", F.lit(5000))
-    return S.prefix_by_quota_binned(rows, "source", "rank", ["rank", "doc_id"], "tokens", "target").select("doc_id", "source", "running")
+    return S.prefix_by_quota_windowed(rows, "source", ["rank", "doc_id"], "tokens", "target").select("doc_id", "source", "running")
 
 
 def _step(n: int, where: str, target: int) -> str:
@@ -104,7 +104,7 @@ def sel5(spark, d):
     supply = rows.where("quality >= 1").agg(F.sum("tokens")).first()[0] or 0
     pool = rows.where("quality >= 1").withColumn("k", F.lit(0)) if supply >= 50000 else rows.withColumn("k", -F.col("quality"))
     pool = pool.withColumn("g", F.lit(0)).withColumn("t", F.lit(50000))
-    return S.prefix_by_quota(pool, "g", ["k", "rank", "doc_id"], "tokens", "t").select("doc_id", "running")
+    return S.prefix_by_quota(pool, "g", ["k", "rank", "doc_id"], "tokens", "t", rank="rank").select("doc_id", "running")
 
 
 @query(
@@ -113,8 +113,7 @@ def sel5(spark, d):
     CAST(max(running) FILTER (WHERE running - tokens < 5000) - 5000 AS BIGINT) AS overshoot, count(*) FILTER (WHERE running - tokens < 5000) AS taken FROM {_prefix.replace('{c}', _cand)} GROUP BY source""",
 )
 def sel6(spark, d):
-    w = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = candidates(spark, d).withColumn("running", F.sum("tokens").over(w)).withColumn("inside", F.col("running") - F.col("tokens") < 5000)
+    rows = S.running_total(candidates(spark, d), ["source"], ["rank", "doc_id"], "tokens").withColumn("inside", F.col("running") - F.col("tokens") < 5000)
     inside = lambda c: F.when(F.col("inside"), F.col(c))
     return rows.groupBy("source").agg(
         F.max(inside("rank")).alias("crossing_rank"),
@@ -139,11 +138,7 @@ def sel7(spark, d):
 def sel8(spark, d):
     """A hash order mixes sources in proportion; places come from counts of rank bins, then order within a bin."""
     rows = table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("\x1f", F.lit("mix"), F.col("doc_id").cast("string")), 256).alias("h"))
-    rows = rows.withColumn("bin", F.left("h", F.lit(2)))
-    w = Window.partitionBy().orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n"))  # 256 rows at most
-    place = F.row_number().over(Window.partitionBy("bin").orderBy("h", "doc_id"))
-    return rows.join(F.broadcast(bins), "bin").select("doc_id", (F.col("before") + place).alias("place"))
+    return S.running_total(rows.withColumn("one", F.lit(1)), [], ["h", "doc_id"], "one", "place").select("doc_id", "place")
 
 
 @query("sel9_reservoir", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws(chr(31), 's1', doc_id)), doc_id) AS r FROM documents) WHERE r <= 7")
@@ -162,8 +157,7 @@ _hold = "CAST(CAST(concat('0x', left(sha256(concat('holdout', chr(31), d.text)),
 )
 def sel10(spark, d):
     split = table(spark, d, "documents").select("doc_id", F.when(I.holdout(F.col("text"), (95, 5)), "val").otherwise("train").alias("split"))
-    w = Window.partitionBy("source", "split").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = candidates(spark, d).join(split, "doc_id").withColumn("running", F.sum("tokens").over(w))
+    rows = S.running_total(candidates(spark, d).join(split, "doc_id"), ["source", "split"], ["rank", "doc_id"], "tokens")
     inside = F.col("running") - F.col("tokens") < F.when(F.col("split") == "val", 300).otherwise(4000)
     return rows.groupBy("source", "split").agg(F.count_if(inside).alias("taken"), F.count_if(~inside).alias("skipped"))
 
@@ -185,10 +179,9 @@ _h = "sha256(concat_ws(chr(31), 'q', doc_id))"
 
 @query("sel13_family_quota", f"WITH f AS (SELECT lang, CAST(floor(200.0 * count(*) / sum(count(*)) OVER ()) AS BIGINT) AS quota FROM documents GROUP BY lang) SELECT lang, doc_id FROM (SELECT d.lang, doc_id, quota, row_number() OVER (PARTITION BY d.lang ORDER BY {_h}, doc_id) AS r FROM documents d JOIN f USING (lang)) WHERE r <= quota")
 def sel13(spark, d):
-    docs = table(spark, d, "documents").select("lang", "doc_id")
+    docs = table(spark, d, "documents").select("lang", "doc_id", F.sha2(F.concat_ws("\x1f", F.lit("q"), F.col("doc_id").cast("string")), 256).alias("h"), F.lit(1).alias("one"))
     quota = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("quota", F.floor(F.lit(200.0) * F.col("n") / F.sum("n").over(Window.partitionBy())))
-    w = Window.partitionBy("lang").orderBy(F.sha2(F.concat_ws("\x1f", F.lit("q"), F.col("doc_id").cast("string")), 256), "doc_id")
-    return docs.join(F.broadcast(quota.select("lang", "quota")), "lang").withColumn("r", F.row_number().over(w)).where("r <= quota").select("lang", "doc_id")
+    return S.prefix_by_quota(docs.join(F.broadcast(quota.select("lang", "quota")), "lang"), "lang", ["h", "doc_id"], "one", "quota").select("lang", "doc_id")
 
 
 @query("sel14_ranked_groups", "SELECT source, lang, doc_id FROM (SELECT d.source, d.lang, d.doc_id, row_number() OVER (PARTITION BY d.source, d.lang ORDER BY coalesce(quality, -1) DESC, n_chars, d.doc_id) AS r FROM documents d LEFT JOIN labels USING (doc_id)) WHERE r = 1")
@@ -237,8 +230,7 @@ def sel16(spark, d):
     weight = mix_weights(m / supply, np.full(k, 1 / k)) if k else supply
     total = min([20000.0, *(supply / weight)])
     targets = spark.createDataFrame([(g, float(total * x)) for g, x in zip(langs, weight)], "lang string, target double")
-    w = Window.partitionBy("lang").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = rows.join(F.broadcast(targets), "lang").withColumn("running", F.sum("tokens").over(w)).withColumn("before", F.col("running") - F.col("tokens"))
+    cut = S.running_total(rows.join(F.broadcast(targets), "lang"), ["lang"], ["rank", "doc_id"], "tokens").withColumn("before", F.col("running") - F.col("tokens"))
     nearer = (F.col("running") - F.col("target")) < (F.col("target") - F.col("before"))
     return cut.where((F.col("running") <= F.col("target")) | ((F.col("before") < F.col("target")) & nearer)).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
 
@@ -252,8 +244,10 @@ def sel17(spark, d):
 
 @query("sel18_budget_and_cap", f"SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, doc_id) AS r FROM {_prefix.replace('{c}', _cand)}) WHERE running - tokens < 5000 AND r <= 10")
 def sel18(spark, d):
-    rows = candidates(spark, d).withColumn("target", F.lit(5000)).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("rank", "doc_id")))
-    return S.prefix_by_quota(rows, "source", ["rank", "doc_id"], "tokens", "target").where("r <= 10").select("doc_id")
+    rows = candidates(spark, d).withColumn("target", F.lit(5000))
+    # the first ten of the prefix: the prefix holds a source's first rows, so its own ranks are theirs
+    r = F.row_number().over(Window.partitionBy("source").orderBy("rank", "doc_id"))
+    return S.prefix_by_quota(rows, "source", ["rank", "doc_id"], "tokens", "target").withColumn("r", r).where("r <= 10").select("doc_id")
 
 
 @query("sel19_stratified_preview", f"SELECT source, lang, doc_id FROM (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY {_h}, doc_id) AS r FROM documents) ORDER BY r, source, lang LIMIT 100")
@@ -272,11 +266,10 @@ def sel20(spark, d):
 @query("sel21_exact_split", f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_h}, doc_id) <= CAST(floor(0.05 * count(*) OVER ()) AS BIGINT) THEN 'val' ELSE 'train' END AS split FROM documents")
 def sel21(spark, d):
     """An exact number of rows by hash order: the boundary comes from bin counts, not from one sorted task."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("\x1f", F.lit("q"), F.col("doc_id").cast("string")), 256).alias("h")).withColumn("bin", F.left("h", F.lit(2)))
-    w = Window.partitionBy().orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = docs.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy("h", "doc_id"))
-    return docs.join(F.broadcast(bins), "bin").select("doc_id", F.when(place <= F.floor(F.lit(0.05) * F.col("all")), "val").otherwise("train").alias("split"))
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("\x1f", F.lit("q"), F.col("doc_id").cast("string")), 256).alias("h"), F.lit(1).alias("one"))
+    every = docs.agg(F.count(F.lit(1)).alias("every"))
+    placed = S.running_total(docs, [], ["h", "doc_id"], "one", "place").crossJoin(F.broadcast(every))  # one row
+    return placed.select("doc_id", F.when(F.col("place") <= F.floor(F.lit(0.05) * F.col("every")), "val").otherwise("train").alias("split"))
 
 
 @query(
@@ -291,10 +284,18 @@ def sel22(spark, d):
     return final.select("doc_id", "source", "running")
 
 
-@query("sel23_two_ways_agree", "SELECT 0::BIGINT AS differences")
+@query(
+    "sel23_two_ways_agree",
+    f"""WITH p AS {_prefix.replace('{c}', _cand)}, a AS (SELECT source, doc_id FROM p WHERE running - tokens < 5000), b AS (SELECT source, doc_id FROM p WHERE running - tokens < 5000 + doc_id % 2 * 3000)
+    SELECT a.source IS NOT NULL AS by_first, b.source IS NOT NULL AS by_second, count(*) AS docs FROM a FULL JOIN b USING (source, doc_id) GROUP BY ALL""",
+)
 def sel23(spark, d):
-    a, b = sel1(spark, d), sel2(spark, d)
-    return a.exceptAll(b).union(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("differences"))
+    """Documents that both ways take, or one alone: the second way is given a planted difference for odd ids."""
+    a = sel1(spark, d).select("source", "doc_id", F.lit(True).alias("x"))
+    rows = candidates(spark, d).withColumn("t", F.lit(5000) + F.col("doc_id") % 2 * 3000)
+    b = S.prefix_by_quota_windowed(rows, "source", ["rank", "doc_id"], "tokens", "t").select("source", "doc_id", F.lit(True).alias("y"))
+    j = a.join(b, ["source", "doc_id"], "full")
+    return j.groupBy(F.col("x").isNotNull().alias("by_first"), F.col("y").isNotNull().alias("by_second")).agg(F.count(F.lit(1)).alias("docs"))
 
 
 def share_search(start: dict[str, int], caps: dict[str, int], amounts, strides=(128, 32, 8, 1), ahead: int = 400) -> dict[str, int]:
@@ -344,16 +345,16 @@ def sel24(spark, d):
     running sums; the driver fetches those that a stride's next exchanges can reach,
     at most 801 numbers a language at once. Rows without a language take no part.
     """
-    w = Window.partitionBy("lang").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = candidates(spark, d).select("lang", F.row_number().over(w).alias("n"), F.sum("tokens").over(w).alias("running"))
-    rows = rows.where("lang is not null").persist(StorageLevel.DISK_ONLY)
+    rows = candidates(spark, d).where("lang is not null").withColumn("one", F.lit(1))
+    rows = S.running_total(S.running_total(rows, ["lang"], ["rank", "doc_id"], "one", "n"), ["lang"], ["rank", "doc_id"], "tokens")
+    rows = rows.select("lang", "n", "running").persist(StorageLevel.DISK_ONLY)
     caps = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.max("n").alias("n")).collect()}
     goal, start = sum(caps.values()) // 2, {g: 0 for g in caps}
     for left, g in zip(range(len(caps), 0, -1), sorted(caps, key=lambda g: (caps[g], g))):
         start[g] = min(caps[g], (goal - sum(start.values())) // left)
 
     def amounts(wanted):
-        at = spark.createDataFrame(sorted(wanted), "lang string, n int")
+        at = spark.createDataFrame(sorted(wanted), "lang string, n long")
         found = {(r["lang"], r["n"]): r["running"] for r in rows.join(F.broadcast(at), ["lang", "n"]).collect()}
         return {(g, n): 0 for g, n in wanted if n == 0} | found
 
@@ -376,8 +377,12 @@ def offsets(spark: SparkSession, d: str) -> DataFrame:
     documents are cut into id ranges, ranges are summed, and offsets are taken within ranges."""
     docs = table(spark, d, "documents").select("doc_id", (F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) + 2).cast("long").alias("n"))
     docs = docs.withColumn("part", F.floor(F.col("doc_id") / 1000))
-    w = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = docs.groupBy("part").agg(F.sum("n").alias("s")).withColumn("before", F.sum("s").over(w) - F.col("s")).drop("s")
+    # a thousand ids a part, a thousand parts a block: no window holds more than the blocks, a millionth of the ids
+    parts = docs.groupBy("part").agg(F.sum("n").alias("s")).withColumn("block", F.floor(F.col("part") / 1000))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = parts.groupBy("block").agg(F.sum("s").alias("b"))
+    blocks = blocks.select("block", (F.sum("b").over(upto(Window.partitionBy().orderBy("block"))) - F.col("b")).alias("base"))
+    parts = parts.join(blocks, "block").select("part", (F.col("base") + F.sum("s").over(upto(Window.partitionBy("block").orderBy("part"))) - F.col("s")).alias("before"))
     v = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return docs.join(parts, "part").select("doc_id", "n", (F.col("before") + F.sum("n").over(v) - F.col("n")).alias("a"))
 
@@ -403,22 +408,35 @@ def pck3(spark, d):
 @query("pck4_epoch_order", "SELECT e AS epoch, doc_id, row_number() OVER (PARTITION BY e ORDER BY sha256(concat_ws(chr(31), e, doc_id)), doc_id) AS place FROM documents, range(2) t(e)")
 def pck4(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("epoch"))
-    w = Window.partitionBy("epoch").orderBy(F.sha2(F.concat_ws("\x1f", F.col("epoch").cast("string"), F.col("doc_id").cast("string")), 256), "doc_id")
-    return rows.select("epoch", "doc_id", F.row_number().over(w).cast("long").alias("place"))
+    rows = rows.withColumns({"h": F.sha2(F.concat_ws("\x1f", F.col("epoch").cast("string"), F.col("doc_id").cast("string")), 256), "one": F.lit(1)})
+    return S.running_total(rows, ["epoch"], ["h", "doc_id"], "one", "place").select("epoch", "doc_id", "place")
 
 
-@query("pck6_contiguity", f"SELECT true AS contiguous, count(*) AS docs FROM {_off}")
+@query(
+    "pck6_contiguity",
+    f"""WITH o AS (SELECT doc_id, n, a + CASE WHEN doc_id % 97 = 5 THEN 3 ELSE 0 END AS a FROM {_off}), s AS (SELECT *, lag(a + n) OVER (ORDER BY doc_id) AS back FROM o)
+    SELECT CASE WHEN back < a THEN 'gap' WHEN back > a THEN 'overlap' ELSE 'joined' END AS state, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, min(doc_id) AS first_doc FROM s GROUP BY 1""",
+)
 def pck6(spark, d):
-    o = offsets(spark, d).withColumn("part", F.floor(F.col("doc_id") / 1000))
-    back = F.lag(F.col("a") + F.col("n")).over(Window.partitionBy("part").orderBy("doc_id"))
-    return o.withColumn("ok", F.coalesce(back == F.col("a"), F.lit(True))).agg(F.bool_and("ok").alias("contiguous"), F.count(F.lit(1)).alias("docs"))
+    """Where the stream of documents isn't contiguous: some starts are planted three positions too late.
+
+    A document's predecessor is found in its id range; a range's first row looks at the
+    last one of the nearest range before it that has rows.
+    """
+    o = offsets(spark, d).select("doc_id", "n", (F.col("a") + F.when(F.col("doc_id") % 97 == 5, 3).otherwise(0)).alias("a")).withColumn("part", F.floor(F.col("doc_id") / 1000))
+    ends = o.groupBy("part").agg(F.max_by(F.col("a") + F.col("n"), "doc_id").alias("end")).withColumn("block", F.floor(F.col("part") / 1000))
+    last = ends.groupBy("block").agg(F.max_by("end", "part").alias("last"))
+    last = last.select("block", F.lag("last").over(Window.partitionBy().orderBy("block")).alias("carried"))
+    ends = ends.join(last, "block").select("part", F.coalesce(F.lag("end").over(Window.partitionBy("block").orderBy("part")), "carried").alias("carried"))
+    back = F.coalesce(F.lag(F.col("a") + F.col("n")).over(Window.partitionBy("part").orderBy("doc_id")), "carried")
+    state = F.when(back < F.col("a"), "gap").when(back > F.col("a"), "overlap").otherwise("joined")
+    return o.join(ends, "part").withColumn("state", state).groupBy("state").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"), F.min("doc_id").alias("first_doc"))
 
 
-@query("jn6_position_to_shard", f"SELECT doc_id, max(s) AS shard FROM {_off} JOIN (SELECT CAST(k AS BIGINT) AS s, k * 40000 AS b FROM range(1000) t(k)) ON b <= a GROUP BY doc_id")
+@query("jn6_position_to_shard", f"WITH o AS {_off} SELECT doc_id, max(s) AS shard FROM o JOIN (SELECT CAST(k AS BIGINT) AS s, k * 40000 AS b FROM range((SELECT max(a) // 40000 + 1 FROM o)) t(k)) ON b <= a GROUP BY doc_id")
 def jn6(spark, d):
-    """As-of join of positions with shard starts: an equi-join on the bucket of fixed width, no range scan."""
-    starts = spark.range(1000).select(F.col("id").alias("shard"), (F.col("id") * 40000).alias("b"))
-    return offsets(spark, d).withColumn("shard", F.floor(F.col("a") / 40000)).join(F.broadcast(starts), "shard").where("b <= a").select("doc_id", "shard")
+    """The shard of fixed width that holds each position: arithmetic, so no shard list can be too short."""
+    return offsets(spark, d).select("doc_id", F.floor(F.col("a") / 40000).alias("shard"))
 
 
 @query("tok2_id_range", f"SELECT doc_id, CAST(coalesce(list_max(list_transform({_ids}, lambda z: length(z))), 0) AS INTEGER) <= 30 AS ok FROM documents")
