@@ -6,53 +6,58 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Calls and statements that answers may not use.
-BANNED_CALLS = frozenset({"eval", "exec", "open", "input", "compile", "__import__", "globals", "locals", "vars", "getattr", "setattr", "delattr"})
-BANNED_NODES = (ast.Import, ast.ImportFrom, ast.ClassDef, ast.Global, ast.Nonlocal, ast.With, ast.AsyncFunctionDef, ast.Try, ast.Lambda)
-MOST_LINES, MOST_NODES, MOST_DEPTH = 25, 140, 12
-
-
-def _depth(node: ast.AST) -> int:
-    level, deepest = [node], 0
-    while level:
-        deepest += 1
-        level = [c for n in level for c in ast.iter_child_nodes(n)]
-    return deepest
-
-
-def structure(code: str | None) -> tuple[str | None, int, int]:
-    """(first reason against the code or null, nodes, depth)."""
-    if code is None:
-        return "null", 0, 0
+# Calls and statements that answers may not use, and their limits.
+BANNED_CALLS = frozenset({"eval", "exec", "open", "input", "compile", "__import__"})
+BANNED_NODES = frozenset({"Import", "ImportFrom", "ClassDef", "AsyncFunctionDef", "With", "AsyncWith", "Try", "Raise", "Global", "Nonlocal", "Lambda", "Yield", "YieldFrom", "Await"})
+LIMITS = {"too_many_lines": 25, "too_many_ast_nodes": 140, "too_deep_ast": 12}
+
+
+class _Walk:
+    """What one pass over a tree finds: node kinds, called names, size and depth."""
+
+    def __init__(self, tree: ast.AST):
+        self.kinds: set[str] = set()
+        self.called: set[str] = set()
+        self.attributes: set[str] = set()
+        self.size, self.depth = 0, 0
+        todo = [(tree, 0)]
+        while todo:
+            node, level = todo.pop()
+            self.size, self.depth = self.size + 1, max(self.depth, level)
+            self.kinds.add(type(node).__name__)
+            if isinstance(node, ast.Call):
+                if isinstance(node.func, ast.Name):
+                    self.called.add(node.func.id)
+                elif isinstance(node.func, ast.Attribute):
+                    self.attributes.add(node.func.attr)
+            todo.extend((child, level + 1) for child in ast.iter_child_nodes(node))
+
+
+def structure(code: str | None, entry_point: str | None) -> tuple[list[str], int, int]:
+    """(all reasons against the code, nodes, depth); null code is a syntax error."""
     try:
-        tree = ast.parse(code)
+        tree = ast.parse(code if code is not None else "(")
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return "syntax", 0, 0
-    nodes, deep = sum(1 for _ in ast.walk(tree)), _depth(tree)
-    functions = [n for n in tree.body if isinstance(n, ast.FunctionDef)]
-    called = {n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
-    reason = None
-    if len(functions) != 1 or len(tree.body) != 1:
-        reason = "not_one_function"
-    elif any(isinstance(n, BANNED_NODES) for n in ast.walk(tree)):
-        reason = "banned_statement"
-    elif called & BANNED_CALLS:
-        reason = "banned_call"
-    elif functions[0].name in called:
-        reason = "recursion"
-    elif len([x for x in code.splitlines() if x.strip()]) > MOST_LINES:
-        reason = "too_many_lines"
-    elif nodes > MOST_NODES:
-        reason = "too_many_nodes"
-    elif deep > MOST_DEPTH:
-        reason = "too_deep"
-    return reason, nodes, deep
-
-
-def code_structure(c: Column) -> Column:
-    """struct<reason, nodes, depth> of each text, in an Arrow UDF."""
-
-    def go(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([structure(v) for v in x], columns=["reason", "nodes", "depth"])
-
-    return F.pandas_udf(go, "reason string, nodes int, depth int")(c)
+        return ["syntax_error"], 0, 0
+    seen = _Walk(tree)
+    functions = [n.name for n in tree.body if isinstance(n, ast.FunctionDef)]
+    measured = {"too_many_lines": sum(1 for line in code.splitlines() if line.strip()), "too_many_ast_nodes": seen.size, "too_deep_ast": seen.depth}
+    holds = {
+        "top_level_function_count": len(functions) != 1,
+        "extra_top_level_code": len(tree.body) != 1 or not functions,
+        "wrong_function_name": bool(functions) and functions[0] != entry_point,
+        "banned_node": bool(seen.kinds & BANNED_NODES),
+        "banned_call": bool((seen.called | seen.attributes) & BANNED_CALLS),
+        "recursion": entry_point in seen.called,
+        **{name: measured[name] > most for name, most in LIMITS.items()},
+    }
+    return [name for name, held in holds.items() if held], seen.size, seen.depth
+
+
+def code_structure(code: Column, entry_point: Column) -> Column:
+    """struct<reasons, nodes, depth> of each text, in an Arrow UDF."""
+
+    def go(x: pd.Series, name: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([structure(v, n) for v, n in zip(x, name)], columns=["reasons", "nodes", "depth"])
+
+    return F.pandas_udf(go, "reasons array<string>, nodes int, depth int")(code, entry_point)

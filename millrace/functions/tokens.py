@@ -5,7 +5,7 @@ import functools
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 
 
 @functools.cache
@@ -43,3 +43,22 @@ def bpe_round_trip(c: Column, path: str | None = None) -> Column:
         return pd.Series([t.decode(e.ids, skip_special_tokens=False) == v for e, v in zip(t.encode_batch(texts, add_special_tokens=False), texts)], dtype="bool")
 
     return F.pandas_udf(go, BooleanType())(c)
+
+
+def bpe_ids(c: Column, path: str | None = None) -> Column:
+    """The ids of each text, special tokens as ordinary text; null counts as empty."""
+    path = path or _default()
+
+    def go(x: pd.Series) -> pd.Series:
+        return pd.Series([e.ids for e in _tokenizer(path).encode_batch([v or "" for v in x], add_special_tokens=False)])
+
+    return F.pandas_udf(go, ArrayType(IntegerType()))(c)
+
+
+def special_ids(path: str | None = None) -> list[int]:
+    """The ids of a tokenizer file's special tokens."""
+    return sorted(_tokenizer(path or _default()).get_added_tokens_decoder())
+
+
+def vocabulary_size(path: str | None = None) -> int:
+    return _tokenizer(path or _default()).get_vocab_size()

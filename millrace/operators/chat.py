@@ -49,3 +49,27 @@ def truncate(df: DataFrame, size: Column, limit: int) -> DataFrame:
     sized = sized.withColumn("_rest", F.sum(F.when(F.col("role") == "system", 0).otherwise(F.col("_n"))).over(suffix))
     sized = sized.withColumn("_from", F.min(F.when((F.col("role") == "user") & (F.col("_rest") + F.col("_sys") <= limit), F.col("turn"))).over(w))
     return sized.where(F.col("_from").isNotNull() & ((F.col("role") == "system") | (F.col("turn") >= F.col("_from")))).drop("_n", "_sys", "_rest", "_from")
+
+
+# Marks of a conversation's ids, and the label of what isn't supervised.
+BEGIN_ID, END_ID, ROLE_IDS, IGNORED = 2, 3, {"system": 4, "user": 5, "assistant": 6}, -100
+
+
+def encode_chat(df: DataFrame, path: str | None = None) -> DataFrame:
+    """(conv_id, ids, labels): a begin mark, then each turn's role mark and content, and an end mark behind answers.
+
+    Labels have the ids of answers and their end marks, IGNORED elsewhere. Turns are encoded row by row, and
+    meet only as ids. A turn with an unknown role or without ids, such as an empty one, makes both null.
+    """
+    from ..functions.tokens import bpe_ids
+
+    role = F.lower(T.strip(F.col("role")))
+    mark = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_IDS.items() for x in kv]), role)
+    rows = df.select("conv_id", "turn", role.alias("role"), mark.alias("mark"), bpe_ids(T.chat_text(role, F.col("text"))).alias("own"))
+    answer = F.col("role") == "assistant"
+    ids = F.when(F.col("mark").isNotNull() & (F.size("own") > 0), F.concat(F.array("mark"), "own", F.when(answer, F.array(F.lit(END_ID))).otherwise(F.array().cast("array<int>"))))
+    rows = rows.select("conv_id", "turn", ids.alias("ids"), answer.alias("answer"))
+    rows = rows.select("conv_id", "turn", "ids", F.transform("ids", lambda x, i: F.when(F.col("answer") & (i > 0), x).otherwise(IGNORED)).alias("labels"))
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "ids", "labels"))).alias("t"))
+    joined = lambda name, first: F.concat(F.array(F.lit(first)), F.flatten(F.transform("t", lambda x: x[name])))
+    return turns.select("conv_id", joined("ids", BEGIN_ID).alias("ids"), joined("labels", IGNORED).alias("labels"))

@@ -238,13 +238,21 @@ def vrf2(spark, d):
     return _verified(spark, d).select(verdict.alias("verdict"), V.score(F.size(r)).alias("instruction_following")).groupBy("verdict", "instruction_following").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("vrf3_code_structure")
+# bodies that break one rule each, or none, by turn and conversation; the text is their comment
+_bodies = ["return x", "import os", "return f{c}(x)", "return eval(x)", "yield x", "return (", "return x\nf{c}(1)"]
+_broken = [[], ["banned_node"], ["recursion"], ["banned_call"], ["banned_node"], ["syntax_error"], ["extra_top_level_code", "recursion"]]
+
+
+@query("vrf3_code_structure", "SELECT conv_id, turn, " + "CASE (conv_id + turn) % 7 " + " ".join(f"WHEN {i} THEN '{','.join(r)}'" for i, r in enumerate(_broken)) + " END AS reasons FROM conversations")
 def vrf3(spark, d):
-    """Structure of Python answers by their syntax tree; texts that don't parse say so."""
+    """Structure of Python answers by their syntax tree: each answer is planted one fault, or none."""
     from ..functions.code import code_structure
 
-    made = F.concat(F.lit("def f"), F.col("conv_id").cast("string"), F.lit("(x):\n    return "), F.length("text").cast("string"), F.when(F.col("turn") % 2 == 0, F.lit(" +")).otherwise(F.lit(" + x")))
-    return _conv(spark, d).select("conv_id", "turn", code_structure(made).alias("s")).select("conv_id", "turn", "s.*")
+    c = F.col("conv_id").cast("string")
+    body = F.element_at(F.array(*map(F.lit, _bodies)), (F.col("conv_id") + F.col("turn")).cast("int") % 7 + 1)
+    comment = F.regexp_replace("text", r"[^\p{L}\p{N} ]+", " ")
+    made = F.concat(F.lit("def f"), c, F.lit("(x):\n    # "), comment, F.lit("\n    "), F.replace(body, F.lit("{c}"), c))
+    return _conv(spark, d).select("conv_id", "turn", F.array_join(code_structure(made, F.concat(F.lit("f"), c))["reasons"], ",").alias("reasons"))
 
 
 @query("vrf5_entry_points", "SELECT conv_id, turn, concat('f', conv_id) AS entry FROM conversations")
@@ -253,19 +261,29 @@ def vrf5(spark, d):
     return _conv(spark, d).select("conv_id", "turn", F.regexp_extract(tests, r"assert\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1).alias("entry"))
 
 
-_math = "concat('Steps: ', left(text, 20), chr(10), 'Final answer: ', CASE WHEN conv_id % 2 = 0 THEN '1,200.50' ELSE '7' END)"
+# the answer's number and its form, and whether steps are shown, vary by row
+_number = "CASE conv_id % 4 WHEN 0 THEN '1,200.50' WHEN 1 THEN '7' WHEN 2 THEN '-2.0' ELSE '3.250' END"
+_plain = "CASE conv_id % 4 WHEN 0 THEN '1200.5' WHEN 1 THEN '7' WHEN 2 THEN '-2' ELSE '3.25' END"
 
 
-@query("vrf6_math_format", f"SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '1200.5' ELSE '7' END AS answer, true AS has_steps FROM conversations")
+@query("vrf6_math_format", f"SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE {_plain} END AS answer, turn % 2 = 0 OR contains(text, 'Steps:') AS has_steps FROM conversations")
 def vrf6(spark, d):
-    t = F.concat(F.lit("Steps: "), "text", F.lit("\nFinal answer: "), F.when(F.col("conv_id") % 2 == 0, "1,200.50").otherwise("7"))
-    return _conv(spark, d).select("conv_id", "turn", T.numeric_token(T.final_answer(t)).alias("answer"), t.contains("Steps:").alias("has_steps"))
+    """The final answer's number in its plain form, and whether steps come before it; some rows lack either."""
+    t = F.concat(F.when(F.col("turn") % 2 == 0, "Steps: ").otherwise(""), "text", F.when(F.col("turn") % 5 == 4, "\nno end").otherwise(F.concat(F.lit("\nFinal answer: "), F.expr(_number))))
+    answer = F.when(T.final_answer(t) != "", T.numeric_token(T.final_answer(t)))
+    return _conv(spark, d).select("conv_id", "turn", answer.alias("answer"), t.contains("Steps:").alias("has_steps"))
+
+
+_want = "(SELECT conv_id, turn, text, 20 + conv_id % 50 AS most, (['the', 'la', 'der', 'que'])[1 + conv_id % 4] AS word, 1 + turn % 3 AS times FROM conversations WHERE role = 'assistant')"
 
 
-@query("vrf7_constraint_checks", f"SELECT conv_id, turn, {O.word_count('text')} <= 60 AS short, NOT contains(text, ',') AS no_comma, lower(text) = text AS lower_case, {O.like('text', '[.!?]$')} AS ends FROM conversations WHERE role = 'assistant'")
+@query("vrf7_constraint_checks", f"SELECT conv_id, turn, {O.word_count('text')} <= most AS short, NOT contains(text, ',') AS no_comma, lower(text) = text AS lower_case, {O.like('text', '[.!?]$')} AS ends, (length(lower(text)) - length(replace(lower(text), word, ''))) // length(word) >= times AS frequent FROM {_want}")
 def vrf7(spark, d):
-    t = F.col("text")
-    return _conv(spark, d).where("role = 'assistant'").select("conv_id", "turn", (T.word_count(t) <= 60).alias("short"), V.followed("punctuation:no_comma", t).alias("no_comma"), (F.lower(t) == t).alias("lower_case"), t.rlike("[.!?]$").alias("ends"))
+    """Constraints whose operands differ by row: a word limit, a keyword and how often it must occur, and fixed ones."""
+    t, n = F.lower("text"), F.length("word")
+    want = _conv(spark, d).where("role = 'assistant'").withColumns({"most": 20 + F.col("conv_id") % 50, "word": F.element_at(F.array(*map(F.lit, ("the", "la", "der", "que"))), (1 + F.col("conv_id") % 4).cast("int")), "times": 1 + F.col("turn") % 3})
+    frequent = F.floor((F.length(t) - F.length(F.replace(t, F.col("word")))) / n) >= F.col("times")
+    return want.select("conv_id", "turn", (T.word_count(F.col("text")) <= F.col("most")).alias("short"), V.followed("punctuation:no_comma", F.col("text")).alias("no_comma"), (t == F.col("text")).alias("lower_case"), F.col("text").rlike("[.!?]$").alias("ends"), frequent.alias("frequent"))
 
 
 @query("vrf8_task_checks", "SELECT event_id, true AS is_json, event_type IN ('click', 'view') AS member, CAST(props->>'k' AS INTEGER) % 2 = 0 AS even FROM events")
@@ -294,10 +312,10 @@ def rwd1(spark, d):
     )
 
 
-@query("rwd2_reference", f"SELECT conv_id, turn, {O.squeeze('lower(p)')} = {O.squeeze('lower(a)')} AS exact, contains({O.squeeze('lower(a)')}, left({O.squeeze('lower(p)')}, 10)) AS within FROM {_pairs}")
+@query("rwd2_reference", f"SELECT conv_id, turn, {O.squeeze('lower(p)')} = {O.squeeze('lower(a)')} AS exact, contains({O.squeeze('lower(a)')}, {O.squeeze('lower(p)')}) AS within FROM {_pairs}")
 def rwd2(spark, d):
     p, a = T.squeeze(F.lower("p")), T.squeeze(F.lower("a"))
-    return turn_pairs(spark, d).select("conv_id", "turn", (p == a).alias("exact"), F.contains(a, F.left(p, F.lit(10))).alias("within"))
+    return turn_pairs(spark, d).select("conv_id", "turn", (p == a).alias("exact"), F.contains(a, p).alias("within"))
 
 
 @query("gen1_templates", "SELECT r_name AS region, n_name AS nation, concat('Compare ', n_name, ' with ', r_name) AS prompt, row_number() OVER (ORDER BY n_name, r_name) AS n FROM region CROSS JOIN nation")
@@ -337,10 +355,10 @@ def evl3(spark, d):
     return _instructions(spark, d, V.followed).groupBy("kind").agg(F.round(F.avg(F.col("ok").cast("int")), 9).alias("share"), F.count(F.lit(1)).alias("n"))
 
 
-@query("evl3_prompt_level", "SELECT round(avg(CAST(ok AS INTEGER)), 9) AS share FROM (SELECT " + " AND ".join(_checked("text", k) for k, _ in CHECKS[:1]) + " AS ok FROM conversations WHERE role = 'assistant')")
+@query("evl3_prompt_level", "SELECT round(avg(CAST(ok AS INTEGER)), 9) AS share FROM (SELECT " + " AND ".join(_checked("text", k) for k, _ in CHECKS) + " AS ok FROM conversations WHERE role = 'assistant')")
 def evl3_prompt(spark, d):
-    rows = _instructions(spark, d, V.followed).where(F.col("kind") == CHECKS[0][0])
-    return rows.groupBy("conv_id", "turn").agg(F.bool_and("ok").alias("ok")).agg(F.round(F.avg(F.col("ok").cast("int")), 9).alias("share"))
+    """The share of answers that follow all instructions of their prompt."""
+    return _instructions(spark, d, V.followed).groupBy("conv_id", "turn").agg(F.bool_and("ok").alias("ok")).agg(F.round(F.avg(F.col("ok").cast("int")), 9).alias("share"))
 
 
 def _variants_sql() -> str:
@@ -389,10 +407,13 @@ def evl5(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("Question: "), F.regexp_extract("text", r"^([^ \t\n\r]+)", 1), F.lit("\nAnswer:")).alias("query"), F.size(F.split("text", r"\. ", -1)).alias("choices"))
 
 
-@query("evl6_extraction", "SELECT event_id, regexp_extract(concat('got ', value, ' no'), '-?[0-9]+(?:\\.[0-9]+)?') AS number, 'no' AS ynu FROM events WHERE value < 1e7 AND value >= 0.001")
+_word = r"(?i)(?:^|[^\p{L}\p{N}_])(yes|no|unknown)(?:$|[^\p{L}\p{N}_])"
+
+
+@query("evl6_extraction", f"SELECT conv_id, turn, regexp_extract(text, '-?[0-9]+(?:\\.[0-9]+)?') AS number, lower(regexp_extract(text, '{_word}', 1)) AS ynu FROM conversations")
 def evl6(spark, d):
-    t = F.concat(F.lit("got "), F.col("value").cast("string"), F.lit(" no"))
-    return table(spark, d, "events").where("value < 1e7 and value >= 0.001").select("event_id", F.regexp_extract(t, r"-?[0-9]+(?:\.[0-9]+)?", 0).alias("number"), F.lower(F.regexp_extract(t, r"(?i)\b(yes|no|unknown)\b", 1)).alias("ynu"))
+    """The first number, and the first yes, no or unknown, of each turn; empty if it has none."""
+    return _conv(spark, d).select("conv_id", "turn", F.regexp_extract("text", r"-?[0-9]+(?:\.[0-9]+)?", 0).alias("number"), F.lower(F.regexp_extract("text", _word, 1)).alias("ynu"))
 
 
 _gen = "(SELECT user_id, list(CAST(event_type = 'purchase' AS INTEGER) ORDER BY event_id) AS ids FROM events GROUP BY user_id)"
@@ -422,10 +443,10 @@ def evl8(spark, d):
 
 @query(
     "evl9_moving_average",
-    """WITH s AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events WHERE user_id < 20 GROUP BY user_id)
+    """WITH s AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY user_id)
     SELECT user_id, round(v[1] * power(0.9, len(v) - 1) + coalesce(list_sum(list_transform(range(2, len(v) + 1), lambda i: 0.1 * v[i] * power(0.9, len(v) - i))), 0), 6) AS ema FROM s""",
 )
 def evl9(spark, d):
     """The last exponential moving average of each series: a fold over its ordered values."""
-    s = table(spark, d, "events").where("user_id < 20").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
+    s = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
     return s.select("user_id", F.round(F.aggregate(F.slice("v", 2, F.size("v")), F.get("v", F.lit(0)), lambda a, x: a * 0.9 + x * 0.1), 6).alias("ema"))

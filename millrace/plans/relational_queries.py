@@ -260,13 +260,19 @@ def srt2(spark, d):
     return _t(spark, d, "part").withColumn("r", F.row_number().over(w)).where("r <= 3").select("p_brand", "p_partkey")
 
 
-@query("srt5_range_shards", "SELECT count(*) AS rows, true AS ordered FROM documents")
+@query("srt5_range_shards", "SELECT doc_id, row_number() OVER (ORDER BY sha256(text), doc_id) AS place FROM documents")
 def srt5(spark, d):
-    """Shards by ranges of the sort key, each sorted: no shard overlaps the next."""
-    rows = _t(spark, d, "documents").select(F.sha2("text", 256).alias("h"), "doc_id").repartitionByRange(8, "h", "doc_id").sortWithinPartitions("h", "doc_id")
-    shards = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.min("h").alias("a"), F.max("h").alias("z"), F.count(F.lit(1)).alias("n"))
-    back = F.lag("z").over(Window.partitionBy().orderBy("p"))
-    return shards.withColumn("ok", F.coalesce(back <= F.col("a"), F.lit(True))).agg(F.sum("n").alias("rows"), F.bool_and("ok").alias("ordered"))
+    """Shards by ranges of the sort key: a row's place is its place in its shard behind all earlier shards' rows."""
+    from .source_queries import scratch
+
+    path = scratch(spark, "shards")
+    rows = _t(spark, d, "documents").select(F.sha2("text", 256).alias("h"), "doc_id").repartitionByRange(8, "h", "doc_id")
+    rows.withColumn("p", F.spark_partition_id()).write.parquet(path)  # written, as another run may cut other ranges
+    rows = spark.read.schema("h string, doc_id long, p int").parquet(path)
+    upto = Window.partitionBy().orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shards = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", (F.sum("n").over(upto) - F.col("n")).alias("before"))  # a row a shard
+    place = F.row_number().over(Window.partitionBy("p").orderBy("h", "doc_id"))
+    return rows.join(F.broadcast(shards), "p").select("doc_id", (F.col("before") + place).alias("place"))
 
 
 # ---- the registry's statements and audits
@@ -351,11 +357,17 @@ def aud3(spark, d):
     return rows.where("doc_id % 21 = 0").select("h").distinct().join(rows.where("doc_id % 21 <> 0").select("h"), "h", "left_semi").agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("aud4_identities", f"SELECT true AS serialized_ok, true AS blocks_ok, count(*) AS docs FROM {_cand}")
+@query(
+    "aud4_identities",
+    f"""SELECT source, n = c + 2 * docs AS serialized_ok, docs, CAST(n - c - 2 * docs AS BIGINT) AS surplus FROM (
+    SELECT source, sum(tokens + CASE WHEN doc_id % 331 = 7 THEN 1 ELSE 0 END) AS n, sum(tokens - 2) AS c, count(*) AS docs FROM {_cand} GROUP BY source)""",
+)
 def aud4(spark, d):
-    s = candidates(spark, d).agg(F.sum("tokens").alias("n"), F.sum(F.col("tokens") - 2).alias("c"), F.count(F.lit(1)).alias("docs"))
-    q = F.floor((F.col("n") - 1) / 512)
-    return s.select((F.col("n") == F.col("c") + 2 * F.col("docs")).alias("serialized_ok"), (F.col("n") == q * 512 + (F.col("n") - 1 - q * 512) + 1).alias("blocks_ok"), "docs")
+    """Content and boundary tokens against what is declared, by source: one token is planted too many in some rows."""
+    declared = F.col("tokens") + F.when(F.col("doc_id") % 331 == 7, 1).otherwise(0)
+    s = candidates(spark, d).groupBy("source").agg(F.sum(declared).alias("n"), F.sum(F.col("tokens") - 2).alias("c"), F.count(F.lit(1)).alias("docs"))
+    surplus = F.col("n") - F.col("c") - 2 * F.col("docs")
+    return s.select("source", (surplus == 0).alias("serialized_ok"), "docs", surplus.alias("surplus"))
 
 
 @query("aud5_exhausted_sources", f"SELECT source, CAST(sum(tokens) AS BIGINT) AS supply, sum(tokens) >= 15000 AS reached FROM {_cand} GROUP BY source")

@@ -439,11 +439,6 @@ def jn6(spark, d):
     return offsets(spark, d).select("doc_id", F.floor(F.col("a") / 40000).alias("shard"))
 
 
-@query("tok2_id_range", f"SELECT doc_id, CAST(coalesce(list_max(list_transform({_ids}, lambda z: length(z))), 0) AS INTEGER) <= 30 AS ok FROM documents")
-def tok2(spark, d):
-    return table(spark, d, "documents").select("doc_id", (~F.exists(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)")), lambda z: F.length(z) > 30)).alias("ok"))
-
-
 @query("tok4_bytes_per_token", f"SELECT source, round(sum(strlen(text)) / sum(len({_ids})), 6) AS bytes_per_token FROM documents GROUP BY ROLLUP (source)")
 def tok4(spark, d):
     rows = table(spark, d, "documents").select("source", F.octet_length("text").alias("b"), F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).alias("n"))

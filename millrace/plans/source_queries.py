@@ -62,10 +62,10 @@ def src8(spark, d):
     return spark.read.schema("doc_id long, lang string").json(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src11_notebook_code", "SELECT doc_id, concat(left(text, 20), chr(10), chr(10), 'print(1)') AS code FROM documents")
+@query("src11_notebook_code", "SELECT doc_id, concat(text, chr(10), chr(10), 'print(1)') AS code FROM documents")
 def src11(spark, d):
     cell = lambda kind, s: F.struct(F.lit(kind).alias("cell_type"), F.array(s).alias("source"))
-    book = F.to_json(F.struct(F.array(cell("code", F.left("text", F.lit(20))), cell("markdown", F.lit("# x")), cell("code", F.lit("print(1)"))).alias("cells")))
+    book = F.to_json(F.struct(F.array(cell("code", F.col("text")), cell("markdown", F.lit("# x")), cell("code", F.lit("print(1)"))).alias("cells")))
     return table(spark, d, "documents").select("doc_id", jsonl.notebook_code(book).alias("code"))
 
 
@@ -160,11 +160,20 @@ def tok3(spark, d):
     return w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
+@query("tok2_id_range")
+def tok2(spark, d):
+    """Whether a document's ids lie in the vocabulary and none of them is a special token's, with the extremes."""
+    from ..functions.tokens import bpe_ids, special_ids, vocabulary_size
+
+    docs = table(spark, d, "documents").select("doc_id", bpe_ids(F.col("text")).alias("ids"))
+    special = F.array(*[F.lit(i) for i in special_ids()])
+    inside = F.coalesce(F.array_min("ids"), F.lit(0)).between(0, vocabulary_size() - 1) & F.coalesce(F.array_max("ids"), F.lit(0)).between(0, vocabulary_size() - 1)
+    return docs.select("doc_id", F.size("ids").alias("n"), F.array_min("ids").alias("least"), F.array_max("ids").alias("most"), (inside & ~F.arrays_overlap("ids", special)).alias("ok"))
+
+
 @query("cht2_encode_chat")
 def cht2(spark, d):
-    """Ids and supervised ids of each turn: a role mark, the content, and an end mark behind answers."""
-    from ..functions.tokens import bpe_counts
+    """Each conversation as ids and labels: labels repeat the ids of answers and their ends, and are -100 elsewhere."""
+    from ..operators.chat import encode_chat
 
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", bpe_counts(F.col("text")).alias("n"))
-    answer = F.col("role") == "assistant"
-    return c.groupBy("conv_id").agg((F.sum(F.col("n") + 1 + F.when(answer, 1).otherwise(0)) + 1).alias("ids"), F.sum(F.when(answer, F.col("n") + 1).otherwise(0)).alias("labels"))
+    return encode_chat(table(spark, d, "conversations"))

@@ -273,11 +273,11 @@ QUERIES["ftr21_prompt_echo"] = lambda spark, d: (
     .select("conv_id", "turn", T.has_echo(F.col("p"), F.col("a")).alias("echo"))
 )
 SQL["ftr21_prompt_echo"] = f"SELECT u.conv_id, u.turn, {O.prompt_key('u.text')} <> '' AND {O.prompt_key('a.text')} <> '' AND contains({O.prompt_key('a.text')}, left({O.prompt_key('u.text')}, 80)) AS echo FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"
-_quoted = "concat('say \"', left(text, 20), '\" or \"', left(text, 10), '\" now')"
+_quoted = "concat('say \"', text, '\" or \"', lower(text), ' more\" now')"
 _found = f"list_filter(list_transform(regexp_extract_all({_quoted}, '\"([^\"]+)\"', 1), lambda z: {O.squeeze('z')}), lambda z: z <> '')"
 _documents(
     "ftr22_longest_quote",
-    {"quote": lambda c: T.longest_quote(F.concat(F.lit('say "'), F.left(c, F.lit(20)), F.lit('" or "'), F.left(c, F.lit(10)), F.lit('" now')))},
+    {"quote": lambda c: T.longest_quote(F.concat(F.lit('say "'), c, F.lit('" or "'), F.lower(c), F.lit(' more" now')))},
     {"quote": f"(list_filter({_found}, lambda z: length(z) = list_max(list_transform({_found}, lambda y: length(y)))))[1]"},
 )
 REFUSALS = ("i can't", "i cannot", "as an ai", "no puedo", "je ne peux")
@@ -285,11 +285,11 @@ QUERIES["ftr23_refusal_weight"] = lambda spark, d: table(spark, d, "conversation
     F.when(F.max(F.when(F.col("role") == "assistant", T.is_refusal(F.col("text"), REFUSALS)).otherwise(False)), 0.25).otherwise(1.0).alias("weight")
 )
 SQL["ftr23_refusal_weight"] = f"SELECT conv_id, CASE WHEN bool_or(role = 'assistant' AND {O.any_of('lower(text)', REFUSALS)}) THEN 0.25 ELSE 1.0 END AS weight FROM conversations GROUP BY conv_id"
-_fenced = "concat('x ```python', chr(10), left(text, 30), chr(10), '``` Final answer: 12.5 of -3', chr(10), 'y')"
+_fenced = "concat('x ```python', chr(10), text, chr(10), '``` Final answer: 12.5 of -3', chr(10), 'y')"
 _documents(
     "ftr24_answer_parts",
     {
-        c: (lambda t, f=f: f(F.concat(F.lit("x ```python\n"), F.left(t, F.lit(30)), F.lit("\n``` Final answer: 12.5 of -3\ny"))))
+        c: (lambda t, f=f: f(F.concat(F.lit("x ```python\n"), t, F.lit("\n``` Final answer: 12.5 of -3\ny"))))
         for c, f in {"block": T.first_code_block, "blocks": T.code_blocks, "answer": T.final_answer, "last_number": lambda z: F.element_at(T.numbers(T.final_answer(z)), -1)}.items()
     },
     {

@@ -73,8 +73,22 @@ def test_identities(spark):
 
 
 @pytest.mark.parametrize(
-    "code, reason",
-    [("def f(x):\n    return x", None), ("import os", "not_one_function"), ("def f(x):\n    return f(x)", "recursion"), ("def f(x):\n    return eval(x)", "banned_call"), ("def f(:", "syntax"), ("def f(x):\n    import os", "banned_statement"), (None, "null")],
+    "code, reasons",
+    [
+        ("def f(x):\n    return x", []),
+        ("import os", ["top_level_function_count", "extra_top_level_code", "banned_node"]),
+        ("def f(x):\n    return f(x)", ["recursion"]),
+        ("def g(x):\n    return eval(x)", ["wrong_function_name", "banned_call"]),
+        ("def f(x):\n    return x.open()", ["banned_call"]),
+        ("def f(:", ["syntax_error"]),
+        (None, ["syntax_error"]),
+        ("def f(x):\n    raise x", ["banned_node"]),
+        ("def f(x):\n    yield x", ["banned_node"]),
+        ("def f(x):\n    return vars(x)", []),
+        ("def f(x):\n    return x\nf(1)", ["extra_top_level_code", "recursion"]),
+        ("def f(x):\n" + "    x = x\n" * 30, ["too_many_lines", "too_many_ast_nodes"]),
+        ("def f(x):\n    return " + "(" * 1 + "-" * 20 + "x)", ["too_deep_ast"]),
+    ],
 )
-def test_code_structure(code, reason):
-    assert structure(code)[0] == reason
+def test_code_structure(code, reasons):
+    assert structure(code, "f")[0] == reasons
