@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import shared_folder
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -27,6 +27,9 @@ def disagreements(df: DataFrame, key: str, column: str) -> DataFrame:
     return found.where(~F.col("a").eqNullSafe(F.col("z"))).select(key, "n")
 
 
+BROADCAST_GRAMS = 200_000  # of some 100 bytes each
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
     return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), "")
@@ -38,11 +41,16 @@ def shingles(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
-def shingle_rows(df: DataFrame, key: str, text: str, n: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, extra, shingle): a row for each distinct shingle; shingles are made row by row, not as an array."""
+def shingle_places(df: DataFrame, key: str, text: str, n: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, extra, shingle): a row for each place of a shingle; shingles are made row by row, not as an array."""
     words = df.select(key, *extra, tokens(F.col(text)).alias("_w")).where(F.size("_w") >= n)
     at = words.select(key, *extra, "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - n + 1)).alias("_i"))
-    return at.select(key, *extra, F.array_join(F.slice("_w", F.col("_i"), n), " ").alias("shingle")).distinct()
+    return at.select(key, *extra, F.array_join(F.slice("_w", F.col("_i"), n), " ").alias("shingle"))
+
+
+def shingle_rows(df: DataFrame, key: str, text: str, n: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, extra, shingle): a row for each distinct shingle."""
+    return shingle_places(df, key, text, n, extra).distinct()
 
 
 def jaccard_pairs(df: DataFrame, key: str, text: str, group: str, n: int, threshold: float) -> DataFrame:
@@ -51,7 +59,8 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, group: str, n: int, thresh
     Prefix filter: in the order of rising frequency, similar sets share one of their
     first |x| - ceil(t |x|) + 1 shingles, so only those are joined.
     """
-    rows = shingle_rows(df, key, text, n, (group,)).persist(StorageLevel.MEMORY_AND_DISK)
+    shared_folder(df.sparkSession)
+    rows = shingle_rows(df, key, text, n, (group,)).checkpoint()
     freq = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"))
     w = Window.partitionBy(key)
     placed = rows.join(freq, "shingle").withColumn("size", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("f", "shingle")))
@@ -86,7 +95,11 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 def protected_overlap(docs: DataFrame, protected: DataFrame, key: str, text: str, protected_text: str, n: int = 13) -> DataFrame:
     """(key, grams): documents that share an n-gram with protected text, and how many distinct ones."""
     grams = shingle_rows(protected.withColumn("_k", F.lit(0)), "_k", protected_text, n).select("shingle").distinct()
-    return shingle_rows(docs, key, text, n).join(grams, "shingle", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("grams"))
+    if grams.count() <= BROADCAST_GRAMS:
+        grams = F.broadcast(grams)
+    # only what is protected is made distinct
+    hits = shingle_places(docs, key, text, n).join(grams, "shingle", "left_semi")
+    return hits.distinct().groupBy(key).agg(F.count(F.lit(1)).alias("grams"))
 
 
 def components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as T
 from ..operators import dedup as D
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 from . import oracle as O
 
 QUERIES: dict = {}
@@ -27,10 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def _checkpoints(spark: SparkSession) -> None:
     """A checkpoint folder, where the session has none."""
-    import tempfile
-
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
+    shared_folder(spark)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +211,14 @@ def ddp8(spark, d):
 
 @query("ddp9_diversity", f"SELECT a.vec_id AS vec_id, round(1 - avg({_cos}), 6) AS diversity FROM {_vec} a JOIN {_vec} b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
 def ddp9(spark, d):
-    return _vector_pairs(spark, d).groupBy(F.col("a").alias("vec_id")).agg(F.round(1 - F.avg("cos"), 6).alias("diversity"))
+    """One less the mean cosine to the rest of a label: (u . (S - u)) / (n - 1), S the sum of the label's n unit vectors."""
+    v = _vectors(spark, d)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = v.withColumn("norm", norm).select("vec_id", "label", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+    parts = unit.select("label", F.posexplode("u").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("total"), F.max("n").alias("n"))  # a row a label
+    mean = (F.aggregate(F.zip_with("u", "total", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) - 1) / (F.col("n") - 1)
+    return unit.join(sums.where("n > 1"), "label").select("vec_id", F.round(1 - mean, 6).alias("diversity"))
 
 
 @query("ddp10_protected_overlap", f"WITH s AS ({_shingle_sql('documents', 13, 'doc_id')}), p AS (SELECT DISTINCT g FROM ({_shingle_sql('benchmark', 13, 'item_id')})) SELECT doc_id, count(*) AS grams FROM s SEMI JOIN p USING (g) GROUP BY doc_id")

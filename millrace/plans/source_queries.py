@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import jsonl, shards
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 from ..streaming import events as E
 
 QUERIES: dict = {}
@@ -27,9 +26,8 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("src1_lenient_jsonl", "SELECT CASE WHEN doc_id % 50 = 0 THEN 'malformed' WHEN doc_id % 50 = 1 THEN 'no_field' END AS bad, count(*) AS n, coalesce(CAST(sum(CASE WHEN doc_id % 50 > 1 THEN length(text) END) AS BIGINT), 0) AS chars FROM documents GROUP BY 1")

@@ -146,3 +146,26 @@ def test_math_format_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(map(tuple, Q.QUERIES["vrf6_math_format"](spark, str(tmp_path)).select("conv_id", "turn", "answer", "has_steps").collect()))
     assert got == [(1, 0, "1234.5", True), (1, 1, "7", True)]
+
+
+def test_encode_chat(spark):
+    """Ids and labels against a plain loop with the same tokenizer file."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.operators.chat import BEGIN_ID, END_ID, IGNORED, ROLE_IDS, encode_chat
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    talks = {1: [("user", "Say hello."), ("assistant", "Hello.")], 2: [("system", "Be brief."), ("user", "Why?"), ("assistant", "So."), ("user", "And?"), ("assistant", "No.")], 3: [("user", ""), ("assistant", "x")], 4: [("tool", "x")]}
+    rows = [(c, k, r, t) for c, turns in talks.items() for k, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["ids"], r["labels"]) for r in encode_chat(df).collect()}
+    for c in (1, 2):
+        ids, labels = [BEGIN_ID], [IGNORED]
+        for role, text in talks[c]:
+            own = tok.encode(text, add_special_tokens=False).ids + [END_ID] * (role == "assistant")
+            ids += [ROLE_IDS[role], *own]
+            labels += [IGNORED, *(own if role == "assistant" else [IGNORED] * len(own))]
+        assert got[c] == (ids, labels)
+    assert got[3] == got[4] == (None, None)
