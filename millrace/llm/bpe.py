@@ -2,8 +2,8 @@
 
 A batch is cut into the pattern's pieces with array operations, equal pieces are
 found by hash, and only pieces that a bounded cache lacks are encoded. The ids
-are those of `Tokenizer.encode(text, add_special_tokens=False)` with special
-tokens taken as ordinary text.
+are those of `Tokenizer.encode(text, add_special_tokens=False)`, so a special
+token's literal in a text becomes that token, as the tokenizer has it.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.limit = cache
         self.known = np.zeros(0, np.uint64)  # hashes of cached pieces, ascending
@@ -115,7 +115,8 @@ class Encoder:
         group: list[int] = []
         size = 0
         for i, t in enumerate(texts):
-            if "'" in t or "\x00" in t:  # contractions need the pattern itself; NUL ends texts below
+            # contractions and special tokens need the tokenizer itself; NUL ends texts below
+            if "'" in t or "\x00" in t or any(x in t for x in self.literals):
                 if group:
                     ids.append(self._fast(texts, group, counts))
                     group, size = [], 0

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from .bpe import Encoder
 
+DEAL = "_deal"  # a column of the pieces only; those of the input don't come so far
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -56,10 +57,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """A row for each piece of at most `capacity` ids: every full one, then the rest of the document."""
     kind = dict(docs.select(F.col(f"`{id_col}`").alias("x")).dtypes)["x"]
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if keep_ids else "")
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, {DEAL} long" + (", ids array<int>" if keep_ids else "")
 
     def cut(batches):
         encoder = _encoder(tokenizer)
+        seen = 0  # rows of the task so far: tells repeated rows apart
         for whole in batches:
             row = 0
             while row < whole.num_rows:
@@ -78,8 +80,9 @@ def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
                 length = np.minimum(counts[doc] - start, capacity)
                 begin = (np.cumsum(counts) - counts)[doc] + start
                 crc = [zlib.crc32(stream[a : a + k].tobytes()) for a, k in zip(begin.tolist(), length.tolist())]
-                out = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(counts[doc])]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                out = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(counts[doc]), pa.array(doc + seen)]
+                seen += len(counts)
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", DEAL]
                 if keep_ids:
                     out.append(pa.array([stream[a : a + k].astype(np.int32) for a, k in zip(begin.tolist(), length.tolist())], pa.list_(pa.int32())))
                     names.append("ids")
@@ -104,25 +107,27 @@ def pack_documents(
     A document is its ids, then `end_id`. It is cut only every `capacity` ids;
     full pieces are sequences of their own, and the rests are packed by
     first-fit decreasing with a tournament tree of bin capacities. Documents are
-    dealt by a seeded hash to groups of about `group_docs`, and groups are packed
-    independently, so a task's memory doesn't depend on the corpus.
+    dealt by a seeded hash of id, content and place in their task to groups of about
+    `group_docs`, and groups are packed independently, so a task's memory doesn't
+    depend on the corpus, nor on an id or a text that repeats.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
     (and ids with `keep_ids`). A null text counts as empty: one piece, the end
-    id alone. A null or repeated doc_id is packed like any other row. An empty
+    id alone. A null or repeated doc_id is packed like any other row, and so are rows
+    that repeat as a whole. Texts of any length are tokenised whole. An empty
     table gives no rows. Other columns of `docs` are ignored, whatever their names.
     """
     groups = max(1, round(docs.count() / group_docs))
     pieces = tokenised_pieces(docs, id_col, text_col, tokenizer, capacity, end_id, keep_ids)
-    group = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)).cast("long")
-    schema = StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long")
+    group = F.pmod(F.xxhash64("doc_id", "doc_tokens", DEAL, F.lit(seed)), F.lit(groups)).cast("long")
+    schema = StructType([f for f in pieces.schema.fields if f.name != DEAL]).add("sequence_id", "long").add("offset", "long")
 
     def pack(key, frame):
-        frame = frame.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+        frame = frame.sort_values(["length", "doc_id", "start", DEAL], ascending=[False, True, True, True], kind="stable")
         sizes = frame["length"].to_numpy()
         bins, offsets = first_fit_decreasing(sizes, capacity)
         frame["sequence_id"] = (int(key[0]) << 32) + bins
         frame["offset"] = offsets
-        return frame.drop(columns="_group")
+        return frame.drop(columns=["_group", DEAL])
 
     return pieces.withColumn("_group", group).groupBy("_group").applyInPandas(pack, schema)
