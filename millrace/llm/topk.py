@@ -47,26 +47,27 @@ def cell_bounds(pivots: np.ndarray, radius_q: np.ndarray, count_q: np.ndarray, r
     return needed
 
 
-def solve(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int):
-    """(query_id, id, score) of each query's k best among the data; ties to the smaller id, own id left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, data = ids[order], data[order]
-    out_q, out_i, out_s = [], [], []
+def solve(query_rows: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, data: np.ndarray, k: int):
+    """(query row, id, row, score) of each query's k best among the data; ties to the smaller id, then row; the own row left out."""
+    order = np.lexsort((rows, ids))
+    ids, rows, data = ids[order], rows[order], data[order]
+    out_q, out_i, out_r, out_s = [], [], [], []
     for a in range(0, len(queries), 256):
         scores = queries[a : a + 256] @ data.T
-        for row, q in zip(scores, query_ids[a : a + 256].tolist()):
+        for row, q in zip(scores, query_rows[a : a + 256].tolist()):
             if len(row) > k + 1:
                 cut = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
                 at = np.flatnonzero(row >= cut)
             else:
                 at = np.arange(len(row))
-            at = at[ids[at] != q]
+            at = at[rows[at] != q]
             at = at[np.argsort(-row[at], kind="stable")[:k]]
             out_q.append(np.full(len(at), q, np.int64))
             out_i.append(ids[at])
+            out_r.append(rows[at])
             out_s.append(row[at].astype(np.int64))
     joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return joined(out_q), joined(out_i), joined(out_s)
+    return joined(out_q), joined(out_i), joined(out_r), joined(out_s)
 
 
 def exact_top_k(
@@ -78,23 +79,26 @@ def exact_top_k(
     query_modulus: int = 20,
     pivots: int = 64,
     block: int = 2048,
+    data_block: int = 16384,
     seed: int = 11,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's `k` highest integer inner products.
 
     Queries are the vectors whose id is divisible by `query_modulus`; candidates
-    are all others, ties going to the smaller id. Every vector joins the Voronoi
+    are all other rows, ties going to the smaller id. Every vector joins the Voronoi
     cell of its nearest pivot; from each cell's summary (radius, distances of the
     k + 1 vectors next to the pivot, at most `pivots` of them) come the cells that
     a query cell can need. Queries of a cell and the vectors of the cells that
-    they need meet in blocks of about `block` rows, dealt by a hash of the id, so
-    neither a crowded cell nor a vector that repeats often fills a task; blocks
-    are solved by matrix products and their best k merged per query.
+    they need meet in blocks of about `block` queries and `data_block` vectors, dealt
+    by a hash of the row, so neither a crowded cell nor a vector that repeats often
+    fills a task; blocks are solved by matrix products and their best k merged per
+    query. Where bounds prune nothing, each block of vectors gives k rows a query.
 
     Vectors that are null, hold null or non-finite components, or whose length
-    isn't the most common one take no part; nor do null ids. Rows that repeat an
-    id count as one vector's own row for queries of that id. An empty table gives
-    no rows. Other columns are ignored.
+    isn't the most common one take no part; nor do null ids. Rows that repeat an id
+    are queries and candidates of their own: each such query row has its own ranks
+    from 1, and the other rows of its id are candidates like any others. An empty
+    table gives no rows. Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     base = quantised(vectors, id_col, vector_col, scale)
@@ -121,7 +125,8 @@ def exact_top_k(
                 [batch.column(0), pa.array(cell.astype(np.int32)), pa.array(distance), pa.array(raw, pa.binary())], ["id", "cell", "distance", "raw"]
             )
 
-    celled = materialise(base.mapInArrow(assign, "id long, cell int, distance double, raw binary"), "cells")
+    celled = base.mapInArrow(assign, "id long, cell int, distance double, raw binary")
+    celled = materialise(celled.withColumn("row", F.monotonically_increasing_id()), "cells")
     is_query = F.pmod(F.col("id"), F.lit(query_modulus)) == 0
     summary = celled.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"),
@@ -158,23 +163,25 @@ def exact_top_k(
     for g, cells in groups.items():
         group_of[cells] = g
         wanted = np.flatnonzero(needed[cells].any(0))
-        plan.append((g, max(1, -(-int(count_q[cells].sum()) // block)), max(1, -(-int(count[wanted].sum()) // block)), wanted))
+        plan.append((g, max(1, -(-int(count_q[cells].sum()) // block)), max(1, -(-int(count[wanted].sum()) // data_block)), wanted))
     small = F.broadcast(spark.createDataFrame([(int(c), int(g), int(nq), int(nd)) for g, nq, nd, _ in plan for c in groups[g]], "cell int, g int, nq int, nd int"))
     large = F.broadcast(spark.createDataFrame([(int(c), int(g), int(nq), int(nd)) for g, nq, nd, wanted in plan for c in wanted], "cell int, g int, nq int, nd int"))
-    dealt = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    queries = celled.where(is_query).join(small, "cell").select("g", dealt("nq", 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), "id", "raw")
+    dealt = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("int")
+    queries = celled.where(is_query).join(small, "cell").select("g", dealt("nq", 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), "row", "raw")
     # new names, as both sides come from one table
-    data = celled.join(large, "cell").select("g", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), dealt("nd", 2).alias("db"), F.col("id").alias("vid"), F.col("raw").alias("vraw"))
-    data = data.select(F.col("g").alias("vg"), F.col("qb").alias("vqb"), F.col("db").alias("vdb"), "vid", "vraw")
+    data = celled.join(large, "cell").select("g", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), dealt("nd", 2).alias("db"), F.col("id").alias("vid"), F.col("row").alias("vrow"), F.col("raw").alias("vraw"))
+    data = data.select(F.col("g").alias("vg"), F.col("qb").alias("vqb"), F.col("db").alias("vdb"), "vid", "vrow", "vraw")
 
     def local(left, right):
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_row", "vec_id", "vec_row", "score"]
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names)
+            return pa.table([pa.array([], pa.int64())] * 4, names)
         l, r = left.combine_chunks(), right.combine_chunks()
-        found = solve(l["id"].to_numpy(), _matrix(l["raw"], dim), r["vid"].to_numpy(), _matrix(r["vraw"], dim), k)
+        found = solve(l["row"].to_numpy(), _matrix(l["raw"], dim), r["vid"].to_numpy(), r["vrow"].to_numpy(), _matrix(r["vraw"], dim), k)
         return pa.table([pa.array(x, pa.int64()) for x in found], names)
 
-    best = queries.groupBy("g", "qb", "db").cogroup(data.groupBy("vg", "vqb", "vdb")).applyInArrow(local, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = queries.groupBy("g", "qb", "db").cogroup(data.groupBy("vg", "vqb", "vdb")).applyInArrow(local, "query_row long, vec_id long, vec_row long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
+    best = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    ids = celled.where(is_query).select(F.col("row").alias("query_row"), F.col("id").alias("query_id"))
+    return best.join(ids, "query_row").select("query_id", "rank", "vec_id", "score")
