@@ -30,7 +30,14 @@ MARKED = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond "
     "share sharing social related recommended breadcrumb breadcrumbs pagination pager search toolbar skip contentinfo complementary disclaimer".split()
 )
+# words that say nothing of their own beside those
+GENERIC = frozenset(
+    "area bar block body bottom box button buttons center col column container content div element frame group holder icon icons id inner item items "
+    "left link links list main outer panel post right row section site slot text title top unit wrap wrapper".split()
+)
 KEPT_ROLES = frozenset({"article", "main"})
+#: Places of blocks: elsewhere, in a main element, in an article, in an article below a doubtful mark.
+ELSEWHERE, MAIN, ARTICLE, DOUBTFUL = range(4)
 
 _TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
@@ -42,22 +49,28 @@ _MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _marks(rest: str) -> tuple[bool, bool]:
-    """(marks what isn't the article, marks the article) by class, id and role."""
-    bad = good = False
+def _marks(rest: str) -> tuple[int, bool]:
+    """(2 for a name that marks what isn't the article, 1 for one that has such a word among others; whether it marks the article).
+
+    `related` and `ad-box` are such names, `related-work` may be anything.
+    """
+    bad, good = 0, False
     for m in _MARK.finditer(rest):
         value = html.unescape(m[2] or m[3] or m[4] or "")
         if m[1].lower() == "role":
             good |= value.strip().lower() in KEPT_ROLES
-        words = {w.lower() for w in _WORD.findall(value)}
-        bad |= bool(words & MARKED)
+        for token in value.split():
+            words = {w.lower() for w in _WORD.findall(token)} or {token.lower()}
+            if words & MARKED:
+                bad = max(bad, 2 if all(w in MARKED or w in GENERIC or w.isdigit() for w in words) else 1)
     return bad, good
 
 
 def page_blocks(source: str) -> list[tuple[str, int]]:
     """(text, place) of each block in page order, without what structure tells to be no article.
 
-    place is 2 inside an article, 1 inside a main element, 0 elsewhere. Blocks end
+    place is ARTICLE, MAIN, ELSEWHERE, or DOUBTFUL: in an article, but below an element
+    whose name has a word for what isn't the article among others. Blocks end
     where block elements begin or end; character references are decoded, white
     space is one space. Unclosed elements, stray ends and a page that breaks off
     are taken as browsers take them, nearly.
@@ -125,13 +138,16 @@ def page_blocks(source: str) -> list[tuple[str, int]]:
                         break
             was_dropped = stack[-1][1] if stack else False
             here = stack[-1][2] if stack else 0
-            bad, good = _marks(rest) if "=" in rest else (False, False)
+            bad, good = _marks(rest) if "=" in rest else (0, False)
             is_root = name in ("html", "body")
-            drop = was_dropped or name in DROPPED or (bad and not is_root) or (name == "header" and here < 1)
+            marked = not is_root and (bad == 2 or bad == 1 and here < ARTICLE and name != "article")
+            drop = was_dropped or name in DROPPED or marked or (name == "header" and here == ELSEWHERE)
             if name == "article" and not drop:
-                here = 2
+                here = max(here, ARTICLE)
             elif (name == "main" or good) and not drop:
-                here = max(here, 1)
+                here = max(here, MAIN)
+            elif bad == 1 and here >= ARTICLE:
+                here = DOUBTFUL
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
                 at = end.start() if end else size
@@ -146,16 +162,20 @@ def page_blocks(source: str) -> list[tuple[str, int]]:
     return blocks
 
 
-def settled(blocks: list[tuple[str, int]]) -> list[str] | None:
-    """The blocks of the article or main element; None if the page has neither."""
-    for place in (2, 1):
-        if any(p >= place for _, p in blocks):
-            return [t for t, p in blocks if p >= place]
-    return None if blocks else []
+def proposed(blocks: list[tuple[str, int]]) -> tuple[list[str], list[bool]]:
+    """What structure proposes as main text, and which blocks of it the host's other pages must settle.
+
+    An article's blocks, else a main element's; a page with neither proposes all its
+    blocks, and all are open. In an article only blocks of doubtful names are.
+    """
+    for place in (ARTICLE, MAIN):
+        if any(place <= p for _, p in blocks):
+            return [t for t, p in blocks if p >= place], [p == DOUBTFUL for _, p in blocks if p >= place]
+    return [t for t, _ in blocks], [True] * len(blocks)
 
 
 def unique_runs(pages: list[list[str]], least: int) -> list[list[str]]:
-    """Blocks less the words covered by runs of `least` words or more that occur on distinct pages.
+    """Each page's blocks, empty where nothing is left, less the words covered by runs of `least` words or more that occur on distinct pages.
 
     The pages' word streams are concatenated with separators and suffix-sorted. A
     run that repeats across pages shows as neighbours of different pages with a
@@ -215,8 +235,7 @@ def unique_runs(pages: list[list[str]], least: int) -> list[list[str]]:
             w = text.split(" ")
             left = [x for x, h in zip(w, hit[pos : pos + len(w)]) if not h]
             pos += len(w) + 1
-            if left and not (len(w) < least and short[text][0] < short[text][1]):
-                kept.append(" ".join(left))
+            kept.append("" if len(w) < least and short[text][0] < short[text][1] else " ".join(left))
         out.append(kept)
     return out
 
@@ -239,14 +258,13 @@ def shared_places(pages: DataFrame, least: int) -> DataFrame:
 
 
 def without_places(blocks: list[str], places: list[tuple[int, int]], least: int) -> list[str]:
-    """Blocks less the `least` words from each place on."""
+    """Blocks, empty where nothing is left, less the `least` words from each place on."""
     words = [text.split(" ") for text in blocks]
     gone = [bytearray(len(w)) for w in words]
     for block, at in places:
         n = min(least, len(words[block]) - at)
         gone[block][at : at + n] = b"\1" * n
-    left = [" ".join(x for x, g in zip(w, gone_) if not g) for w, gone_ in zip(words, gone)]
-    return [x for x in left if x]
+    return [" ".join(x for x, g in zip(w, gone_) if not g) for w, gone_ in zip(words, gone)]
 
 
 def main_text(
@@ -254,18 +272,22 @@ def main_text(
 ) -> DataFrame:
     """page_id, url, text, n_chars of every row: the main text of the page.
 
-    Elements and class, id or role words that mark menus, headers, footers,
+    Elements and class, id or role names that mark menus, headers, footers,
     sidebars, notices, adverts, forms and comments are left out, with scripts,
-    styles and markup. If the page has an article (else a main) element, its
-    blocks are the text. The blocks of other pages go through the host suffix
-    array: the word streams of a host's pages are suffix-sorted together, and runs
-    of at least `least_words` words, or whole blocks, that occur on distinct pages
+    styles and markup. Structure proposes the blocks of the page's article (else main)
+    element, else all blocks; repetition on the host settles what structure leaves open:
+    all blocks of pages with neither element, and in an article those below a name like
+    `related-work`, which may or may not be a mark. The open blocks of a host's pages go
+    through the host suffix array: their word streams are suffix-sorted together, and
+    runs of at least `least_words` words, or whole blocks, that occur on distinct pages
     are removed; unique runs stay. The pages of a host with more than `group_pages`
     of them don't meet in one task: their runs are compared by hash, over all pages
-    of the host, with the same result.
+    of the host, with the same result. What structure settles stays even if it repeats,
+    as copies of an article are articles.
 
     Null html gives an empty text. A null url is a host of its own. Ids may be null
-    or repeat; rows are extracted one by one. Other columns are ignored. An empty
+    or repeat, and rows may repeat as a whole; each is a page of its own. A page of any
+    length is parsed whole. Other columns are ignored, whatever their names. An empty
     table gives no rows.
     """
     plain = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
@@ -274,51 +296,65 @@ def main_text(
     def extract(open_pages: bool):
         def go(batches):
             for batch in batches:
-                ids, urls, blocks = [], [], []
+                rows, texts, flags = [], [], []
                 size = 0
                 for i, source in enumerate(batch.column(2)):
-                    found = page_blocks(source.as_py() or "")
-                    done = settled(found)
-                    if (done is None) != open_pages:
+                    blocks, doubtful = proposed(page_blocks(source.as_py() or ""))
+                    if any(doubtful) != open_pages:
                         continue
-                    ids.append(i)
-                    blocks.append([t for t, _ in found] if open_pages else "\n".join(done))
-                    size += sum(len(t) for t, _ in found)
+                    rows.append(i)
+                    texts.append(blocks)
+                    flags.append(doubtful)
+                    size += sum(map(len, blocks))
                     if size > 8 << 20:
-                        yield made(batch, ids, blocks)
-                        ids, blocks, size = [], [], 0
-                if ids:
-                    yield made(batch, ids, blocks)
-
-        def made(batch, ids, blocks):
-            at = pa.array(ids, pa.int64())
-            rest = [pa.array(blocks, pa.list_(pa.string()))] if open_pages else [pa.array(blocks, pa.string()), pa.array([len(b) for b in blocks], pa.int64())]
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *rest], ["page_id", "url", *(["blocks"] if open_pages else ["text", "n_chars"])])
+                        yield made(batch, rows, texts, flags)
+                        rows, texts, flags, size = [], [], [], 0
+                if rows:
+                    yield made(batch, rows, texts, flags)
+
+        def made(batch, rows, texts, flags):
+            at = pa.array(rows, pa.int64())
+            ids = [batch.column(0).take(at), batch.column(1).take(at)]
+            if open_pages:
+                return pa.RecordBatch.from_arrays([*ids, pa.array(texts, pa.list_(pa.string())), pa.array(flags, pa.list_(pa.bool_()))], ["page_id", "url", "blocks", "open"])
+            return pa.RecordBatch.from_arrays(*texts_of(*ids, texts))
 
         return go
 
-    closed = plain.mapInArrow(extract(False), f"page_id {kind}, url string, text string, n_chars long")
-    unsure = materialise(plain.mapInArrow(extract(True), f"page_id {kind}, url string, blocks array<string>").withColumn("row", F.monotonically_increasing_id()), "open-pages")
-    host = F.coalesce(F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    unsure = unsure.withColumn("host", host)
-    if unsure.isEmpty():
-        return closed
-    large = unsure.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_pages).select("host")
-    schema = f"page_id {kind}, url string, text string, n_chars long"
-
     def texts_of(ids, urls, kept):
         texts = ["\n".join(x) for x in kept]
         return [ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
 
+    def merged(blocks, flags, kept):
+        """All blocks in page order, the open ones as far as they are kept."""
+        rest = iter(kept)
+        found = [next(rest) if f else t for t, f in zip(blocks, flags)]
+        return [t for t in found if t]
+
+    schema = f"page_id {kind}, url string, text string, n_chars long"
+    closed = plain.mapInArrow(extract(False), schema)
+    unsure = plain.mapInArrow(extract(True), f"page_id {kind}, url string, blocks array<string>, open array<boolean>").withColumn("row", F.monotonically_increasing_id())
+    unsure = materialise(unsure, "open-pages")
+    if unsure.isEmpty():
+        return closed
+    host = F.coalesce(F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    doubtful = F.transform(F.filter(F.arrays_zip("blocks", "open"), lambda x: x["open"]), lambda x: x["blocks"])
+    unsure = unsure.withColumns({"host": host, "doubtful": doubtful})
+    large = unsure.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_pages).select("host")
+
     def solve(key, table):
-        return pa.table(*texts_of(table["page_id"], table["url"], unique_runs(table["blocks"].to_pylist(), least_words)))
+        kept = unique_runs(table["doubtful"].to_pylist(), least_words)
+        every = [merged(b, f, k) for b, f, k in zip(table["blocks"].to_pylist(), table["open"].to_pylist(), kept)]
+        return pa.table(*texts_of(table["page_id"], table["url"], every))
 
     def cut(batches):
         for batch in batches:
-            kept = [without_places(b, [(x["block"], x["at"]) for x in p or []], least_words) for b, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(*texts_of(batch.column(0), batch.column(1), kept))
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            every = [merged(b, f, without_places(d, [(x["block"], x["at"]) for x in p or []], least_words)) for b, f, d, p in zip(*columns)]
+            yield pa.RecordBatch.from_arrays(*texts_of(batch.column(0), batch.column(1), every))
 
     small = unsure.join(large, "host", "left_anti").groupBy("host").applyInArrow(solve, schema)
     many = unsure.join(large, "host", "left_semi")
-    many = many.join(shared_places(many, least_words), "row", "left").select("page_id", "url", "blocks", "places").mapInArrow(cut, schema)
+    places = shared_places(many.select("host", "row", F.col("doubtful").alias("blocks")), least_words)
+    many = many.join(places, "row", "left").select("page_id", "url", "blocks", "open", "doubtful", "places").mapInArrow(cut, schema)
     return closed.unionByName(small).unionByName(many)
