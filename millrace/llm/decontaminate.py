@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import bounded, fresh, materialise
 
-# Of any 13 aligned words with up to three substitutions, one of
-# the two masks meets five in a row that agree wherever the mask has a 1.
-MASKS = ("11101", "11011")
-SPAN = 5
+# Of 5 to 13 aligned words with a quarter of them substituted at most,
+# one of the masks meets words that agree wherever it has a 1.
+MASKS = ("1111", "11101", "11011", "10111", "110011")
+LEAST_WORDS = 5  # the masks are sure to meet items from this size on
 BROADCAST_SEEDS = 2_000_000  # rows of (hash, item, position): 64 MB at most
-BROADCAST_HITS = 500_000  # of (item, two positions)
+BROADCAST_HITS = 500_000  # of (item, offset)
 
 
 def word_hashes(text: Column) -> Column:
@@ -21,17 +21,15 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(h: Column, at: Column, mask: str, number: int) -> Column:
-    """The hash of the words at the mask's ones, counted from the 0-based position `at`."""
-    return F.xxhash64(F.lit(number), *[F.get(h, at + j) for j, c in enumerate(mask) if c == "1"])
-
-
 def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each position and mask: `keep`, at, mask, seed. `h` goes no further, so that rows stay narrow."""
-    places = F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN))
+    """A row for each position and mask that fits: `keep`, at, seed. `h` goes no further, so that rows stay narrow."""
+    span = min(map(len, MASKS))
+    places = F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span))
     placed = rows.select(*keep, "h", F.explode(places).alias("at"))
-    both = F.posexplode(F.array(*[_seed(F.col("h"), F.col("at"), m, i) for i, m in enumerate(MASKS)]))
-    return placed.select(*keep, "at", both.alias("mask", "seed"))
+    seed = lambda i, mask: F.when(
+        F.col("at") + len(mask) <= F.size("h"), F.xxhash64(F.lit(i), *[F.get("h", F.col("at") + j) for j, c in enumerate(mask) if c == "1"])
+    )
+    return placed.select(*keep, "at", F.explode(F.array(*[seed(i, m) for i, m in enumerate(MASKS)])).alias("seed")).where("seed is not null")
 
 
 def contaminated_pairs(
@@ -43,60 +41,55 @@ def contaminated_pairs(
     item_text_col: str = "text",
     window: int = 13,
     share: float = 0.75,
-    least_words: int = 8,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """(doc_id, item_id, first_word, n_seeds): documents with a passage of a benchmark item.
+    """(doc_id, item_id, first_word): documents with a passage of a benchmark item.
 
     A document has a passage of an item if `window` consecutive words of both,
     aligned without gaps, agree in at least `share` of the places (an item shorter
     than the window: all its words). Words are lower-cased runs of letters and
     digits. Spaced seeds, whose masks ignore fixed places, are hashed at every word
-    of test and training texts and joined; around each hit the aligned words are
-    compared, so a substitution neither hides a passage nor counts as an
-    agreement. first_word is the 0-based word at which the first hit lies, n_seeds
-    the number of verified hits.
+    of test and training texts and joined; along each hit the aligned words are
+    compared, so a substitution neither hides a passage nor counts as an agreement.
+    first_word is the 0-based word at which the first such window begins. With the
+    default window and share the masks meet every pattern of substitutions, so all
+    pairs that the definition names are found.
 
     The seeds of the benchmark are broadcast if they are counted to be at most
-    BROADCAST_SEEDS, and joined by shuffle otherwise. The masks are sure to meet
-    13 words only: of the patterns of substitutions that `share` allows, they miss
-    5 of 37 at 8 words, 3 of 46 at 9, 1 of 56 at 10 and 2 of 299 at 12, where no
-    other words agree. Items with fewer than `least_words` words, or null, take no
-    part, so a document that holds a short question verbatim stays; null or empty documents give no
-    rows; null ids are kept as they are; rows that repeat an id are counted
-    together; other columns are ignored.
+    BROADCAST_SEEDS, and joined by shuffle otherwise. Items with fewer than
+    `least_words` words (nearly every text holds some of these), or null, take no
+    part; null or empty documents give no rows; null ids are kept as they are; rows
+    that repeat an id are counted together; other columns are ignored, whatever
+    their names. An empty table gives no rows.
     """
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), word_hashes(F.col(f"`{item_text_col}`")).alias("h"))
-    items = materialise(items.where(F.size("h") >= max(least_words, SPAN)).withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"]), "items")
+    items = materialise(items.where(F.size("h") >= max(least_words, LEAST_WORDS)).withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"]), "items")
     seeds = _seeds(items, ["item"]).select("seed", "item", F.col("at").alias("item_at"))
     small = seeds.count() <= BROADCAST_SEEDS
     text = F.col(f"`{text_col}`").cast("string")
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     words = keyed.select(F.xxhash64("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("h"))
-    hits = _seeds(words, ["key"]).join(F.broadcast(seeds) if small else seeds, "seed").select("key", F.struct("item", "mask", "at", "item_at").alias("hit"))
-    hits = materialise(hits.groupBy("key").agg(F.collect_set("hit").alias("hits")), "hits")
-    few = (hits.agg(F.sum(F.size("hits") + 1)).first()[0] or 0) <= BROADCAST_HITS
-    found = keyed.withColumn("key", F.xxhash64("doc_id", "text")).join(F.broadcast(hits) if few else hits, "key")
+    hits = _seeds(words, ["key"]).join(F.broadcast(seeds) if small else seeds, "seed").select("key", "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
+    hits = materialise(hits.groupBy("key").agg(F.collect_list(F.struct("item", "offset")).alias("hits")), "hits")
+    found = keyed.withColumn("key", F.xxhash64("doc_id", "text")).join(bounded(hits, BROADCAST_HITS, "hits"), "key")
     found = found.select("doc_id", word_hashes(F.col("text")).alias("h"), "hits").select("doc_id", "h", F.explode("hits").alias("hit"))
     ends = items.select("item", "item_id", F.col("h").alias("item_h"), F.size("h").alias("item_size"))
     hits = found.select("doc_id", "h", "hit.*").join(F.broadcast(ends) if small else ends, "item")
+    # all words of the item that lie beside words of the document at this offset
+    at, item_at = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
+    length = F.least(F.size("h") - at, F.col("item_size") - item_at)
     w = F.least(F.lit(window), F.col("item_size"))
-    need = F.ceil(w * F.lit(share)).cast("int")
-    # words of both from `before` words ahead of the hit up to a window's length after it
-    before = F.least(F.col("at"), F.col("item_at"), w - SPAN)
-    length = before + w
-    a = F.slice("h", F.col("at") - before + 1, length)
-    b = F.slice("item_h", F.col("item_at") - before + 1, length)
-    hits = hits.select("doc_id", "item_id", "at", w.alias("w"), need.alias("need"), F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)).alias("same"))
-    some = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("same") - F.col("w") + 1)),
-        lambda s: (F.size("same") >= F.col("w")) & (F.aggregate(F.slice("same", s, F.col("w")), F.lit(0), lambda t, x: t + x) >= F.col("need")),
-    )
-    good = hits.where(F.aggregate("same", F.lit(0), lambda t, x: t + x) >= F.col("need")).where(some)
-    return good.groupBy("doc_id", "item_id").agg(F.min("at").alias("first_word"), F.count(F.lit(1)).alias("n_seeds"))
+    same = F.zip_with(F.slice("h", at + 1, length), F.slice("item_h", item_at + 1, length), lambda x, y: F.when(x == y, 1).otherwise(0))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda t, y: t + y)
+    hits = hits.where(length >= w).select("doc_id", "item_id", at.alias("at"), w.alias("w"), F.ceil(w * F.lit(share)).cast("int").alias("need"), same.alias("same"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("same") - F.col("w")), lambda s: total(F.slice("same", s + 1, F.col("w"))) >= F.col("need"))
+    good = hits.where(total(F.col("same")) >= F.col("need")).select("doc_id", "item_id", (F.col("at") + F.array_min(starts)).alias("first_word"))
+    return good.where("first_word is not null").groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` without a benchmark passage, as they were; rows with a null id stay only if
     no row with a null id has one."""
-    bad = contaminated_pairs(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad")), "left_anti")
+    name = fresh(docs, "bad")
+    bad = contaminated_pairs(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")
