@@ -9,89 +9,98 @@ from pyspark.sql import functions as F
 
 from .runtime import connected_components, discard, materialise
 
+CROWD = 32  # ids of a bucket beyond which its last pairs are found by their rarest n-grams instead
+
+
+def pivot_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): each id of `rows` (bucket, id, k) with one pivot of its buckets.
+
+    A bucket's pivot is the id with the largest k, its number of buckets in all, as
+    what is central in a group of near copies agrees with others most often; an id
+    goes with the pivot that it shares most buckets with. So a bucket of n near copies
+    costs n pairs, not n * n.
+    """
+    pivots = rows.groupBy("bucket").agg(F.max(F.struct("k", "id")).alias("p"), F.count(F.lit(1)).alias("m"))
+    pivots = materialise(pivots.where("m > 1").select("bucket", F.col("p.id").alias("pivot")), "pivots")
+    seen = rows.join(pivots, "bucket").where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    best = seen.groupBy("id").agg(F.max(F.struct("k", "pivot")).alias("m")).select("id", "m.pivot")
+    return best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def prefix_pairs(nodes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that can have a Jaccard similarity of `percent`.
+
+    `nodes` has (id, component), `grams` (id, gram), distinct. The order of n-grams is
+    rarest first. Two sets of sizes x and y that link share at least
+    o = percent (x + y) / (100 + percent) n-grams, so the rarest of them lies among the
+    first x - o + 1 of the one and y - o + 1 of the other. N-grams that a set has for
+    itself, or that one component has, take up places and make no pairs: near copies
+    of one base that differ too much drop out, as their own edits fill the places.
+    """
+    rows = materialise(grams.join(nodes, "id"), "grams")
+    spread = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+    spread = materialise(spread.select("gram", "df", (F.col("low") < F.col("high")).alias("open")), "spread")
+    listed = rows.join(spread, "gram").groupBy("id").agg(F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("df", "gram", "open"))).alias("g"))
+    listed = listed.withColumn("n", F.size("g").cast("long"))
+    first = F.slice("g", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    places = listed.select("id", "component", "n", F.posexplode(first).alias("at", "x")).where("x.open")
+    places = materialise(places.select("id", "component", "n", (F.col("at") + 1).alias("at"), F.col("x.gram").alias("gram")), "places")
+    side = lambda p: places.select("gram", *[F.col(c).alias(p + c) for c in ("id", "component", "n", "at")])
+    need = f"ceil({percent} * (x_n + y_n) / {100 + percent})"
+    met = side("x_").join(side("y_"), "gram").where(
+        f"(x_n > y_n or x_n = y_n and x_id > y_id) and x_component <> y_component and 100 * y_n >= {percent} * x_n "
+        f"and x_at <= x_n - {need} + 1 and y_at <= y_n - {need} + 1"
+    )
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+
 
 def components_from_buckets(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true"
+    shared: DataFrame, grams_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int
 ) -> DataFrame:
     """(id, component) of ids with links: components of the links that lie within buckets.
 
-    `shared` has rows (bucket, id, n, u): any two linked ids meet in some bucket; n
-    is an id's size and u what it has for itself, and `may`, a condition on n, u,
-    other_n and other_u, holds for every pair that can be linked. `verify` takes
-    pairs (a, b) and returns those that are linked. First every id is compared with
-    one pivot, the id of its bucket with least for itself, and ids without a link
-    with a second pivot; so a bucket of n near copies costs n comparisons, not
-    n * n. The last step compares all remaining pairs of a bucket that may be
-    linked and lie in different components, which is what exactness needs and, by
-    then, few.
+    `shared` has distinct rows (bucket, id, k), k the number of the id's rows: any two
+    linked ids meet in some bucket. `verify` takes pairs (a, b) and returns them with a
+    column `linked`; links are Jaccard similarities of at least `percent` of the sets
+    (id, gram) that `grams_of` returns for rows (id, ...). Every id is compared with a
+    pivot of its buckets, and those of large buckets that have no link with a second one
+    among themselves. Then only buckets with several components are left: of small ones
+    all pairs of different components are compared, of larger ones those that
+    `prefix_pairs` leaves. So no link between components is lost, and no group is
+    expanded into all its pairs.
     """
-    least_own = F.struct((F.col("u") / (F.col("n") + 1)).alias("o"), F.col("id").alias("pivot"), F.col("n").alias("other_n"), F.col("u").alias("other_u"))
-    by_hash = F.struct(F.xxhash64("id", F.lit(1)).alias("o"), F.col("id").alias("pivot"), F.col("n").alias("other_n"), F.col("u").alias("other_u"))
-    tried, links = [], []
-    for order in (least_own, by_hash):
-        rows = shared
-        for found in links:
-            ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            rows = rows.join(ids, "id", "left_anti")
-        pivots = shared.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.pivot", "p.other_n", "p.other_u")
-        seen = rows.join(pivots, "bucket").where("id <> pivot").where(may)
-        best = seen.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("k")).groupBy("id").agg(F.max(F.struct("k", "pivot")).alias("m"))
-        pairs = best.select(F.least("id", F.col("m.pivot")).alias("a"), F.greatest("id", F.col("m.pivot")).alias("b")).distinct()
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tried.append(pairs)
-        links.append(materialise(verify(pairs), "links"))
-    every = links[0].unionByName(links[1])
-    labels = materialise(connected_components(every), "labels")
-    rows = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    span = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rows = materialise(rows.join(span, "bucket"), "mixed")
-    left = rows.select("bucket", F.col("id").alias("a"), "n", "u", "component").alias("l")
-    right = rows.select("bucket", F.col("id").alias("b"), F.col("n").alias("other_n"), F.col("u").alias("other_u"), F.col("component").alias("other_component")).alias("r")
-    pairs = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & F.expr(f"a < b and component <> other_component and {may}")).select("a", "b").distinct()
-    for before in tried:
-        pairs = pairs.join(before, ["a", "b"], "left_anti")
-    pairs = materialise(pairs, "pairs")
-    last = materialise(verify(pairs), "links")
-    discard(*tried, pairs, rows)
-    return merged(labels, last)
+    first = materialise(verify(pivot_pairs(shared)), "verdicts")
+    ends = F.explode(F.array("a", "b")).alias("id")
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    large = materialise(sizes.where(F.col("m") > CROWD).select("bucket"), "large")
+    tried = first
+    if not large.isEmpty():
+        rows = shared.join(large, "bucket", "left_semi").join(first.where("linked").select(ends).distinct(), "id", "left_anti")
+        rows = materialise(rows, "unlinked")
+        second = materialise(verify(pivot_pairs(rows).join(first, ["a", "b"], "left_anti")), "verdicts")
+        tried = first.unionByName(second)
+    labels = connected_components(tried.where("linked"))
+    named = shared.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
+    mixed = materialise(mixed.where("low < high").select("bucket", "m"), "mixed")
+    rows = materialise(named.join(mixed, "bucket"), "open")
+    few = rows.where(F.col("m") <= CROWD)
+    side = lambda p: few.select("bucket", F.col("id").alias(p), F.col("component").alias(f"{p}_component"))
+    pairs = side("a").join(side("b"), "bucket").where("a < b and a_component <> b_component").select("a", "b").distinct()
+    crowd = rows.where(F.col("m") > CROWD)
+    if not crowd.isEmpty():
+        crowd = crowd.select("id", "component").distinct()
+        pairs = pairs.unionByName(prefix_pairs(crowd, grams_of(crowd), percent)).distinct()
+    last = materialise(verify(pairs.join(tried, ["a", "b"], "left_anti")), "verdicts")
+    out = merged(labels, last.where("linked"))
+    discard(first, large, mixed, rows, last)
+    return out
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after further links; stars stay as they are if there is none."""
+    """Labels after further links; `labels` itself if there is none, and else it is discarded."""
     if links.isEmpty():
         return labels
-    return materialise(connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)), "labels")
-
-
-def linkable(shared: DataFrame, sizes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """(bucket, id, n, u) of the rows of `shared` that may have a link; u counts a set's own n-grams.
-
-    `sizes` has (id, n), `grams` (id, gram) of all ids of `shared`; links are Jaccard
-    similarities of at least `percent`. An n-gram that no other candidate has is in no overlap, so a set of n n-grams, u
-    of them its own, shares n - u at most, of a union of at least the other's size
-    plus u. Near copies that differ too much from all others go here, before any
-    pair is made; what goes makes further n-grams unique, so this is done twice.
-    """
-    kept = shared.select("bucket", "id").join(sizes, "id")
-    for _ in range(2):
-        ids = kept.select("id").distinct()
-        own = grams.join(ids, "id", "left_semi").groupBy("gram").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z")
-        own = materialise(own.groupBy("id").agg(F.count(F.lit(1)).alias("u")), "own")
-        rows = kept.select("bucket", "id", "n").join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0).cast("long")))
-        rows = rows.where(f"100 * (n - u) >= {percent} * n")
-        ends = rows.groupBy("bucket").agg(F.min(F.col("n")).alias("least"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-        rows = rows.join(ends.select("bucket", "least"), "bucket").where(f"100 * (n - u) >= {percent} * (least + u)").drop("least")
-        ends = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-        kept = materialise(rows.join(ends.select("bucket"), "bucket"), "kept")
-    return kept
-
-
-#: What two sets can share at most: neither can share its own n-grams.
-_MOST = "least(n - u, other_n - other_u)"
-
-
-def may_link(percent: int) -> str:
-    """The condition of `components_from_buckets` for sets that `linkable` has left."""
-    return f"100 * {_MOST} >= {percent} * (n + other_n - {_MOST})"
+    out = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b")))
+    discard(labels)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import numpy as np
@@ -10,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mixed
-from .components import components_from_buckets, linkable, may_link, merged
-from .runtime import materialise
+from .components import components_from_buckets, merged
+from .runtime import discard, materialise
 from .words import shingle_hashes, text_chunks, word_hashes
 
-SLACK = 2  # fragments beyond the differences that a linked pair may have
 OVERLAP_FRAGMENTS = 8
 
 
@@ -34,15 +34,29 @@ def most_differences(size_a: int, size_b: int, percent: int) -> int:
 _BANDS = {p: size_bands(p, 1 << 40) for p in (80, 90)}
 
 
+def fragment_cuts(largest: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fragments, slack) for sets of a band up to size `largest`: one more than linked sets may differ by, and the slack.
+
+    The slack is well above the number of fragments that are empty by chance in the
+    smallest sets that are cut so, which have percent**2 of the largest size.
+    """
+    differ = 2 * largest * (100 - percent) // (100 + percent)
+    t = percent / 100
+    empty = math.exp(-t * t * (1 + t) / (2 * (1 - t))) if t < 1 else 0.0
+    slack = 2 + (1.8 * empty * differ).astype(np.int64)
+    return differ + 1 + slack, slack
+
+
 def fragment_signatures(shingles: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int):
     """(owner, signature) of every set's fragments.
 
     The global order of n-grams is that of their hashes. For sets of one band the
-    order is cut into more fragments than linked sets may differ by, so at least
-    SLACK + 1 fragments of linked sets are equal, and a fragment is known by the
+    order is cut into more fragments than linked sets may differ by, so more than
+    `slack` fragments of linked sets are equal, and a fragment is known by the
     hash of its n-grams. A set is signed under its own band's cut and under the
-    next band's. Empty fragments are signed only by sets with more than SLACK of
-    them: otherwise a pair has an equal fragment that isn't empty.
+    next band's. Empty fragments, which unrelated sets share, are signed only by
+    the rare sets with more than `slack` of them: otherwise a linked pair has an
+    equal fragment that isn't empty.
     """
     bands = _BANDS.setdefault(percent, size_bands(percent, 1 << 40))
     full = np.flatnonzero(sizes > 0)
@@ -50,8 +64,8 @@ def fragment_signatures(shingles: np.ndarray, owner: np.ndarray, sizes: np.ndarr
     out_o, out_s = [], []
     for step in (0, 1):
         upper = np.array([bands[b + step + 1] - 1 for b in band_of], np.int64)
-        cuts = np.zeros(len(sizes), np.int64)
-        cuts[full] = 2 * upper * (100 - percent) // (100 + percent) + 1 + SLACK
+        cuts, slack = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        cuts[full], slack[full] = fragment_cuts(upper, percent)
         band = np.zeros(len(sizes), np.int64)
         band[full] = band_of + step
         first = np.cumsum(cuts) - cuts
@@ -66,7 +80,7 @@ def fragment_signatures(shingles: np.ndarray, owner: np.ndarray, sizes: np.ndarr
             index = np.arange(len(who)) - first[who]
             signature = mixed(sums + counts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ mixed((band[who] << 32 | index).astype(np.uint64))
         empty = counts == 0
-        many = np.bincount(who, weights=empty, minlength=len(sizes)) > SLACK
+        many = np.bincount(who, weights=empty, minlength=len(sizes)) > slack
         keep = ~empty | many[who]
         out_o.append(who[keep])
         out_s.append(mixed(signature[keep]))
@@ -193,23 +207,30 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = materialise(signed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_runs, "bucket long, id long"), "shared")
 
     nodes = shared.select(F.col("id").alias("node")).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("id")).distinct()
-    parts = materialise(_fragments(plain.join(wanted, "id", "left_semi"), n), "fragments").dropDuplicates(["id", "part"])
-    sizes = classes.groupBy(F.col("node").alias("id")).agg(F.max("n_shingles").alias("n"))
-    shared = linkable(shared, sizes, parts.select("id", F.explode("grams").alias("gram")), percent)
-    parts = parts.join(shared.select("id").distinct(), "id", "left_semi")
+    wanted = materialise(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "wanted")
+    parts = materialise(_fragments(plain.join(wanted, "id", "left_semi"), n).dropDuplicates(["id", "part"]), "fragments")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = parts.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), "part", F.col("grams").alias("ga"))
         right = parts.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), "part", F.col("grams").alias("gb"))
         partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
         total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-        return total.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
-
-    labels = merged(components_from_buckets(shared, verify, may_link(percent)), twice).select(F.col("id").alias("node"), "component")
-    named = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialise(named, "named")
-    least = named.where("id is not null and n_shingles > 0").groupBy("component").agg(F.min("id").alias("least"))
-    grouped = named.join(least, "component", "left")
+        return total.select("a", "b", F.expr(f"100 * common >= {percent} * (na + nb - common)").alias("linked"))
+
+    def grams_of(rows: DataFrame) -> DataFrame:
+        return parts.join(rows, "id", "left_semi").select("id", F.explode("grams").alias("gram"))
+
+    held = shared.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    narrow, shared = shared, materialise(shared.join(held, "id"), "shared")
+    discard(narrow)
+    labels = merged(components_from_buckets(shared, grams_of, verify, percent), twice)
+    # the smallest id of each component, by nodes; each step is written, so that Spark can split a large component or class
+    reps = materialise(classes.groupBy("node").agg(F.min("rep").alias("rep")), "reps")
+    named = materialise(reps.join(labels.select(F.col("id").alias("node"), "component"), "node").select("node", "component", "rep"), "named")
+    least = materialise(named.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    linked = named.join(least, "component").select("node", "least")
+    place = materialise(reps.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("least")), "places")
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
-    return grouped.select(F.col("id").alias("doc_id"), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    out = sets.join(place, "node", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    discard(classes, shared, wanted, parts, labels, reps, named, least)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,18 +13,22 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and set for the session's life.
+    Where the session names none, a temporary folder is made and set for the
+    session's life, in local mode only: on a cluster its machines would write to
+    different disks, so that is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or "file://" + tempfile.mkdtemp(prefix="millrace-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(path)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+BROADCAST_EDGES = 200_000  # of two longs: 6 MB at most
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -51,41 +56,63 @@ def discard(*frames: DataFrame) -> None:
             df._millrace_path = None
 
 
+def bounded(df: DataFrame, most: int, lists: str | None = None) -> DataFrame:
+    """Broadcast a materialised table if its rows, and entries of its lists, are counted to be at most
+    `most`; a shuffled join otherwise."""
+    entries = df.agg(F.sum(F.size(lists) + 1 if lists else F.lit(1))).first()[0] or 0
+    return F.broadcast(df) if entries <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or the first like it that isn't the name of a column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) for every id that an edge names; component is the smallest id.
+    """(id, component) for every id that an edge names; component is the smallest id. The table is materialised.
 
     Alternating large-star and small-star steps: each round hangs every node's
     larger neighbours, then its smaller ones, below its smallest neighbour, and
     drops repeated edges, so a star of any size shrinks to one row for each leaf
-    in O(log n) rounds. Each round is written to the shared folder. Self loops
-    and edges with a null end are ignored; an empty input gives an empty result.
+    in O(log n) rounds. Each round is written to the shared folder. Self loops and
+    edges with a null end are ignored; an empty input gives an empty result.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(e)
     while True:
+        # few edges: minima are broadcast; many: they are written first, so that Spark can split the rows of a star's centre
+        held: list[DataFrame] = []
+
+        def side(df: DataFrame, name: str, few: bool = state[0] <= BROADCAST_EDGES, held: list = held) -> DataFrame:
+            if few:
+                return F.broadcast(df)
+            held.append(materialise(df, name))
+            return held[-1]
+
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # large star: larger neighbours v > u go below m
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        if state[0] > BROADCAST_EDGES:
+            held.append(large := materialise(large, "large"))
         # small star: smaller neighbours v <= u, and u itself, go below their smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-            .select("x.*")
-            .where("u <> v")
-            .distinct()
-        )
-        new = materialise(small, "edges")
+        low = side(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        new = materialise(large.join(low, "u").select(F.explode(ends).alias("x")).select("x.*").where("u <> v").distinct(), "edges")
         now = _state(new)
-        discard(e)
+        discard(e, *held)
         e = new
         if now == state:
             break
         state = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    out = materialise(e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), "components")
+    discard(e)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
