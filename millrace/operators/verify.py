@@ -180,8 +180,10 @@ def json_ok(c: Column) -> Column:
 def followed(kind: str, c: Column, **k) -> Column:
     """Whether a response follows an instruction of a kind; an empty response follows none.
 
-    Kinds that need language detection or sentence and word models are left out:
-    language, sentence counts, capital words and the two whole-text case checks.
+    Language detection and a sentence model are left out: of the kinds that ask for a
+    language, the two case checks hold for text in any language by its cased letters
+    alone, and capital words are runs without white space whose cased letters are all
+    upper-case; response language and sentence counts have no check.
     """
     low = F.lower(c)
     rules = {
@@ -205,10 +207,18 @@ def followed(kind: str, c: Column, **k) -> Column:
         "startend:end_checker": lambda: F.endswith(F.lower(F.btrim(T.strip(c), F.lit('"'))), F.lit(k["end_phrase"].strip().lower())),
         "startend:quotation": lambda: (F.length(T.strip(c)) > 1) & T.strip(c).startswith('"') & T.strip(c).endswith('"'),
         "punctuation:no_comma": lambda: ~c.contains(","),
+        "change_case:english_capital": lambda: _one_case(c, F.upper),
+        "change_case:english_lowercase": lambda: _one_case(c, F.lower),
+        "change_case:capital_word_frequency": lambda: relation(F.size(F.filter(F.split(c, T.S + "+"), lambda w: _one_case(w, F.upper))), k["capital_relation"], k["capital_frequency"]),
     }
     return F.coalesce((T.strip(c) != "") & rules[kind](), F.lit(False))
 
 
+def _one_case(c: Column, case) -> Column:
+    """Some letter has cases, and all that do are of this one."""
+    return (c == case(c)) & (F.upper(c) != F.lower(c))
+
+
 def _two(c: Column) -> Column:
     parts = F.transform(_split(c, r"\*{6}"), T.strip)
     inner = F.exists(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 2)), lambda x: x == "")

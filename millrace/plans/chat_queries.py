@@ -402,9 +402,32 @@ def evl2(spark, d):
     return g.agg(F.count_if(F.col("n") < 4).alias("missing"), F.count_if(F.col("n") > 4).alias("extra"), F.count(F.lit(1)).alias("requests"))
 
 
-@query("evl5_task_rows", "SELECT item_id, concat('Question: ', regexp_extract(text, '^([^\\s]+)', 1), chr(10), 'Answer:') AS query, len(string_split(text, '. ')) AS choices FROM benchmark")
+# task rows made from whole benchmark texts, some with a fault: four labelled choices, or two solutions
+_made = r"""(SELECT item_id, text, w, CASE WHEN item_id % 6 = 1 THEN ['A', 'B', 'B', 'D'] ELSE ['A', 'B', 'C', 'D'] END AS labels, ([w[1], w[2], w[3], CASE WHEN item_id % 7 = 2 THEN '' ELSE w[4] END]) AS four,
+    (['A', 'B', 'C', 'D', 'E'])[1 + item_id % 5] AS key FROM (SELECT *, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM benchmark))"""
+_arc_error = "CASE WHEN len(list_distinct(labels)) <> 4 THEN 'labels' WHEN text = '' THEN 'question' WHEN len(list_filter(four, lambda c: c IS NULL OR c = '')) > 0 THEN 'choices' WHEN key = 'E' THEN 'gold' END"
+_piqa_error = "CASE WHEN text = '' THEN 'question' WHEN w[1] IS NULL OR w[2] IS NULL THEN 'choices' WHEN item_id % 3 = 2 THEN 'gold' END"
+
+
+@query(
+    "evl5_task_rows",
+    f"""SELECT task, item_id, CASE WHEN error IS NULL THEN concat('Question: ', text, chr(10), 'Answer:') END AS prompt, CASE WHEN error IS NULL THEN array_to_string(choices, '|') END AS choices, CASE WHEN error IS NULL THEN gold END AS gold, error FROM (
+    SELECT 'arc' AS task, item_id, text, four AS choices, CAST(list_position(labels, key) - 1 AS INTEGER) AS gold, {_arc_error} AS error FROM {_made}
+    UNION ALL SELECT 'piqa', item_id, text, [w[1], w[2]], CAST(item_id % 3 AS INTEGER), {_piqa_error} FROM {_made})""",
+)
 def evl5(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("Question: "), F.regexp_extract("text", r"^([^ \t\n\r]+)", 1), F.lit("\nAnswer:")).alias("query"), F.size(F.split("text", r"\. ", -1)).alias("choices"))
+    """Requests of two task shapes; rows with a planted fault say what it is."""
+    from ..operators.tasks import multiple_choice
+
+    w = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"))
+    rows = table(spark, d, "benchmark").withColumn("w", w)
+    at = lambda i: F.get("w", F.lit(i))
+    labels = F.when(F.col("item_id") % 6 == 1, F.array(*map(F.lit, "ABBD"))).otherwise(F.array(*map(F.lit, "ABCD")))
+    four = F.array(at(0), at(1), at(2), F.when(F.col("item_id") % 7 == 2, "").otherwise(at(3)))
+    key = F.element_at(F.array(*map(F.lit, "ABCDE")), (F.col("item_id") % 5).cast("int") + 1)
+    arc = rows.select(F.lit("arc").alias("task"), "item_id", multiple_choice(F.col("text"), four, key, labels).alias("x"))
+    piqa = rows.select(F.lit("piqa").alias("task"), "item_id", multiple_choice(F.col("text"), F.array(at(0), at(1)), F.col("item_id") % 3).alias("x"))
+    return arc.unionByName(piqa).select("task", "item_id", "x.prompt", F.array_join("x.choices", "|").alias("choices"), "x.gold", "x.error")
 
 
 _word = r"(?i)(?:^|[^\p{L}\p{N}_])(yes|no|unknown)(?:$|[^\p{L}\p{N}_])"

@@ -465,10 +465,42 @@ def pln1(spark, d):
     return order.groupBy("doc_id").agg(F.count_if(used).alias("uses")).groupBy("uses").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("pln2_block_plan", f"SELECT doc_id, (r - 1) // 8 AS block FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY {_h}, doc_id) AS r FROM documents)")
+# an epoch is cut into blocks of ten updates: seven take eight rows of each language, three take 32 opening turns
+_kinds = "(SELECT e, b, i, CASE WHEN i < 7 THEN 'language' ELSE 'replay' END AS kind, row_number() OVER (PARTITION BY e, b ORDER BY sha256(concat_ws(chr(31), 'kind', e, b, i)), i) - 1 AS slot FROM range(2) x(e), range((SELECT blocks FROM m)) y(b), range(10) z(i))"
+
+
+@query(
+    "pln2_block_plan",
+    f"""WITH f AS (SELECT e, lang AS stream, 'd' || doc_id AS id, row_number() OVER (PARTITION BY e, lang ORDER BY sha256(concat_ws(chr(31), e, lang, doc_id)), doc_id) - 1 AS p FROM documents, range(2) x(e) WHERE lang IS NOT NULL),
+    r AS (SELECT e, 'replay' AS stream, 'c' || conv_id AS id, row_number() OVER (PARTITION BY e ORDER BY sha256(concat_ws(chr(31), e, 'replay', conv_id)), conv_id) - 1 AS p FROM (SELECT DISTINCT conv_id FROM conversations), range(2) x(e)),
+    m AS (SELECT least((SELECT min(n) FROM (SELECT count(*) // 56 AS n FROM f WHERE e = 0 GROUP BY stream)), (SELECT count(*) // 96 FROM r WHERE e = 0)) AS blocks),
+    k AS (SELECT *, row_number() OVER (PARTITION BY e, b, kind ORDER BY slot) - 1 AS j FROM {_kinds}),
+    t AS (SELECT e, stream, id, p // 8 AS q, 7 AS per, 'language' AS kind FROM f UNION ALL SELECT e, stream, id, p // 32, 3, 'replay' FROM r)
+    SELECT t.e * (SELECT blocks FROM m) * 10 + k.b * 10 + k.slot AS update_id, t.stream, t.id FROM t JOIN k ON t.e = k.e AND t.kind = k.kind AND t.q // t.per = k.b AND t.q % t.per = k.j""",
+)
 def pln2(spark, d):
-    w = Window.partitionBy("lang").orderBy(F.sha2(F.concat_ws("\x1f", F.lit("q"), F.col("doc_id").cast("string")), 256), "doc_id")
-    return table(spark, d, "documents").select("doc_id", F.floor((F.row_number().over(w) - 1) / 8).alias("block"))
+    """(update_id, stream, id): two epochs of blocks of ten updates, seven of eight rows of each language, three of 32 conversations.
+
+    Streams are shuffled by a hash for each epoch, the kinds of a block's updates too. There are as many whole
+    blocks as the shortest stream fills; what is left over takes no part in that epoch.
+    """
+    epochs = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("e")
+    h = lambda *c: F.sha2(F.concat_ws("\x1f", *[x.cast("string") for x in c]), 256)
+    docs = table(spark, d, "documents").where("lang is not null").select("lang", "doc_id", epochs)
+    docs = docs.select("e", F.col("lang").alias("stream"), F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("o"), h(F.col("e"), F.col("lang"), F.col("doc_id")).alias("h"))
+    talks = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", epochs)
+    talks = talks.select("e", F.lit("replay").alias("stream"), F.concat(F.lit("c"), "conv_id").alias("id"), F.col("conv_id").alias("o"), h(F.col("e"), F.lit("replay"), F.col("conv_id")).alias("h"))
+    rows = S.running_total(docs.unionByName(talks).withColumn("one", F.lit(1)), ["e", "stream"], ["h", "o"], "one", "p")
+    counts = {r["stream"]: r["n"] for r in docs.unionByName(talks).where("e = 0").groupBy("stream").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a stream
+    blocks = min((n // (96 if s == "replay" else 56) for s, n in counts.items()), default=0) if "replay" in counts else 0
+    slots = spark.range(2 * blocks * 10).select(F.floor(F.col("id") / (blocks * 10 or 1)).alias("e"), F.floor(F.col("id") / 10 % (blocks or 1)).cast("long").alias("b"), (F.col("id") % 10).alias("i"))
+    slots = slots.withColumn("slot", F.row_number().over(Window.partitionBy("e", "b").orderBy(h(F.lit("kind"), F.col("e"), F.col("b"), F.col("i")), "i")) - 1)
+    slots = slots.withColumn("replay", F.col("i") >= 7).withColumn("j", F.row_number().over(Window.partitionBy("e", "b", "replay").orderBy("slot")) - 1)
+    replay = F.col("stream") == "replay"
+    q = F.floor((F.col("p") - 1) / F.when(replay, 32).otherwise(8))
+    per = F.when(replay, 3).otherwise(7)
+    rows = rows.select("e", "stream", "id", replay.alias("replay"), F.floor(q / per).alias("b"), (q % per).alias("j"))
+    return rows.join(slots, ["e", "replay", "b", "j"]).select((F.col("e") * blocks * 10 + F.col("b") * 10 + F.col("slot")).alias("update_id"), "stream", "id")
 
 
 # ---- the flagship: clean, deduplicate, decontaminate, select, report

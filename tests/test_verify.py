@@ -83,3 +83,18 @@ def test_truncation(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     kept = C.truncate(df, F.length("text"), 8).select("conv_id", "turn").collect()
     assert sorted(map(tuple, kept)) == [(1, 0), (1, 3), (1, 4)]
+
+
+@pytest.mark.parametrize(
+    "kind, options, good, bad",
+    [
+        ("change_case:english_capital", {}, "ALL 3 LOUD WORDS!", "ALL but one"),
+        ("change_case:english_capital", {}, "É", "123"),
+        ("change_case:english_lowercase", {}, "quiet, 2 of them", "Quiet"),
+        ("change_case:capital_word_frequency", {"capital_relation": "at least", "capital_frequency": 2}, "NASA and the EU met", "NASA met Bob 12"),
+        ("change_case:capital_word_frequency", {"capital_relation": "less than", "capital_frequency": 1}, "none here 4", "ONE here"),
+    ],
+)
+def test_case_checks(spark, kind, options, good, bad):
+    assert ev(spark, lambda c: V.followed(kind, c, **options), good) is True
+    assert ev(spark, lambda c: V.followed(kind, c, **options), bad) is False
