@@ -286,10 +286,35 @@ def vrf7(spark, d):
     return want.select("conv_id", "turn", (T.word_count(F.col("text")) <= F.col("most")).alias("short"), V.followed("punctuation:no_comma", F.col("text")).alias("no_comma"), (t == F.col("text")).alias("lower_case"), F.col("text").rlike("[.!?]$").alias("ends"), frequent.alias("frequent"))
 
 
-@query("vrf8_task_checks", "SELECT event_id, true AS is_json, event_type IN ('click', 'view') AS member, CAST(props->>'k' AS INTEGER) % 2 = 0 AS even FROM events")
+# a turn's first word is asked for; the answer has it alone, with other text, in another word, or not at all
+_first = r"regexp_extract(text, '[\p{L}\p{N}]+')"
+
+
+@query(
+    "vrf8_task_checks",
+    f"""SELECT conv_id, turn, a = v AS passes, a <> v AND regexp_matches(a, concat('(^|[^\\p{{L}}\\p{{N}}_])', v, '($|[^\\p{{L}}\\p{{N}}_])')) AS extra, NOT regexp_matches(a, concat('(^|[^\\p{{L}}\\p{{N}}_])', v, '($|[^\\p{{L}}\\p{{N}}_])')) AS missing,
+    CASE WHEN list_contains(w, 'the') THEN 'positive' ELSE 'negative' END AS actual, (['positive', 'negative', 'invalid'])[1 + conv_id % 3] AS predicted,
+    turn % 4 = 0 AS json_passes, turn % 4 = 1 AS duplicate_keys, turn % 4 < 3 AS json_valid FROM (
+    SELECT *, CASE conv_id % 4 WHEN 0 THEN v WHEN 1 THEN concat('It is ', v, '.') WHEN 2 THEN concat(v, 'x9') ELSE '' END AS a, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w
+    FROM (SELECT *, {_first} AS v FROM conversations)) WHERE v <> ''""",
+)
 def vrf8(spark, d):
-    v = F.try_parse_json("props")
-    return table(spark, d, "events").select("event_id", v.isNotNull().alias("is_json"), F.array_contains(F.array(F.lit("click"), F.lit("view")), F.col("event_type")).alias("member"), (F.try_variant_get(v, "$.k", "int") % 2 == 0).alias("even"))
+    """Copying, membership and object answers, with planted faults: extra text, a longer word, a wrong label, repeated keys, no JSON."""
+    from ..operators.tasks import exact_answer, json_answer, membership_answer
+
+    v = F.regexp_extract("text", r"[\p{L}\p{N}]+", 0)
+    rows = _conv(spark, d).withColumn("v", v).where("v <> ''")
+    k, c = F.col("turn") % 4, F.col("conv_id") % 4
+    a = F.when(c == 0, F.col("v")).when(c == 1, F.concat(F.lit("It is "), "v", F.lit("."))).when(c == 2, F.concat("v", F.lit("x9"))).otherwise("")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"))
+    label = F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("maybe")), (F.col("conv_id") % 3).cast("int") + 1)
+    one = F.concat(F.lit('{"word": "'), "v", F.lit('"'))
+    made = F.when(k == 0, F.concat(one, F.lit("}"))).when(k == 1, F.concat(one, F.lit(', "word": "'), "v", F.lit('"}'))).when(k == 2, F.concat(one, F.lit(', "more": {"word": 1}}'))).otherwise(one)
+    rows = rows.select(
+        "conv_id", "turn", exact_answer(F.col("v"), a).alias("e"), membership_answer(words, F.lit("the"), F.lit("yes"), F.lit("no"), label).alias("m"),
+        json_answer(F.array(F.lit("word")), F.array("v"), made).alias("j"),
+    )
+    return rows.select("conv_id", "turn", "e.*", "m.actual", "m.predicted", F.col("j.passes").alias("json_passes"), F.col("j.duplicate_keys").alias("duplicate_keys"), F.col("j.valid").alias("json_valid"))
 
 
 _sp = "list_filter(regexp_split_to_array(text, " + O.pattern(T.S + "+") + "), lambda z: z <> '')"
