@@ -145,7 +145,7 @@ def test_math_format_reads_whole_texts(spark, tmp_path):
     rows = [(1, 0, "user", "x " * 500 + "\nFinal answer: 1,234.50\nmore"), (1, 1, "assistant", "no answer in " + "this text " * 500)]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(map(tuple, Q.QUERIES["vrf6_math_format"](spark, str(tmp_path)).select("conv_id", "turn", "answer", "has_steps").collect()))
-    assert got == [(1, 0, "1234.5", True), (1, 1, "7", True)]
+    assert got == [(1, 0, "1234.5", True), (1, 1, "7", False)]
 
 
 def test_encode_chat(spark):
