@@ -15,7 +15,7 @@ from .words import text_chunks
 
 GRAM = 32  # bytes of the string that an anchor is chosen by
 _POS_BITS = 26
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 20
 BROADCAST_ENTRIES = 100_000  # of some 50 bytes each
 CROWD = 4096  # distinct surroundings of one anchor beyond which its windows are compared by hash
 
@@ -207,7 +207,7 @@ def _bounded(df: DataFrame, lists: str) -> DataFrame:
     return F.broadcast(df) if entries <= BROADCAST_ENTRIES else df
 
 
-def repeated_spans(texts: DataFrame, length: int, block_bytes: int = 2 << 20) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int, block_bytes: int = 1 << 19) -> DataFrame:
     """(key, spans array<struct<a long, b long>>): bytes [a, b) of texts that windows repeated anywhere cover.
 
     Windows that can be equal share an anchor, so suffixes are dealt by anchor to
