@@ -79,10 +79,12 @@ def contaminated_pairs(
     at, item_at = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
     length = F.least(F.size("h") - at, F.col("item_size") - item_at)
     w = F.least(F.lit(window), F.col("item_size"))
-    same = F.zip_with(F.slice("h", at + 1, length), F.slice("item_h", item_at + 1, length), lambda x, y: F.when(x == y, 1).otherwise(0))
+    same = F.zip_with(F.slice("h", at + 1, F.greatest(F.lit(0), length)), F.slice("item_h", item_at + 1, F.greatest(F.lit(0), length)), lambda x, y: F.when(x == y, 1).otherwise(0))
     total = lambda x: F.aggregate(x, F.lit(0), lambda t, y: t + y)
     hits = hits.where(length >= w).select("doc_id", "item_id", at.alias("at"), w.alias("w"), F.ceil(w * F.lit(share)).cast("int").alias("need"), same.alias("same"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("same") - F.col("w")), lambda s: total(F.slice("same", s + 1, F.col("w"))) >= F.col("need"))
+    # safe for rows that another condition leaves out, too: expressions may be evaluated before it
+    room = F.size("same") - F.col("w")
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), room)), lambda s: (room >= 0) & (total(F.slice("same", s + 1, F.col("w"))) >= F.col("need")))
     good = hits.where(total(F.col("same")) >= F.col("need")).select("doc_id", "item_id", (F.col("at") + F.array_min(starts)).alias("first_word"))
     return good.where("first_word is not null").groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"))
 
