@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components_from_buckets, linkable, may_link
-from .runtime import materialise
+from .components import components_from_buckets
+from .runtime import bounded, discard, fresh, materialise
 
 SHINGLE = 8
-BANDS, ROWS = 8, 3
-CROWD = 64  # lines of a bucket beyond which lines with too many shingles of their own go first
+STEP = 4  # shingles to a row while signatures are made
+MINIMA = 9
+#: Bands of three minima each: the lines of the affine plane of order three, of which any two minima share one.
+BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6))
 BROADCAST_ENTRIES = 2_000_000  # of a long or two each: 64 MB at most
-
-
-def _bounded(df: DataFrame, lists: str | None = None) -> DataFrame:
-    """Broadcast a materialised table if its rows, and entries of its lists, are counted to be few; a
-    shuffled join otherwise."""
-    entries = df.agg(F.sum(F.size(lists) + 1 if lists else F.lit(1))).first()[0] or 0
-    return F.broadcast(df) if entries <= BROADCAST_ENTRIES else df
+BLANK = " \t\r\x0b\x0c"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,7 +22,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.select("key", "doc_id", "pos", F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line <> ''").withColumn("id", F.xxhash64("line"))
+    return rows.select("key", "doc_id", "pos", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
 def _wide(line: Column) -> Column:
@@ -34,62 +30,61 @@ def _wide(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def _shingle(wide: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(wide, 2 * at + 1, F.lit(2 * SHINGLE)))
+def _last(wide: Column) -> Column:
+    """The 1-based byte at which the last shingle begins; a line shorter than a shingle is one shingle."""
+    return F.greatest(F.lit(0), (F.octet_length(wide) / 2).cast("int") - SHINGLE) * 2 + 1
 
 
-def _last(wide: Column) -> Column:
-    """Where the last shingle begins; a line shorter than a shingle is one shingle."""
-    return F.greatest(F.lit(0), (F.octet_length(wide) / 2).cast("int") - SHINGLE)
+def _cut(wide: Column, at: Column) -> Column:
+    return F.substring(wide, at, F.lit(2 * SHINGLE))
 
 
 def minhash_signatures(lines: DataFrame) -> DataFrame:
-    """(id, m0, m1, ...) of each distinct line: minima of its shingles' hashes under BANDS * ROWS orders.
+    """(id, k, m0, m1, ...) of each distinct line: how often it occurs, and minima of its shingles' hashes under MINIMA orders.
 
     An order is that of the hashes xor a constant. Shingles are generated, hashed
     and reduced in one stage; equal lines meet before the shuffle.
     """
     rows = lines.select("id", _wide(F.col("line")).alias("wide"))
-    rows = rows.select("id", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")))).alias("at"))
-    # 32 bits do for candidates
-    rows = rows.select("id", F.hash(F.substring("wide", 2 * F.col("at") + 1, F.lit(2 * SHINGLE))).alias("x"))
+    rows = rows.select("id", "wide", _last(F.col("wide")).alias("last"))
+    rows = rows.select("id", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * STEP))).alias("at"))
+    # 32 bits do for candidates; a line's last shingle may count again, which changes no minimum
+    hashed = [F.hash(_cut(F.col("wide"), F.least(F.col("at") + 2 * j, F.col("last")))).alias(f"x{j}") for j in range(STEP)]
+    rows = rows.select("id", "at", *hashed)
     order = lambda j: F.hash(F.lit(f"order {j}"))
-    return rows.groupBy("id").agg(*[F.min(F.col("x").bitwiseXOR(order(j))).alias(f"m{j}") for j in range(BANDS * ROWS)])
+    minima = [F.min(F.least(*[F.col(f"x{i}").bitwiseXOR(order(j)) for i in range(STEP)])).alias(f"m{j}") for j in range(MINIMA)]
+    return rows.groupBy("id").agg(F.sum(F.when(F.col("at") == 1, 1).otherwise(0)).alias("k"), *minima)
 
 
 def line_buckets(signatures: DataFrame) -> DataFrame:
     """(bucket, id): one bucket for each band of a signature."""
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in band]) for b, band in enumerate(BANDS)]
     return signatures.select(F.explode(F.array(*bands)).alias("bucket"), "id")
 
 
-def line_classes(lines: DataFrame, similarity: float) -> DataFrame:
-    """(id, component) of lines that are similar to other lines."""
-    buckets = materialise(line_buckets(minhash_signatures(lines)), "buckets")
-    several = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
-    shared = materialise(buckets.join(several, "bucket"), "shared")
-    wanted = materialise(shared.select("id").distinct(), "wanted")
-    rows = lines.join(_bounded(wanted), "id", "left_semi").select("id", _wide(F.col("line")).alias("wide"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col("wide"))), lambda i: _shingle(F.col("wide"), i)))
-    grams = materialise(rows.dropDuplicates(["id"]).select("id", grams.alias("grams")), "grams")
+def _shingles(line: Column) -> Column:
+    """The shingles of a line; the outer array binds its encoded form once, as a column would be copied for each shingle."""
+    of = lambda w: F.transform(F.sequence(F.lit(1), _last(w), F.lit(2)), lambda i: F.xxhash64(_cut(w, i)))
+    return F.element_at(F.transform(F.array(_wide(line)), of), 1)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = grams.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-        right = grams.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-        sized = pairs.join(left, "a").join(right, "b")
-        common = sized.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("c"), (F.size("ga") + F.size("gb")).alias("n"))
-        return common.where(100 * F.col("c") >= round(100 * similarity) * (F.col("n") - F.col("c"))).select("a", "b")
 
+def line_classes(texts: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """(id, component) of lines that are similar to others, from rows (bucket, id, k); `texts` has (id, line, n), n the number of shingles, of each of these ids."""
     percent = round(100 * similarity)
-    sizes = grams.select("id", F.size("grams").cast("long").alias("n"))
-    crowded = materialise(shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("bucket"), "crowded")
-    few = shared.join(crowded, "bucket", "left_anti").join(sizes, "id").select("bucket", "id", "n", F.lit(0).cast("long").alias("u"))
-    many = materialise(shared.join(crowded, "bucket", "left_semi").select("bucket", "id"), "many")
-    if not many.isEmpty():  # only there do shingles of their own spare many pairs
-        own = grams.join(many.select("id").distinct(), "id", "left_semi").select("id", F.explode("grams").alias("gram"))
-        few = few.unionByName(linkable(many, sizes, own, percent))
-    shared = materialise(few, "linkable")
-    return components_from_buckets(shared, verify, may_link(percent))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"))
+        right = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb"))
+        # c of na + nb - c in common; each shingle list stands here once, as the optimiser would repeat its evaluation
+        common = F.size(F.array_intersect(_shingles(F.col("la")), _shingles(F.col("lb"))))
+        sizes = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        linked = sizes & ((100 + percent) * common >= percent * (F.col("na") + F.col("nb")))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", linked.alias("linked"))
+
+    def grams_of(rows: DataFrame) -> DataFrame:
+        return texts.join(rows, "id", "left_semi").select("id", F.explode(F.array_distinct(_shingles(F.col("line")))).alias("gram"))
+
+    return components_from_buckets(shared, grams_of, verify, percent)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -98,35 +93,51 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are the pieces between newlines, less white space at their ends; blank
     ones are never removed. Two lines are linked if the Jaccard similarity of
     their sets of 8-character shingles is at least `similarity` (a shorter line is
-    one shingle); candidates agree in a band of their MinHash signatures, and are
-    verified on the whole sets. Of each component of links and equal lines the
-    first line stays, by (id, position); the others are removed wherever they are.
-
-    Null texts stay null with n_lines 0. A null id sorts before all others. Rows
-    that repeat both id and text are one document and get the same result. The
-    other columns pass through, unless they are named n_lines or n_removed, which
-    are replaced. An empty table gives no rows.
+    one shingle); candidates agree in a band of their MinHash signatures (a pair at
+    0.8 does with probability 0.990, at 0.85 with 0.997), and are verified on the
+    whole sets. Of each component of links and equal lines the first line stays, by
+    (id, row, position); the others are removed wherever they are.
+
+    Null texts stay null with n_lines 0, empty ones stay empty. A null id sorts before all
+    others. Rows that repeat both id and text are one document and get the same
+    result. The other columns pass through, whatever their names, unless they are
+    named n_lines or n_removed, which are replaced. An empty table gives no rows.
+    Lines are told apart by a 64-bit hash; a line of any length is one row.
     """
     lines = _lines(docs, id_col, text_col)
-    labels = line_classes(lines, similarity)
-    found = lines.select("key", "doc_id", "pos", "id")
-    found = found.join(_bounded(labels), "id", "left").select("key", "doc_id", "pos", F.coalesce("component", "id").alias("component"))
+    signatures = materialise(minhash_signatures(lines), "signatures")
+    buckets = line_buckets(signatures)
+    several = materialise(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "several")
+    # a row for each line that shares a bucket or occurs more than once; a line has as many buckets as there are bands at most
+    wanted = buckets.join(bounded(several, BROADCAST_ENTRIES), "bucket").groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
+    wanted = signatures.where("k > 1").select("id").join(wanted, "id", "full").withColumn("similar", F.col("buckets").isNotNull())
+    wanted = materialise(wanted, "wanted")
+    shared = wanted.where("similar").select(F.explode("buckets").alias("bucket"), "id", F.size("buckets").alias("k"))
+    discard(signatures, several)
+    # the places of lines that others equal or may be similar to, and the texts of the latter
+    found = lines.join(bounded(wanted.select("id", "similar"), BROADCAST_ENTRIES), "id").select("id", "key", "doc_id", "pos", F.when(F.col("similar"), F.col("line")).alias("line"))
     found = materialise(found, "lines")
+    texts = found.where("line is not null").groupBy("id").agg(F.first("line").alias("line"))
+    texts = materialise(texts.withColumn("n", F.size(F.array_distinct(_shingles(F.col("line")))).cast("long")), "texts")
+    labels = line_classes(texts, shared, similarity)
     place = F.struct("doc_id", "key", "pos")
-    several = found.groupBy("component").agg(F.min("pos").alias("p"), F.max("pos").alias("q"), F.min("key").alias("k"), F.max("key").alias("l")).where("p <> q or k <> l").select("component")
-    repeated = materialise(found.join(several, "component"), "repeated")
-    first = repeated.groupBy("component").agg(F.min(place).alias("first"))
-    drops = repeated.join(first, "component").where(~place.eqNullSafe(F.col("first")))
-    drops = materialise(drops.groupBy(F.col("key").alias("_key")).agg(F.collect_set("pos").alias("_drop")), "drops")
+    heads = found.groupBy("id").agg(F.min(place).alias("first"))
+    heads = materialise(heads.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "first"), "heads")
+    first = materialise(heads.groupBy("component").agg(F.min("first").alias("first")), "firsts")
+    heads_of = materialise(heads.drop("first").join(first, "component").select("id", "first"), "kept")
+    drops = found.select("id", "doc_id", "key", "pos").join(heads_of, "id").where(~place.eqNullSafe(F.col("first")))
+    key, drop = fresh(docs, "key"), fresh(docs, "drop")
+    drops = materialise(drops.groupBy(F.col("key").alias(key)).agg(F.collect_set("pos").alias(drop)), "drops")
+    discard(wanted, found, texts, labels, heads, first, heads_of)
     text = F.col(f"`{text_col}`").cast("string")
     pieces = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    joined = docs.withColumn("_key", F.xxhash64(F.col(f"`{id_col}`"), text)).join(_bounded(drops, "_drop"), "_key", "left")
-    removed = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop"))
+    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
+    joined = docs.withColumn(key, F.xxhash64(F.col(f"`{id_col}`"), text)).join(bounded(drops, BROADCAST_ENTRIES, drop), key, "left")
+    removed = F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(drop))
     return joined.withColumns(
         {
-            "n_lines": F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter(pieces, lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != ""))),
+            "n_lines": F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter(pieces, lambda x: F.btrim(x, F.lit(BLANK)) != ""))),
             "n_removed": removed,
-            text_col: F.when(F.col("_drop").isNull(), text).otherwise(kept),
+            text_col: F.when(F.col(drop).isNull(), text).otherwise(kept),
         }
-    ).drop("_key", "_drop")
+    ).drop(key, drop)
