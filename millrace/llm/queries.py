@@ -107,21 +107,16 @@ _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        i AS (SELECT item_id, w, least(13, len(w)) AS wn FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 8),
-        dp AS (SELECT doc_id, pos, w[pos + 1] AS a, w[pos + 2] AS b, w[pos + 3] AS c, w[pos + 4] AS e, w[pos + 5] AS f
-               FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM d WHERE len(w) >= 5)),
-        ip AS (SELECT item_id, pos, w[pos + 1] AS a, w[pos + 2] AS b, w[pos + 3] AS c, w[pos + 4] AS e, w[pos + 5] AS f
-               FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS pos FROM i)),
-        hits AS (SELECT doc_id, item_id, dp.pos, ip.pos AS ipos FROM dp JOIN ip USING (a, b, c, f)
-                 UNION ALL SELECT doc_id, item_id, dp.pos, ip.pos FROM dp JOIN ip USING (a, b, e, f)),
-        placed AS (SELECT h.*, d.w AS dw, i.w AS iw, wn, CAST(ceil(wn * 0.75) AS INTEGER) AS need, least(pos, ipos, wn - 5) AS before
-                   FROM hits h JOIN d USING (doc_id) JOIN i USING (item_id)),
-        sized AS (SELECT *, greatest(least(before + wn, len(dw) - (pos - before)), least(before + wn, len(iw) - (ipos - before))) AS n FROM placed),
-        same AS (SELECT doc_id, item_id, pos, wn, need, n,
-                        list_transform(range(1, n + 1), lambda j: CASE WHEN dw[pos - before + j] = iw[ipos - before + j] THEN 1 ELSE 0 END) AS same FROM sized),
-        good AS (SELECT * FROM same WHERE n >= wn AND
-                 list_max(list_transform(range(1, n - wn + 2), lambda s: list_sum(list_slice(same, s, s + wn - 1)))) >= need)
-        SELECT doc_id, item_id, CAST(min(pos) AS INTEGER) AS first_word, count(*) AS n_seeds FROM good GROUP BY doc_id, item_id""",
+        i AS (SELECT item_id, w, least(13, len(w)) AS wn FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 5),
+        dp AS (SELECT doc_id, len(w) AS dn, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM d),
+        ip AS (SELECT item_id, len(w) AS n, wn, CAST(ceil(wn * 0.75) AS INTEGER) AS need, unnest(range(0, len(w))) AS ipos, unnest(w) AS word FROM i),
+        same AS (SELECT doc_id, item_id, dn, n, wn, need, pos - ipos AS off, list_sort(list(pos)) AS p FROM dp JOIN ip USING (word)
+                 GROUP BY ALL HAVING count(*) >= need),
+        placed AS (SELECT *, greatest(off, 0) AS low, least(dn, n + off) AS high FROM same),
+        begun AS (SELECT doc_id, item_id, list_min(list_transform(list_filter(range(1, len(p) - need + 2), lambda k: p[k + need - 1] - p[k] < wn),
+                         lambda k: greatest(low, p[k + need - 1] - wn + 1))) AS first_word
+                  FROM placed WHERE high - low >= wn)
+        SELECT doc_id, item_id, CAST(min(first_word) AS INTEGER) AS first_word FROM begun WHERE first_word IS NOT NULL GROUP BY doc_id, item_id""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
@@ -130,6 +125,29 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op4_ngram_join": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+              WHERE 10 * x.n >= 9 * y.n AND 10 * y.n >= 9 * x.n GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) AS component_id
+        FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)""",
+    "op5_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+        w AS MATERIALIZED (SELECT doc_id, s, md5(substring(x, 2 * s + 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS s FROM d)),
+        r AS (SELECT doc_id, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+        g AS (SELECT doc_id, s, sum(CASE WHEN s <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k
+              FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM r)),
+        i AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM g GROUP BY doc_id, k),
+        o AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM i GROUP BY doc_id),
+        c AS (SELECT doc_id, a, b FROM i UNION ALL SELECT doc_id, n, n FROM d),
+        p AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS z FROM c),
+        k AS (SELECT doc_id, string_agg(substring(x, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)), '' ORDER BY a) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+        FROM d LEFT JOIN o USING (doc_id) JOIN k USING (doc_id)""",
     "op8_top_k": """
         WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
