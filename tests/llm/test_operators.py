@@ -63,9 +63,102 @@ def test_decontamination(spark):
     assert contaminated_pairs(empty, bench).count() == 0 and contaminated_pairs(docs_frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_masks_meet_every_pattern():
+    """Of any 5 to 13 aligned words with the allowed number of substitutions, some mask meets words that all agree."""
+    import itertools
+
+    from millrace.llm.decontaminate import LEAST_WORDS, MASKS
+
+    for w in range(LEAST_WORDS, 14):
+        for bad in itertools.combinations(range(w), w - math.ceil(0.75 * w)):
+            assert any(all(at + j not in bad for j, c in enumerate(m) if c == "1") for m in MASKS for at in range(w - len(m) + 1)), (w, bad)
+
+
+def test_decontamination_edges(spark):
+    """Short items with substitutions, repeated ids and items, very long texts, and a column named like the helper's."""
+    from millrace.llm.decontaminate import contaminated_pairs, drop_contaminated
+
+    rnd = random.Random(12)
+    words = lambda n: [f"x{rnd.randrange(10**6)}" for _ in range(n)]
+    short, tiny = words(6), words(5)
+    near = [*short[:2], "other", *short[3:]]
+    rows = [(1, " ".join(words(20) + near)), (2, " ".join(words(30000) + short + words(30000))), (3, " ".join(tiny)), (3, "clean"), (4, "clean"), (5, " ".join(short[:4]))]
+    docs = spark.createDataFrame([(*r, "b", 1) for r in rows], "doc_id long, text string, bad string, item long")
+    bench = spark.createDataFrame([(1, " ".join(short)), (1, " ".join(short)), (2, " ".join(tiny)), (3, "four words are not")], "item_id long, text string")
+    assert sorted(map(tuple, contaminated_pairs(docs, bench).collect())) == [(1, 1, 20), (2, 1, 30000), (3, 2, 0)]
+    assert sorted(r["doc_id"] for r in drop_contaminated(docs, bench).collect()) == [4, 5]
+
+
 # ---- 2
 
 
+def brute_lines(rows, similarity=0.8):
+    """Rows (id, text) -> the text without lines of whose component an earlier line is kept; links by all pairs."""
+    places, lines = [], {}
+    for row, (i, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is not None, x[1][0] or 0, x[0])):
+        for pos, piece in enumerate((t if t is not None else "").split("\n")):
+            if line := piece.strip(" \t\r\x0b\x0c"):
+                places.append((row, pos, line))
+                lines.setdefault(line, frozenset(line[k : k + 8] for k in range(max(1, len(line) - 7))))
+    names = list(lines)
+    parent = {x: x for x in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(names)):
+        for b in range(a):
+            x, y = lines[names[a]], lines[names[b]]
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(x & y) >= similarity * len(x | y):
+                parent[find(names[a])] = find(names[b])
+    seen, gone = set(), collections.defaultdict(set)
+    for row, pos, line in places:
+        if find(line) in seen:
+            gone[row].add(pos)
+        seen.add(find(line))
+    return [t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[row]) for row, (i, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_line_dedup_brute_force(spark, monkeypatch, crowd):
+    """Against all pairs of lines: nothing is removed without a link, and nearly all links are found, whichever way crowded buckets go."""
+    from millrace.llm import components
+    from millrace.llm.line_dedup import dedup_lines
+
+    monkeypatch.setattr(components, "CROWD", crowd)
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    bases = [line(rnd.randint(8, 40)) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [line(rnd.randint(1, 30)) for _ in range(rnd.randint(0, 4))]
+        for _ in range(rnd.randint(1, 5)):
+            w = rnd.choice(bases).split(" ")
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(len(w))] = word()
+            parts.append(" ".join(w))
+        rnd.shuffle(parts)
+        rows.append((i, "\n".join(parts)))
+    rows += [(70, None), (71, ""), (72, " \n\t"), (None, bases[0] + "\nnull id"), (73, line(6000)), (74, "x\nx\n x "), (75, rows[3][1])]
+    df = spark.createDataFrame([(*r, "k", "d", 3, 4) for r in rows], "doc_id long, text string, key string, drop string, _key int, _drop int")
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    got = {(r["doc_id"], r["key"], r["_drop"]): r["text"] for r in out.collect()}
+    expected = dict(zip((i for i, _ in rows), brute_lines(rows)))
+    lost = extra = every = 0
+    for (i, key, drop), text in got.items():
+        assert (key, drop) == ("k", 4) and (text is None) == (expected[i] is None)
+        a, b = collections.Counter((text or "").split("\n")), collections.Counter((expected[i] or "").split("\n"))
+        every += sum((collections.Counter((dict(rows)[i] or "").split("\n")) - b).values())
+        lost, extra = lost + sum((a - b).values()), extra + sum((b - a).values())
+    assert every > 60 and extra == 0 and lost <= 0.02 * every
+    twice = dedup_lines(spark.createDataFrame([(1, "same line\nother"), (1, "same line\nother"), (2, "same line")], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in twice.collect()) == [(1, "same line\nother"), (1, "same line\nother"), (2, "")]
+
+
 def test_line_dedup(spark):
     from millrace.llm.line_dedup import dedup_lines
 
@@ -130,10 +223,12 @@ def brute_components(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids} | {i: (len(sets[i]), None) for i in sets if i is None}
 
 
-@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
-def test_ngram_join(spark, n, percent):
+@pytest.mark.parametrize("n, percent, crowd", [(3, 90, 32), (5, 80, 32), (3, 90, 1), (5, 80, 1)])
+def test_ngram_join(spark, monkeypatch, n, percent, crowd):
+    from millrace.llm import components
     from millrace.llm.ngram_join import ngram_components
 
+    monkeypatch.setattr(components, "CROWD", crowd)
     rows = corpus()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(docs_frame(spark, rows), n=n, percent=percent).collect()}
     assert got == brute_components(rows, n, percent)
@@ -343,6 +438,24 @@ def test_top_k(spark):
     assert exact_top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_repeated_ids(spark):
+    """Rows that repeat an id are queries and candidates of their own."""
+    from millrace.llm.topk import exact_top_k
+
+    rnd = np.random.default_rng(2)
+    ids = [20, 20, 20, 40, 40, *range(1, 30)]
+    x = np.floor(64 * rnd.normal(size=(len(ids), 4)).astype(np.float32).astype(float))
+    x[1] = x[0]
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    expected = []
+    for q, i in enumerate(ids):
+        if i % 20 == 0:
+            best = sorted((-int(x[q] @ x[c]), ids[c]) for c in range(len(ids)) if c != q)[:20]
+            expected += [(i, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    got = [tuple(r) for r in exact_top_k(df, pivots=4, block=4, data_block=8).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted(got) == sorted(expected)
+
+
 def test_bounds_prune():
     """Far clusters are left out, and what is needed never is."""
     from millrace.llm.topk import cell_bounds
@@ -363,10 +476,9 @@ def test_packing(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rnd = random.Random(8)
     texts = [" ".join(rnd.choice(["a", "über", "it's", "12", "日本", "<|endoftext|>", "\n\n"]) for _ in range(rnd.randint(0, 400))) for _ in range(40)]
-    rows = list(enumerate(texts)) + [(100, None), (101, ""), (102, "word " * 9000), (5, "same id"), (None, "no id"), (103, "\x00 'tis  ")]
+    rows = list(enumerate(texts)) + [(100, None), (101, ""), (102, "word " * 9000), (5, "same id"), (None, "no id"), (104, "a <|endoftext|> b"), (103, "\x00 'tis  ")]
     pieces = pack_documents(docs_frame(spark, rows), path, group_docs=16, keep_ids=True).collect()
     by_doc = collections.defaultdict(list)
     for r in pieces:
@@ -437,6 +549,24 @@ def test_html(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_doubtful_names(spark):
+    """In an article, a name with a word for boilerplate among others goes only where its text repeats on the host."""
+    from millrace.llm.html import main_text
+
+    page = (
+        "<article><p>lead %s</p><div class='social-science'>about society %s</div><section id=related-work>earlier work %s</section><p class='notice-of-death'>he died %s</p>"
+        "<div class='share-this-story'>pass this on to all your friends and tell them of us</div><div class='ad-box related'>buy</div><p>copied end</p></article>"
+    )
+    rows = [(i, f"http://h.com/{i}", page % ((f"x{i}",) * 4)) for i in range(3)] + [(3, "http://h.com/3", page % (("x0",) * 4)), (None, "http://other.com/", page % (("x9",) * 4))]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "page_id long, url string, html string, blocks string, row int")
+    for group_pages in (1, 256):
+        got = {r["page_id"]: r["text"] for r in main_text(df, group_pages=group_pages).collect()}
+        full = lambda k: f"lead {k}\nabout society {k}\nearlier work {k}\nhe died {k}"
+        assert got[1] == full("x1") + "\ncopied end" and got[2] == full("x2") + "\ncopied end"
+        assert got[None] == full("x9") + "\npass this on to all your friends and tell them of us\ncopied end"
+        assert got[3] == got[0] == "lead x0\ncopied end"
+
+
 def test_html_large_host(spark):
     """What repeats on few pages of a host goes, whether its pages are solved together or compared by hash."""
     from millrace.llm.html import main_text, unique_runs
@@ -461,7 +591,7 @@ def test_html_large_host(spark):
             gone = {j + k for j, r in runs(w) if len(seen[r]) > 1 for k in range(8)}
             kept.append(" ".join(x for j, x in enumerate(w) if j not in gone))
         expected.append([x for x in kept if x])
-    assert unique_runs(pages, 8) == expected
+    assert [[x for x in p if x] for p in unique_runs(pages, 8)] == expected
     assert not any("rare" in x or x in ("Home", "Back Home") for p in expected for x in p)
     rows = [(i, f"http://{h}/{i}", "".join(f"<div>{b}</div>" for b in blocks)) for h in ("big", "other") for i, blocks in enumerate(pages)]
     rows.append((0, "http://third/", "<div>Home</div>"))
@@ -473,6 +603,22 @@ def test_html_large_host(spark):
 # ---- pipeline
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Each stage on an empty table, and on null ids and texts, repeated rows and extra columns."""
+    import corpus_pipeline as P
+
+    d = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, bad long"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "an item of seven words or so here")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = [(1, "first text of its own kind", None, None, 1, "k", 2), (None, "no id here", "en", "s", None, None, None), (2, None, "en", "s", 0, "k", 1), (3, "", "en", "s", 0, "k", 1)]
+    rows += [(4, "a text that is here twice over", "en", "s", 0, "k", 1)] * 2
+    for name, stage in P.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), d).count() == 0, name
+        found = [r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, schema), d).collect()]
+        assert set(found) == {1, 2, 3, 4, None} and found.count(4) == (1 if name.startswith("n-gram") else 2), name
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on planted rows: what should go goes, clean rows stay, and the last stage packs the rest."""
     import corpus_pipeline as P
