@@ -62,11 +62,13 @@ class LinearModel:
         return _sigmoid(self.margins(h, owner, rows, extra))
 
 
-def fit_linear(h, owner, rows: int, extra: np.ndarray, y: np.ndarray, features: int = 3000, least: int = 4, l2: float = 0.3, steps: int = 150) -> LinearModel:
+LEAST = 4  # texts that a word must occur in
+
+
+def fit_linear(words, inverse, owner, rows: int, extra: np.ndarray, y: np.ndarray, features: int = 3000, least: int = LEAST, l2: float = 0.3, steps: int = 150) -> LinearModel:
     """The `features` words that tell most about y (by G-test, in at least `least` texts), then
-    penalised logistic regression by accelerated gradient steps."""
+    penalised logistic regression by accelerated gradient steps. Text owner[i] has words[inverse[i]]."""
     rate = float(np.clip(y.mean() if rows else 0.0, 1e-3, 1 - 1e-3))
-    words, inverse = np.unique(h, return_inverse=True)
     n = np.bincount(inverse, minlength=len(words)).astype(float)
     k = np.bincount(inverse, weights=y[owner], minlength=len(words))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -120,7 +122,16 @@ def _logits(p: np.ndarray) -> np.ndarray:
 
 def fit_chain(h, owner, rows: int, labels: np.ndarray, fold: np.ndarray, folds: int) -> ClassifierChain:
     """Later models are trained on earlier categories' out-of-fold probabilities; the threshold of the
-    last category is the one with the best out-of-fold F1."""
+    last category is the one with the best out-of-fold F1. Words of fewer than LEAST texts go first, as
+    no model can choose them, and the others are known by 32-bit numbers, for the driver's memory."""
+    words = np.unique(h)
+    inverse = np.empty(len(h), np.int32)
+    for a in range(0, len(h), 1 << 20):
+        inverse[a : a + (1 << 20)] = np.searchsorted(words, h[a : a + (1 << 20)])
+    common = np.bincount(inverse, minlength=len(words)) >= LEAST
+    keep = common[inverse]
+    inverse, owner, h = (np.cumsum(common, dtype=np.int32) - 1)[inverse[keep]], owner[keep].astype(np.int32), h[keep]
+    words = words[common]
     held = np.zeros(labels.shape)
     models = []
     for j in range(labels.shape[1]):
@@ -133,9 +144,9 @@ def fit_chain(h, owner, rows: int, labels: np.ndarray, fold: np.ndarray, folds:
                 continue
             renumber = np.cumsum(train) - 1
             t = train[owner]
-            model = fit_linear(h[t], renumber[owner[t]], int(train.sum()), extra[train], y[train])
+            model = fit_linear(words, inverse[t], renumber[owner[t]], int(train.sum()), extra[train], y[train])
             held[test, j] = model.probabilities(h, owner, rows, extra)[test]
-        models.append(fit_linear(h, owner, rows, extra, y))
+        models.append(fit_linear(words, inverse, owner, rows, extra, y))
     y, p = labels[:, -1].astype(bool), held[:, -1]
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(y[order])
@@ -180,16 +191,19 @@ def train_toxicity(
                 yield pa.RecordBatch.from_arrays([words, *[batch.column(i).slice(row, n) for i in range(1, batch.num_columns)]], ["words", *batch.schema.names[1:]])
 
     schema = "words array<long>, fold long, " + ", ".join(f"c{j} int" for j in range(len(categories))) + ", key long"
-    got = rows.mapInArrow(sets, schema).toArrow().combine_chunks()
-    key = got["key"].to_numpy()
-    _, first = np.unique(key, return_index=True)  # also puts the sample in a fixed order
-    got = got.take(pa.array(first)).combine_chunks()
-    column = got["words"]
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    h = column.flatten().to_numpy().view(np.uint64)
-    owner = np.repeat(np.arange(len(first)), np.asarray(column.value_lengths()).astype(np.int64)) if len(first) else np.zeros(0, np.int64)
-    y = np.array([got[f"c{j}"].to_numpy() for j in range(len(categories))]).T.reshape(len(first), len(categories))
-    return fit_chain(h, owner, len(first), y, got["fold"].to_numpy(), folds)
+    got = rows.mapInArrow(sets, schema).toArrow()  # at most sample_rows rows
+    _, first = np.unique(got["key"].to_numpy(), return_index=True)  # also puts the sample in a fixed order
+    y = np.array([got[f"c{j}"].to_numpy()[first] for j in range(len(categories))]).T.reshape(len(first), len(categories))
+    fold = got["fold"].to_numpy()[first]
+    none = [np.zeros(0, np.int64)]
+    lengths = np.concatenate([np.asarray(c.value_lengths()).astype(np.int64) for c in got["words"].chunks] or none)
+    flat = np.concatenate([c.flatten().to_numpy() for c in got["words"].chunks] or none)
+    del got
+    n = lengths[first]
+    at = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((np.cumsum(lengths) - lengths)[first] - (np.cumsum(n) - n), n).astype(np.int32)
+    h = flat[at].view(np.uint64)
+    del flat, at
+    return fit_chain(h, np.repeat(np.arange(len(first), dtype=np.int32), n), len(first), y, fold, folds)
 
 
 def toxicity_scores(docs: DataFrame, chain: ClassifierChain, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
