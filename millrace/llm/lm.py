@@ -295,7 +295,7 @@ def brown_scores(
     classes: int = 64,
     frequent: int = 1023,
     tails: int = 1024,
-    table: int = 1 << 17,
+    table: int = 1 << 19,
     modulus: int = 10,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
