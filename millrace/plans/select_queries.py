@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as T
 from ..operators import dedup as D
+from ..operators import permutation as P
 from ..operators import select as S
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 from . import oracle as O
 from .dedup_queries import _checkpoints, _rank, _shingle_sql
 from .text_queries import document_reason_sql
@@ -522,3 +526,137 @@ def flagship(spark, d):
     rows = unique.join(bad, "doc_id", "left_anti").select("source", "doc_id", "key", (F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) + 2).cast("long").alias("tokens"))
     chosen = S.prefix_by_quota(rows.withColumn("t", F.lit(5000)), "source", ["key", "doc_id"], "tokens", "t")
     return chosen.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.min("doc_id").alias("first_doc"))
+
+
+# ---- orders by arithmetic, caps with replacement, rounds and proportional merges
+
+
+def _round_sql(x: str, n: str, seed: int, epoch: str, backwards: bool) -> str:
+    """The swap-or-not rounds of `operators.permutation` in SQL."""
+    key = f"(CAST(concat('0x', left(md5(concat('{seed}:', {epoch}, ':', r)), 15)) AS BIGINT) % {n} + {n} - a) % {n}"
+    order = "range(31, -1, -1)" if backwards else "range(32)"
+    return f"list_reduce(list_prepend({x}, {order}), lambda a, r: CASE WHEN left(md5(concat('{seed}:', {epoch}, ':', r, ':', greatest(a, {key}))), 1) < '8' THEN {key} ELSE a END)"
+
+
+_numbered = "(SELECT doc_id, row_number() OVER (ORDER BY sha256(concat_ws(chr(31), 'epoch', doc_id)), doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)"
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, place): documents numbered from 0 in hash order."""
+    rows = table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("\x1f", F.lit("epoch"), F.col("doc_id").cast("string")), 256).alias("h"), F.lit(1).alias("one"))
+    return S.running_total(rows, [], ["h", "doc_id"], "one", "place").select("doc_id", (F.col("place") - 1).alias("place"))
+
+
+@query(
+    "pck4_resumed_epochs",
+    f"""WITH d AS {_numbered}, n AS (SELECT count(*) AS n FROM documents), p AS (SELECT unnest(range(n // 3, n // 3 + n + n // 4)) AS position, n FROM n),
+    q AS (SELECT position, position // n AS epoch, {_round_sql("position % n", "n", 11, "(position // n)", True)} AS place FROM p)
+    SELECT position, epoch, doc_id FROM q JOIN d USING (place)""",
+)
+def pck4_resumed(spark, d):
+    """Documents at positions n/3 to n/3 + 5n/4 over two epochs, used in three runs that each go on where the log says."""
+    _checkpoints(spark)
+    places = _places(spark, d).checkpoint()
+    n = places.count()
+    if not n:
+        return places.select(F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("epoch"), "doc_id")
+    path = f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}"
+    P.PositionLog(spark, path).append(P.Plan(n, 11, n // 3, n // 3, n // 3 + n + n // 4))
+    parts = []
+    for _ in range(3):
+        log = P.PositionLog(spark, path)
+        plan = log.latest()
+        most = min(-(-(plan.end - plan.start) // 3), plan.end - plan.committed)
+        parts.append(P.planned_rows(spark, plan, most))
+        log.append(plan.commit(most))
+    used = parts[0].union(parts[1]).union(parts[2])
+    return used.join(places, "place").select("position", "epoch", "doc_id")
+
+
+@query(
+    "pck4_place_of_document",
+    f"WITH d AS {_numbered} SELECT doc_id, 5 * n + {_round_sql('place', 'n', 11, '5', False)} AS position FROM d",
+)
+def pck4_place(spark, d):
+    """Where each document comes in epoch 5: the way back from a row to its position."""
+    _checkpoints(spark)
+    places = _places(spark, d).checkpoint()
+    return P.positions_of(places, "place", max(places.count(), 1), 11, 5).select("doc_id", "position")
+
+
+@query(
+    "pck4_fixed_subset",
+    f"""WITH d AS {_numbered}, k AS (SELECT n, n // 7 AS k FROM (SELECT count(*) AS n FROM documents)), i AS (SELECT unnest(range(k)) AS i, n, k FROM k),
+    s AS (SELECT i AS stratum, i * n // k + CAST(concat('0x', left(md5(concat('3:subset:', i)), 15)) AS BIGINT) % ((i + 1) * n // k - i * n // k) AS place FROM i)
+    SELECT stratum, doc_id FROM s JOIN d USING (place)""",
+)
+def pck4_subset(spark, d):
+    _checkpoints(spark)
+    places = _places(spark, d).checkpoint()
+    n = places.count()
+    return P.fixed_subset(spark, n, n // 7, 3).join(places, "place").select("stratum", "doc_id")
+
+
+@query(
+    "sel17_share_caps",
+    """WITH RECURSIVE t AS (SELECT CAST(floor(0.4 * count(*)) AS BIGINT) AS total FROM documents),
+    d AS (SELECT doc_id, concat('s', source) AS s, concat('l', lang) AS l, row_number() OVER (ORDER BY sha256(concat_ws(chr(31), 'cap', doc_id))) AS i, total, CAST(ceil(0.12 * total) AS BIGINT) AS sc, CAST(ceil(0.45 * total) AS BIGINT) AS lc FROM documents, t),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, MAP {'': CAST(0 AS BIGINT)} AS c, CAST(NULL AS BIGINT) AS doc_id UNION ALL
+          SELECT x.i, n + CAST(x.ok AS BIGINT), CASE WHEN x.ok THEN map_concat(c, MAP {x.s: x.cs + 1, x.l: x.cl + 1}) ELSE c END, CASE WHEN x.ok THEN x.id END
+          FROM (SELECT d.i, g.n, g.c, d.doc_id AS id, s, l, coalesce(c[s], 0) AS cs, coalesce(c[l], 0) AS cl, g.n < total AND coalesce(c[s], 0) < sc AND coalesce(c[l], 0) < lc AS ok FROM g JOIN d ON d.i = g.i + 1) x)
+    SELECT doc_id FROM g WHERE doc_id IS NOT NULL""",
+)
+def sel17_shares(spark, d):
+    """Two fifths of all documents, at most 12 % of them from a source and 45 % in a language; the next in hash order replace those turned away."""
+    _checkpoints(spark)
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.sha2(F.concat_ws("\x1f", F.lit("cap"), F.col("doc_id").cast("string")), 256).alias("h"))
+    total = int(0.4 * docs.count())
+    return S.capped_choice(docs, total, {"source": math.ceil(0.12 * total), "lang": math.ceil(0.45 * total)}, "h").select("doc_id")
+
+
+_families = "(SELECT concat_ws('/', lang, source) AS family, doc_id, row_number() OVER (PARTITION BY concat_ws('/', lang, source) ORDER BY sha256(concat_ws(chr(31), 'q', doc_id)), doc_id) AS r, count(*) OVER (PARTITION BY concat_ws('/', lang, source)) AS n FROM documents)"
+
+
+@query(
+    "sel13_top_up",
+    f"""WITH f AS {_families}, t AS (SELECT CAST(floor(0.6 * count(*)) AS BIGINT) AS total, count(DISTINCT family) AS k FROM f),
+    b AS (SELECT *, least(n, total // k) AS base FROM f, t), l AS (SELECT max(total) - count(*) FILTER (WHERE r <= base) AS lack FROM b),
+    x AS (SELECT family, doc_id, row_number() OVER (ORDER BY r - base, family) AS turn FROM b WHERE r > base)
+    SELECT family, doc_id FROM b WHERE r <= base UNION ALL SELECT family, doc_id FROM x, l WHERE turn <= lack""",
+)
+def sel13_top_up(spark, d):
+    """Three fifths of all documents in equal shares of language and source; what small families lack is dealt to the others in rounds."""
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("family"), "doc_id", F.sha2(F.concat_ws("\x1f", F.lit("q"), F.col("doc_id").cast("string")), 256).alias("h"), F.lit(1).alias("one"))
+    quotas = S.top_up_quotas(docs.groupBy("family").agg(F.count(F.lit(1)).alias("n")), int(0.6 * docs.count())).select("family", "quota")
+    return S.prefix_by_quota(docs.join(F.broadcast(quotas), "family"), "family", ["h", "doc_id"], "one", "quota").select("family", "doc_id")
+
+
+_merged = "(SELECT doc_id, source, row_number() OVER (ORDER BY (2 * r - 1) / q, source) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws(chr(31), 'mix', doc_id)), doc_id) AS r, CAST(count(*) OVER (PARTITION BY source) AS DOUBLE) AS q FROM documents))"
+
+
+def _merge(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2(F.concat_ws("\x1f", F.lit("mix"), F.col("doc_id").cast("string")), 256).alias("h"))
+    return S.proportional_merge(docs, "source", ["h", "doc_id"])
+
+
+@query("sel8_quota_interleave", f"SELECT doc_id, place FROM {_merged}")
+def sel8_merge(spark, d):
+    return _merge(spark, d).select("doc_id", "place")
+
+
+@query(
+    "sel8_prefix_shares",
+    f"""WITH m AS {_merged}, q AS (SELECT source, count(*) AS q FROM m GROUP BY source), n AS (SELECT count(*) AS n FROM m),
+    x AS (SELECT source, place, q, n, row_number() OVER (PARTITION BY source ORDER BY place) AS r FROM m JOIN q USING (source), n)
+    SELECT source, max(greatest(abs(CAST(r * n - place * q AS DOUBLE) / n), abs(CAST((r - 1) * n - (place - 1) * q AS DOUBLE) / n))) < 1 AS within_one, count(*) AS docs FROM x GROUP BY source""",
+)
+def sel8_shares(spark, d):
+    """Whether each source's count in every prefix of the merge is within one row of its share."""
+    merged = _merge(spark, d).select("source", "h", "doc_id", "place")
+    n = merged.count()
+    quota = merged.groupBy("source").agg(F.count(F.lit(1)).alias("q"))
+    r = S.running_total(merged.withColumn("one", F.lit(1)), ["source"], ["h", "doc_id"], "one", "r")
+    rows = r.join(F.broadcast(quota.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
+    off = lambda k, at: F.abs((k * F.lit(n) - at * F.col("q")).cast("double") / F.lit(n))
+    worst = F.greatest(off(F.col("r"), F.col("place")), off(F.col("r") - 1, F.col("place") - 1))
+    return rows.groupBy("source").agg((F.max(worst) < 1).alias("within_one"), F.count(F.lit(1)).alias("docs"))
