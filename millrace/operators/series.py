@@ -17,20 +17,20 @@ def _starts(pairs: DataFrame, firsts: DataFrame, keys: list[str], fan: int) -> D
 
     Runs of `fan` chunks are composed into one map and settled first, so no list is longer than `fan`.
     """
-    most = pairs.agg(F.max("k")).first()[0] or 0
-    listed = pairs.withColumn("_k", F.expr(f"k div {fan}")).groupBy(*keys, "_k").agg(F.sort_array(F.collect_list(F.struct("k", "a", "b"))).alias("maps"))
+    most = pairs.agg(F.max("_c")).first()[0] or 0
+    listed = pairs.withColumn("_g", F.expr(f"_c div {fan}")).groupBy(*keys, "_g").agg(F.sort_array(F.collect_list(F.struct("_c", "_a", "_b"))).alias("_maps"))
     if most < fan:
-        listed = listed.join(firsts.withColumnRenamed("first", "start"), keys)
+        listed = listed.join(firsts.withColumnRenamed("_first", "_start"), keys)
     else:
         one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-        whole = F.aggregate("maps", one, lambda s, m: F.struct((m["a"] * s["a"]).alias("a"), (m["a"] * s["b"] + m["b"]).alias("b")))
-        upper = listed.select(*keys, F.col("_k").alias("k"), whole.alias("w")).select(*keys, "k", "w.a", "w.b")
-        listed = listed.join(_starts(upper, firsts, keys, fan).withColumnRenamed("k", "_k"), [*keys, "_k"])
+        whole = F.aggregate("_maps", one, lambda s, m: F.struct((m["_a"] * s["a"]).alias("a"), (m["_a"] * s["b"] + m["_b"]).alias("b")))
+        upper = listed.select(*keys, F.col("_g").alias("_c"), whole.alias("w")).select(*keys, "_c", F.col("w.a").alias("_a"), F.col("w.b").alias("_b"))
+        listed = listed.join(_starts(upper, firsts, keys, fan).withColumnRenamed("_c", "_g"), [*keys, "_g"])
     empty = F.array().cast("array<double>")
-    state = F.struct(F.col("start").alias("x"), empty.alias("out"))
-    scan = F.aggregate("maps", state, lambda s, m: F.struct((m["a"] * s["x"] + m["b"]).alias("x"), F.concat(s["out"], F.array(s["x"])).alias("out")), lambda s: s["out"])
-    rows = listed.select(*keys, F.explode(F.arrays_zip("maps", scan.alias("out"))).alias("z"))
-    return rows.select(*keys, F.col("z.maps.k").alias("k"), F.col("z.out").alias("start"))
+    state = F.struct(F.col("_start").alias("x"), empty.alias("out"))
+    scan = F.aggregate("_maps", state, lambda s, m: F.struct((m["_a"] * s["x"] + m["_b"]).alias("x"), F.concat(s["out"], F.array(s["x"])).alias("out")), lambda s: s["out"])
+    rows = listed.select(*keys, F.explode(F.arrays_zip("_maps", scan.alias("out"))).alias("z"))
+    return rows.select(*keys, F.col("z._maps._c").alias("_c"), F.col("z.out").alias("_start"))
 
 
 def moving_average(rows: DataFrame, keys: list[str], step: str, value: str, beta: float = 0.9, tie: str | None = None, fan: int = CHUNK) -> DataFrame:
@@ -42,19 +42,19 @@ def moving_average(rows: DataFrame, keys: list[str], step: str, value: str, beta
     """
     kept = rows.where(F.col(value).isNotNull())
     order = F.struct(F.col(step).alias("step"), (F.col(tie) if tie else F.lit(0)).alias("tie"), F.col(value).cast("double").alias("value"))
-    chunks = kept.groupBy(*keys, F.expr(f"`{step}` div {fan}").alias("k")).agg(F.sort_array(F.collect_list(order)).alias("v"))
-    b = F.aggregate("v", F.lit(0.0), lambda x, r: F.lit(beta) * x + F.lit(1 - beta) * r["value"])
-    pairs = chunks.select(*keys, "k", F.pow(F.lit(beta), F.size("v")).alias("a"), b.alias("b"))
-    firsts = kept.groupBy(*keys).agg(F.min(order)["value"].alias("first"))
-    joined = chunks.join(_starts(pairs, firsts, keys, fan), [*keys, "k"])
-    state = F.struct(F.col("start").alias("x"), F.array().cast("array<double>").alias("out"))
+    chunks = kept.groupBy(*keys, F.expr(f"`{step}` div {fan}").alias("_c")).agg(F.sort_array(F.collect_list(order)).alias("_v"))
+    b = F.aggregate("_v", F.lit(0.0), lambda x, r: F.lit(beta) * x + F.lit(1 - beta) * r["value"])
+    pairs = chunks.select(*keys, "_c", F.pow(F.lit(beta), F.size("_v")).alias("_a"), b.alias("_b"))
+    firsts = kept.groupBy(*keys).agg(F.min(order)["value"].alias("_first"))
+    joined = chunks.join(_starts(pairs, firsts, keys, fan), [*keys, "_c"])
+    state = F.struct(F.col("_start").alias("x"), F.array().cast("array<double>").alias("out"))
 
     def step_on(s, r):
         x = F.lit(beta) * s["x"] + F.lit(1 - beta) * r["value"]
         return F.struct(x.alias("x"), F.concat(s["out"], F.array(x)).alias("out"))
 
-    out = joined.select(*keys, F.explode(F.arrays_zip("v", F.aggregate("v", state, step_on, lambda s: s["out"]).alias("ema"))).alias("z"))
-    return out.select(*keys, F.col("z.v.step").alias("step"), F.col("z.v.value").alias("value"), F.col("z.ema").alias("ema"))
+    out = joined.select(*keys, F.explode(F.arrays_zip("_v", F.aggregate("_v", state, step_on, lambda s: s["out"]).alias("ema"))).alias("z"))
+    return out.select(*keys, F.col("z._v.step").alias("step"), F.col("z._v.value").alias("value"), F.col("z.ema").alias("ema"))
 
 
 def metric_rows(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ("run",)) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import series as V
 from ..sources import zstd_lines as Z
 from ..sources.tables import table
+from ..streaming import extract as X
+from ..streaming import selection as K
 from .release_queries import scratch
+from .select_queries import _cand, candidates
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,3 +90,42 @@ def src8_order(spark, d):
     sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # a row for each file
     before = sizes.alias("a").join(sizes.alias("b"), F.expr("b.file < a.file"), "left").groupBy(F.col("a.file").alias("file")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     return rows.join(F.broadcast(before), "file").select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), (F.col("before") + F.col("line") + 1).alias("place"))
+
+
+@query(
+    "sql7_streamed_selection",
+    f"""WITH c AS {_cand}, u AS (SELECT source, rank, min(doc_id) AS doc_id, max(tokens) AS tokens FROM c GROUP BY ALL)
+    SELECT source, doc_id, running FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY source ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM u) WHERE running - tokens < 5000""",
+)
+def sql7(spark, d):
+    """Documents arrive in small batches, a third of them twice; the run is stopped half way and started again."""
+    rows = candidates(spark, d).select("source", "rank", "doc_id", "tokens")
+    arrived, log, check = scratch(spark, "arrived"), scratch(spark, "changes"), scratch(spark, "state")
+    again = rows.where("doc_id % 3 = 0")
+    for part in (rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0").unionByName(again)):
+        part.repartition(3).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+        K.keep_prefixes(spark, stream, 5000, log, check)
+    return K.kept_rows(spark.read.parquet(log), 5000).select("source", "doc_id", "running")
+
+
+@query(
+    "src9_resumed_extraction",
+    r"""WITH r AS (SELECT doc_id, doc_id // 2 * 2 AS blob FROM documents), x AS (SELECT r.doc_id, CASE WHEN blob % 34 = 0 OR s.doc_id IS NULL THEN 'fetch_failed' WHEN blob % 26 = 0 THEN 'decode_failed'
+    WHEN trim(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) = '' THEN 'empty_rejected' WHEN length(text) NOT BETWEEN 40 AND 6000 THEN 'length_rejected' ELSE 'kept' END AS status, text FROM r LEFT JOIN documents s ON s.doc_id = blob)
+    SELECT status, status <> 'fetch_failed' AND doc_id % 2 = 1 AS cached, count(*) AS n, coalesce(CAST(sum(CASE WHEN status = 'kept' THEN length(text) END) AS BIGINT), 0) AS chars FROM x GROUP BY ALL""",
+)
+def src9(spark, d):
+    """Every document asks for the blob of an even one: first the even ones, then, in a second run, the odd ones, whose blobs are stored."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    name = lambda c: F.concat(F.lit("blob/"), (F.expr(f"{c} div 2") * 2).cast("string"))
+    raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    faulty = F.when(F.col("doc_id") % 34 == 0, None).when(F.col("doc_id") % 26 == 0, F.concat(raw, F.unhex(F.lit("ff")))).otherwise(raw)
+    remote = docs.where("doc_id % 2 = 0").select(name("doc_id").alias("blob_id"), faulty.alias("raw"))
+    arrived, store, out = scratch(spark, "requests"), scratch(spark, "blobs"), scratch(spark, "extracted")
+    for odd in (0, 1):
+        docs.where(F.col("doc_id") % 2 == odd).select(name("doc_id").alias("blob_id")).repartition(3).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema("blob_id string").option("maxFilesPerTrigger", 2).parquet(arrived)
+        X.extract(spark, stream, lambda ids: ids.join(remote, "blob_id", "left"), store, out, 40, 6000)
+    rows = X.extracted(spark, out)
+    return rows.groupBy("status", "cached").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
