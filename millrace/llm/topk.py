@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 from .runtime import materialise
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of little-endian int64 as float64: exact for inner products below 2**53."""
+def _matrix(column: pa.Array, dim: int, kind: type) -> np.ndarray:
+    """Rows of little-endian int64."""
     buffers = [np.frombuffer(x.as_py(), "<i8") for x in column]
-    return np.array(buffers, np.float64).reshape(len(buffers), dim)
+    return np.array(buffers, kind).reshape(len(buffers), dim)
+
+
+def inner_products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """All inner products, exactly: float64 matrices are taken to stay below 2**53; int64 products are
+    taken modulo 2**64, which is exact where the result is a long, and OverflowError where it isn't."""
+    if queries.dtype == np.float64:
+        return queries @ data.T
+    rough = queries.astype(np.float64) @ data.T.astype(np.float64)
+    if rough.size and np.abs(rough).max() >= 2.0**63 * (1 - 1e-9):
+        raise OverflowError("an inner product doesn't fit a 64-bit integer")
+    return queries @ data.T
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -43,7 +54,8 @@ def cell_bounds(pivots: np.ndarray, radius_q: np.ndarray, count_q: np.ndarray, r
         lower = np.concatenate([dots[g, c] - slack(c, near[c]) for c in range(len(pivots)) if len(near[c])])
         floor = np.sort(lower)[-(k + 1)] if len(lower) > k else -np.inf
         upper = dots[g] + norm[g] * radius + norm * radius_q[g] + radius_q[g] * radius
-        needed[g] = (upper >= floor - 1e-6 * (1 + abs(floor))) & (radius >= 0)
+        rounding = 1e-6 * (1 + abs(floor)) + 1e-9 * norm[g] * (norm + np.maximum(radius, 0))
+        needed[g] = (upper >= floor - rounding) & (radius >= 0)
     return needed
 
 
@@ -53,7 +65,7 @@ def solve(query_rows: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
     ids, rows, data = ids[order], rows[order], data[order]
     out_q, out_i, out_r, out_s = [], [], [], []
     for a in range(0, len(queries), 256):
-        scores = queries[a : a + 256] @ data.T
+        scores = inner_products(queries[a : a + 256], data)
         for row, q in zip(scores, query_rows[a : a + 256].tolist()):
             if len(row) > k + 1:
                 cut = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
@@ -98,15 +110,19 @@ def exact_top_k(
     isn't the most common one take no part; nor do null ids. Rows that repeat an id
     are queries and candidates of their own: each such query row has its own ranks
     from 1, and the other rows of its id are candidates like any others. An empty
-    table gives no rows. Other columns are ignored, whatever their names.
+    table gives no rows. Other columns are ignored, whatever their names. Scores are
+    exact whatever the components; one that doesn't fit a long raises OverflowError.
     """
     spark = vectors.sparkSession
     base = quantised(vectors, id_col, vector_col, scale)
     schema = "query_id long, rank int, vec_id long, score long"
-    dims = base.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    largest = F.max(F.array_max(F.transform("x", lambda c: F.abs(c.cast("double"))))).alias("largest")
+    dims = base.groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("count"), largest).orderBy(F.desc("count"), "n").limit(1).collect()
     if not dims or not dims[0]["n"]:
         return spark.createDataFrame([], schema)
     dim = dims[0]["n"]
+    # products of doubles are exact, and much faster, where no score can reach 2**53
+    kind = np.float64 if dim * dims[0]["largest"] ** 2 < 2.0**53 else np.int64
     base = base.where(F.size("x") == dim)
     chosen = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pivots).collect()
     centre = np.array([r["x"] for r in chosen], np.float64)
@@ -119,7 +135,7 @@ def exact_top_k(
             y = x.astype(np.float64)
             far = squares[None, :] - 2 * (y @ centre.T) + (y**2).sum(1)[:, None]
             cell = far.argmin(1)
-            distance = np.sqrt(np.maximum(far[np.arange(len(y)), cell], 0))
+            distance = np.linalg.norm(y - centre[cell], axis=1)
             raw = [r.tobytes() for r in x.astype("<i8")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(cell.astype(np.int32)), pa.array(distance), pa.array(raw, pa.binary())], ["id", "cell", "distance", "raw"]
@@ -177,7 +193,7 @@ def exact_top_k(
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4, names)
         l, r = left.combine_chunks(), right.combine_chunks()
-        found = solve(l["row"].to_numpy(), _matrix(l["raw"], dim), r["vid"].to_numpy(), r["vrow"].to_numpy(), _matrix(r["vraw"], dim), k)
+        found = solve(l["row"].to_numpy(), _matrix(l["raw"], dim, kind), r["vid"].to_numpy(), r["vrow"].to_numpy(), _matrix(r["vraw"], dim, kind), k)
         return pa.table([pa.array(x, pa.int64()) for x in found], names)
 
     best = queries.groupBy("g", "qb", "db").cogroup(data.groupBy("vg", "vqb", "vdb")).applyInArrow(local, "query_row long, vec_id long, vec_row long, score long")
