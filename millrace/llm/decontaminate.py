@@ -64,22 +64,29 @@ def contaminated_pairs(
     """
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), word_hashes(F.col(f"`{item_text_col}`")).alias("h"))
     items = materialise(items.where(F.size("h") >= max(least_words, LEAST_WORDS)).withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"]), "items")
-    seeds = _seeds(items, ["item"]).select("seed", "item", F.col("at").alias("item_at"))
+    seeds = _seeds(items.withColumn("item_size", F.size("h")), ["item", "item_size"]).select("seed", "item", "item_size", F.col("at").alias("item_at"))
     small = seeds.count() <= BROADCAST_SEEDS
     text = F.col(f"`{text_col}`").cast("string")
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     words = keyed.select(F.xxhash64("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("h"))
-    hits = _seeds(words, ["key"]).join(F.broadcast(seeds) if small else seeds, "seed").select("key", "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
-    hits = materialise(hits.groupBy("key").agg(F.collect_list(F.struct("item", "offset")).alias("hits")), "hits")
+    hits = _seeds(words, ["key"]).join(F.broadcast(seeds) if small else seeds, "seed").select("key", "item", "item_size", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
+    hits = materialise(hits.groupBy("key").agg(F.collect_list(F.struct("item", "item_size", "offset")).alias("hits")), "hits")
     found = keyed.withColumn("key", F.xxhash64("doc_id", "text")).join(bounded(hits, BROADCAST_HITS, "hits"), "key")
-    found = found.select("doc_id", word_hashes(F.col("text")).alias("h"), "hits").select("doc_id", "h", F.explode("hits").alias("hit"))
-    ends = items.select("item", "item_id", F.col("h").alias("item_h"), F.size("h").alias("item_size"))
-    hits = found.select("doc_id", "h", "hit.*").join(F.broadcast(ends) if small else ends, "item")
-    # all words of the item that lie beside words of the document at this offset
+    found = found.select("doc_id", word_hashes(F.col("text")).alias("h"), "hits")
+
+    def beside(hit: Column) -> Column:
+        """The words of the document that lie beside words of the item at this offset: cut here, so that a hit doesn't carry the whole text."""
+        start = F.greatest(hit["offset"], F.lit(0))
+        length = F.least(F.size("h") - start, hit["item_size"] - F.greatest(-hit["offset"], F.lit(0)))
+        return F.struct(hit["item"].alias("item"), hit["item_size"].alias("item_size"), hit["offset"].alias("offset"), F.slice("h", start + 1, F.greatest(F.lit(0), length)).alias("words"))
+
+    found = found.select("doc_id", F.explode(F.transform("hits", beside)).alias("hit")).select("doc_id", "hit.*")
+    ends = items.select("item", "item_id", F.col("h").alias("item_h"))
+    hits = found.join(F.broadcast(ends) if small else ends, "item")
     at, item_at = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    length = F.least(F.size("h") - at, F.col("item_size") - item_at)
+    length = F.size("words")
     w = F.least(F.lit(window), F.col("item_size"))
-    same = F.zip_with(F.slice("h", at + 1, F.greatest(F.lit(0), length)), F.slice("item_h", item_at + 1, F.greatest(F.lit(0), length)), lambda x, y: F.when(x == y, 1).otherwise(0))
+    same = F.zip_with("words", F.slice("item_h", item_at + 1, length), lambda x, y: F.when(x == y, 1).otherwise(0))
     total = lambda x: F.aggregate(x, F.lit(0), lambda t, y: t + y)
     hits = hits.where(length >= w).select("doc_id", "item_id", at.alias("at"), w.alias("w"), F.ceil(w * F.lit(share)).cast("int").alias("need"), same.alias("same"))
     # safe for rows that another condition leaves out, too: expressions may be evaluated before it
