@@ -495,6 +495,8 @@ def evl8(spark, d):
     SELECT user_id, round(v[1] * power(0.9, len(v) - 1) + coalesce(list_sum(list_transform(range(2, len(v) + 1), lambda i: 0.1 * v[i] * power(0.9, len(v) - i))), 0), 6) AS ema FROM s""",
 )
 def evl9(spark, d):
-    """The last exponential moving average of each series: a fold over its ordered values."""
-    s = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return s.select("user_id", F.round(F.aggregate(F.slice("v", 2, F.size("v")), F.get("v", F.lit(0)), lambda a, x: a * 0.9 + x * 0.1), 6).alias("ema"))
+    """The last exponential moving average of each series."""
+    from ..operators.series import moving_average
+
+    every = moving_average(table(spark, d, "events").where("user_id is not null"), ["user_id"], "event_id", "value")
+    return every.groupBy("user_id").agg(F.round(F.max_by("ema", "step"), 6).alias("ema"))

@@ -91,7 +91,12 @@ def snk3_back(spark, d):
     return shards.from_shards(spark.read.parquet(path), 4096).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk4_manifest")
+@query(
+    "snk4_manifest",
+    """WITH s AS (SELECT o_orderkey // 4096 AS shard, count(*) AS n, sha256(unhex(string_agg(concat(h[3:4], h[1:2]), '' ORDER BY o_orderkey))) AS d FROM (SELECT o_orderkey, printf('%04X', CAST(o_custkey % 50000 AS INTEGER)) AS h FROM orders) GROUP BY 1),
+    a AS (SELECT shard // 1024 AS j, sha256(string_agg(d, '' ORDER BY shard)) AS d FROM s GROUP BY 1), b AS (SELECT CASE WHEN count(*) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY j)) END AS digest FROM a)
+    SELECT count(*) AS shards, CAST(sum(n) AS BIGINT) AS tokens, max(shard) + 1 = count(*) AND count(*) FILTER (WHERE n = 4096) >= count(*) - 1 AS whole, max(digest) AS digest FROM s, b""",
+)
 def snk4(spark, d):
     return shards.manifest(shards.to_shards(_tokens(spark, d), 4096), 4096)
 

@@ -31,9 +31,13 @@ def to_shards(tokens: DataFrame, shard_tokens: int, wide: bool = False) -> DataF
 
 
 def manifest(shards: DataFrame, shard_tokens: int) -> DataFrame:
-    """One row: shards, ids, whether all but the last are full, and a digest of digests in order."""
-    digests = F.sort_array(F.collect_list(F.struct("shard", "sha256")))
-    g = shards.agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("tokens"), F.max("shard").alias("last"), F.count_if(F.col("n") == shard_tokens).alias("full"), F.sha2(F.array_join(F.transform(digests, lambda x: x["sha256"]), ""), 256).alias("digest"))
+    """One row: shards, ids, whether all but the last are full, and the tree digest of their digests in order."""
+    from .release import tree_digest
+
+    records = shards.select(F.lit(0).alias("all"), "shard", "n", "sha256")
+    g = records.groupBy("all").agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("tokens"), F.max("shard").alias("last"), F.count_if(F.col("n") == shard_tokens).alias("full"))
+    most = records.agg(F.max("shard")).first()[0] or 0
+    g = g.join(tree_digest(records, ["all"], "shard", "sha256", most), "all")
     return g.select("shards", "tokens", ((F.col("last") + 1 == F.col("shards")) & (F.col("full") >= F.col("shards") - 1)).alias("whole"), "digest")
 
 
