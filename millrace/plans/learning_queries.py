@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
+from ..functions import text as T
+from ..operators import census as C
 from ..operators import dedup as D
 from ..operators import learning as L
 from ..operators import select as S
 from ..sources.tables import table
 from . import oracle as O
 from .chat_queries import _sp
-from .dedup_queries import _checkpoints, _pairs, turn_pairs
+from .dedup_queries import _checkpoints, _pairs, _print, turn_pairs
 from .release_queries import _stream_sql, streams
 
 QUERIES: dict = {}
@@ -120,3 +123,36 @@ def srt1_total(spark, d):
     before = F.sum("n").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_part", "first", F.coalesce(before, F.lit(0)).alias("before"))
     return rows.join(F.broadcast(starts), "_part").select("doc_id", (F.col("_pos") - F.col("first") + F.col("before") + 1).alias("place"))
+
+
+_census = f"""(SELECT doc_id AS row_index, text, {O.clean('text')} AS b, CASE WHEN doc_id % 4 = 1 THEN NULL ELSE doc_id % 6 END AS int_score, CASE WHEN doc_id % 5 = 2 THEN NULL ELSE doc_id / 8.0 END AS score FROM documents WHERE doc_id % 9 <> 4)"""
+
+
+def _census_of(spark, d):
+    """Documents as JSON lines with scores under literal dotted names, bound by their count, exclusions and digest."""
+    docs = table(spark, d, "documents")
+    fields = F.struct(F.when(F.col("doc_id") % 4 != 1, F.col("doc_id") % 6).alias("metadata.int_score"), F.when(F.col("doc_id") % 5 != 2, F.col("doc_id") / 8.0).alias("metadata.score"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = docs.select(F.col("doc_id").alias("row_index"), F.to_json(fields).alias("raw"))
+    excluded = docs.where("doc_id % 9 = 4").select(F.col("doc_id").alias("row_index"))
+    binding = C.Binding(lines.count(), excluded.count(), C.multiset_digest(lines.repartition(5), "raw").first()["digest"])
+    words = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
+    return C.census(lines, excluded, binding, lambda c: T.strip(T.normalise(c)), words, I.fingerprint, "text", "metadata.int_score", "metadata.score", 40)
+
+
+@query("src6_census_records", f"SELECT row_index, sha256(b) AS cleaned_sha256, {_print.replace('(t)', '(b)')} AS fingerprint, {_count('b')} + 2 AS tokens, sha256(text) AS raw_sha256, int_score, score FROM {_census} WHERE text <> '' AND b <> '' AND length(b) >= 40")
+def src6_records(spark, d):
+    return _census_of(spark, d)[0].drop("record_sha256")
+
+
+@query("src6_census_counters", f"""SELECT 'physical_rows' AS counter, count(*) AS n FROM documents UNION ALL SELECT 'excluded_rows', count(*) FROM documents WHERE doc_id % 9 = 4 UNION ALL SELECT 'empty_text', count(*) FILTER (WHERE text = '') FROM {_census}
+    UNION ALL SELECT 'empty_after_cleaning', count(*) FILTER (WHERE text <> '' AND (b = '' OR length(b) < 40)) FROM {_census} UNION ALL SELECT 'eligible_rows', count(*) FILTER (WHERE text <> '' AND b <> '' AND length(b) >= 40) FROM {_census}""")
+def src6_counters(spark, d):
+    return _census_of(spark, d)[1]
+
+
+@query("aud4_multiset_digest", """SELECT source, sha256(concat_ws(':', count(*), sum(p[1]), sum(p[2]), sum(p[3]), sum(p[4]))) AS digest FROM (SELECT source, list_transform(range(4), lambda k: CAST(CAST(concat('0x', substring(sha256(text), CAST(1 + 15 * k AS BIGINT), 15)) AS BIGINT) AS HUGEINT)) AS p FROM documents) GROUP BY source""")
+def aud4_digest(spark, d):
+    """The order-free digest of each source's texts: sums by partial aggregation, so a hot source is summed everywhere."""
+    h = F.sha2("text", 256)
+    part = lambda k: F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    return table(spark, d, "documents").groupBy("source").agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[part(k) for k in range(4)]), 256).alias("digest"))

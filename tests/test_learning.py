@@ -73,3 +73,31 @@ def test_masked_blocks(spark, size, last):
         ids, labels = stream[b * size : b * size + size], stream[b * size + 1 : b * size + size + 1]
         mask = [0 if x == 1 or (i and x == 2 == labels[i - 1]) or (last and i == size - 1) else 1 for i, x in enumerate(labels)]
         assert (r["ids"], r["labels"], r["mask"]) == (ids, labels, mask)
+
+
+def test_census(spark):
+    """Records and counters of a bound input; anything that isn't as bound raises."""
+    import hashlib
+    import json
+
+    from millrace.operators import census as C
+
+    lines = ['{"text": " Hello world ", "a.b": 3, "s": -0.0}', '{"text": ""}', '{"text": "  "}', '{"text": "gone"}', '{"text": "again", "a.b": null, "s": 2, "x": [1]}', '{"text": "again", "a.b": null, "s": 2, "x": [1]}']
+    frame = lambda ls: spark.createDataFrame(list(enumerate(ls)), "row_index long, raw string")
+    out = spark.createDataFrame([(3,), (3,)], "row_index long")
+    digest = lambda ls: C.multiset_digest(frame(ls).repartition(3), "raw").first()["digest"]
+    assert digest(lines) == digest(lines[::-1]) != digest(lines[:5])
+    run = lambda ls, excluded=out, bound=None: C.census(frame(ls), excluded, bound or C.Binding(len(ls), 1, digest(ls)), F.trim, F.length, lambda c: F.md5(c), "text", "a.b", "s")
+    records, counters = run(lines)
+    assert {r["counter"]: r["n"] for r in counters.collect()} == {"physical_rows": 6, "excluded_rows": 1, "empty_text": 1, "empty_after_cleaning": 1, "eligible_rows": 3}
+    got = {r["row_index"]: r for r in records.collect()}
+    assert sorted(got) == [0, 4, 5] and (got[0]["int_score"], str(got[0]["score"]), got[0]["tokens"]) == (3, "0.0", 13)
+    assert (got[4]["int_score"], got[4]["score"]) == (None, 2.0) and got[0]["record_sha256"] == hashlib.sha256(lines[0].encode()).hexdigest()
+    for bound in (C.Binding(5, 1, digest(lines)), C.Binding(6, 1, "x"), C.Binding(6, 0, digest(lines))):
+        with pytest.raises(C.CensusError):
+            run(lines, bound=bound)
+    with pytest.raises(C.CensusError):  # an exclusion that isn't a row
+        run(lines, spark.createDataFrame([(77,)], "row_index long"))
+    for bad in ("not json", "[1]", '{"a.b": 1}', '{"text": 5}', '{"text": "x", "selection": {}}', '{"text": "x", "a.b": 1.5}', '{"text": "x", "a.b": true}', '{"text": "x", "s": "1"}', '{"text": "x", "text": "y"}'):
+        with pytest.raises(Exception):
+            run([*lines, bad])[0].collect()
