@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 RANK_DIGITS = 4  # hex digits of a digest that make a bin, at most: 65,536 bins a group, 1.5 million rows each at 10**11
-BIN_BYTES = 32 << 20  # of the tables that are read, for each bin
+BIN_BYTES = 1 << 20  # of the tables that are read, for each bin
 
 
 def rank_digits(df: DataFrame) -> int:

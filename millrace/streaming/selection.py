@@ -60,17 +60,20 @@ class PrefixKeeper(StatefulProcessor):
 
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    """Keyed state with maps needs this store; the session's own choice comes back afterwards."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Keyed state with maps needs this store, which then commits changes instead of whole files; the session's own choice comes back afterwards."""
+    store = "spark.sql.streaming.stateStore"
+    wanted = {f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{store}.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before:
-            spark.conf.set(name, before)
-        else:
-            spark.conf.unset(name)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def keep_prefixes(spark: SparkSession, arrivals: DataFrame, target: int, log: str, checkpoint: str) -> None:
