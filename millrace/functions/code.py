@@ -1,6 +1,7 @@
 """Structure of Python code by its syntax tree; code is parsed, never run."""
 
 import ast
+import json
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,3 +62,54 @@ def code_structure(code: Column, entry_point: Column) -> Column:
         return pd.DataFrame([structure(v, n) for v, n in zip(x, name)], columns=["reasons", "nodes", "depth"])
 
     return F.pandas_udf(go, "reasons array<string>, nodes int, depth int")(code, entry_point)
+
+
+def _only_function(code: str | None) -> str | None:
+    """The name of the one function that a module defines at its top; null for none, several, or no valid code."""
+    try:
+        names = [node.name for node in ast.parse(code or "").body if isinstance(node, ast.FunctionDef)]
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    return names[0] if len(names) == 1 else None
+
+
+def entry_from_code(code: Column) -> Column:
+    """`_only_function` of each text, in an Arrow UDF."""
+
+    def go(x: pd.Series) -> pd.Series:
+        return pd.Series([_only_function(v) for v in x], dtype=object)
+
+    return F.pandas_udf(go, "string")(code)
+
+
+def entry_from_tests(tests: Column) -> Column:
+    """The name that the first test which asserts a call calls; null if none does."""
+    called = F.transform(tests, lambda t: F.regexp_extract(t, r"assert\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1))
+    return F.get(F.filter(called, lambda x: x != ""), F.lit(0))
+
+
+def entry_point(code: Column, tests: Column) -> Column:
+    return F.coalesce(entry_from_code(code), entry_from_tests(tests))
+
+
+def _asserts(pairs: str | None, name: str | None, most: int) -> list[str]:
+    try:
+        io = json.loads(pairs) if pairs else {}
+    except ValueError:
+        return []
+    if not isinstance(io, dict) or not name:
+        return []
+    ins, outs = (io.get(k) if isinstance(io.get(k), list) else [] for k in ("inputs", "outputs"))
+    return [f"assert {name}({', '.join(map(repr, x if isinstance(x, list) else [x]))}) == {y!r}" for x, y in zip(ins[:most], outs)]
+
+
+def asserts_from_pairs(pairs: Column, name: Column, most: int = 8) -> Column:
+    """Tests of a function from JSON with `inputs` and `outputs`, the first `most` pairs; an input that isn't a list is one argument.
+
+    Values are written as Python writes them. Malformed JSON, or lists that are missing, give no tests; a null name neither.
+    """
+
+    def go(io: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([_asserts(x, n, most) for x, n in zip(io, names)], dtype=object)
+
+    return F.pandas_udf(go, "array<string>")(pairs, name)

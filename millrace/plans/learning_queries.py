@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..functions import text as T
+from ..functions.code import asserts_from_pairs, entry_point
 from ..operators import census as C
 from ..operators import dedup as D
 from ..operators import learning as L
@@ -156,3 +157,23 @@ def aud4_digest(spark, d):
     h = F.sha2("text", 256)
     part = lambda k: F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
     return table(spark, d, "documents").groupBy("source").agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[part(k) for k in range(4)]), 256).alias("digest"))
+
+
+@query(
+    "vrf5_tests_from_pairs",
+    """WITH a AS (SELECT conv_id, turn, list_transform(range(least(1 + (conv_id + turn) % 12, 8)), lambda i: concat('assert f', conv_id, '(', CASE i % 3 WHEN 0 THEN concat(conv_id, ', ', i) WHEN 1 THEN CAST(i AS VARCHAR) ELSE concat('[', i, ', ', turn, ']') END, ') == ',
+    CASE i % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'None' WHEN 2 THEN '''a b''' ELSE CAST(conv_id * i AS VARCHAR) END)) AS tests FROM conversations)
+    SELECT conv_id, turn, CASE WHEN turn % 6 = 5 THEN CASE WHEN conv_id % 5 IN (0, 4) THEN concat('g', turn) END WHEN conv_id % 5 IN (0, 4) THEN concat('g', turn) ELSE concat('f', conv_id) END AS entry,
+    CASE WHEN turn % 6 = 5 THEN 0 ELSE len(tests) END AS n, sha256(CASE WHEN turn % 6 = 5 THEN '' ELSE array_to_string(tests, chr(10)) END) AS tests FROM a""",
+)
+def vrf5_pairs(spark, d):
+    """Asserts from each turn's I/O pairs (some turns have malformed ones), and the entry point: of the code if it has one function, else of the tests."""
+    number = lambda x: x.cast("string")
+    given = lambda i: F.when(i % 3 == 0, F.concat(F.lit("["), "conv_id", F.lit(", "), number(i), F.lit("]"))).when(i % 3 == 1, number(i)).otherwise(F.concat(F.lit("[["), number(i), F.lit(", "), "turn", F.lit("]]")))
+    wanted = lambda i: F.when(i % 4 == 0, "true").when(i % 4 == 1, "null").when(i % 4 == 2, '"a b"').otherwise(number(F.col("conv_id") * i))
+    every = F.sequence(F.lit(0), ((F.col("conv_id") + F.col("turn")) % 12).cast("int"))
+    io = F.concat(F.lit('{"inputs": ['), F.array_join(F.transform(every, given), ", "), F.lit('], "outputs": ['), F.array_join(F.transform(every, wanted), ", "), F.when(F.col("turn") % 6 == 5, "]").otherwise("]}"))
+    one = F.concat(F.lit("def g"), "turn", F.lit("(x):\n    return x\n"))
+    code = F.element_at(F.array(one, F.concat(one, F.lit("def h(x):\n    return x\n")), F.lit("def g(:"), F.concat(F.lit("async "), one), F.concat(one.substr(F.lit(1), F.length(one) - 13), F.lit("    def inner():\n        pass\n    return inner\n"))), (F.col("conv_id") % 5 + 1).cast("int"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", code.alias("code"), asserts_from_pairs(io, F.concat(F.lit("f"), "conv_id")).alias("tests"))
+    return rows.select("conv_id", "turn", entry_point(F.col("code"), F.col("tests")).alias("entry"), F.size("tests").cast("long").alias("n"), F.sha2(F.array_join("tests", "\n"), 256).alias("tests"))

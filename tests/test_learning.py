@@ -101,3 +101,26 @@ def test_census(spark):
     for bad in ("not json", "[1]", '{"a.b": 1}', '{"text": 5}', '{"text": "x", "selection": {}}', '{"text": "x", "a.b": 1.5}', '{"text": "x", "a.b": true}', '{"text": "x", "s": "1"}', '{"text": "x", "text": "y"}'):
         with pytest.raises(Exception):
             run([*lines, bad])[0].collect()
+
+
+def test_asserts_and_entry_points(spark):
+    from millrace.functions import code as K
+
+    rows = [
+        ("def f(a):\n    return a", '{"inputs": [[1, "x\'y"], 2, [[3]]], "outputs": [true, null, {"a": [1.5]}]}', "f"),
+        ("def f():\n    pass\ndef g():\n    pass", '{"inputs": [[1]], "outputs": []}', "h"),
+        ("class A:\n    def f(self):\n        pass", "{broken", "h"),
+        ("x = 1", json_of(20), "h"),
+        (None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, "code string, io string, name string").withColumn("tests", K.asserts_from_pairs(F.col("io"), F.col("name")))
+    got = frame.select("tests", K.entry_from_code(F.col("code")).alias("own"), K.entry_point(F.col("code"), F.col("tests")).alias("entry")).collect()
+    assert got[0]["tests"] == ['assert f(1, "x\'y") == True', "assert f(2) == None", "assert f([3]) == {'a': [1.5]}"]
+    assert [r["own"] for r in got] == ["f", None, None, None, None] and [r["entry"] for r in got] == ["f", None, None, "h", None]
+    assert got[1]["tests"] == got[2]["tests"] == got[4]["tests"] == [] and len(got[3]["tests"]) == 8
+
+
+def json_of(n):
+    import json
+
+    return json.dumps({"inputs": [[i] for i in range(n)], "outputs": list(range(n))})
