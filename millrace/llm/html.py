@@ -32,8 +32,9 @@ MARKED = frozenset(
 )
 # words that say nothing of their own beside those
 GENERIC = frozenset(
-    "area bar block body bottom box button buttons center col column container content div element frame group holder icon icons id inner item items "
-    "left link links list main outer panel post right row section site slot text title top unit wrap wrapper".split()
+    "also area articles bar block body bottom box button buttons center col column container content div element feed form forms frame google group "
+    "holder icon icons id inner item items left like link links list main may more outer panel post posts reader readers right row section site slot "
+    "stories stream text thread threads title top unit user users visitor visitors wrap wrapper you".split()
 )
 KEPT_ROLES = frozenset({"article", "main"})
 #: Places of blocks: elsewhere, in a main element, in an article, in an article below a doubtful mark.
@@ -49,6 +50,16 @@ _MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+_FORM_END = re.compile(r"</form(?=[\s/>])", re.I)
+_MAIN = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+
+
+def _wraps_article(source: str, at: int) -> bool:
+    """Whether the form whose start tag ends at `at` holds an article or main element: then it is the page, not a form in it."""
+    end = _FORM_END.search(source, at)
+    return _MAIN.search(source, at, end.start() if end else len(source)) is not None
+
+
 def _marks(rest: str) -> tuple[int, bool]:
     """(2 for a name that marks what isn't the article, 1 for one that has such a word among others; whether it marks the article).
 
@@ -141,7 +152,7 @@ def page_blocks(source: str) -> list[tuple[str, int]]:
             bad, good = _marks(rest) if "=" in rest else (0, False)
             is_root = name in ("html", "body")
             marked = not is_root and (bad == 2 or bad == 1 and here < ARTICLE and name != "article")
-            drop = was_dropped or name in DROPPED or marked or (name == "header" and here == ELSEWHERE)
+            drop = was_dropped or name in DROPPED and not (name == "form" and here == ELSEWHERE and _wraps_article(source, at)) or marked or (name == "header" and here == ELSEWHERE)
             if name == "article" and not drop:
                 here = max(here, ARTICLE)
             elif (name == "main" or good) and not drop:

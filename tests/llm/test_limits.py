@@ -51,3 +51,19 @@ def test_long_text_of_few_words(spark):
             if len(at):
                 first = int(at[0]) if first is None else min(first, int(at[0]))
         assert got.get(k) == first
+
+
+def test_html_names_and_page_forms():
+    """Comments, forms and adverts by names made of such a word and container words; a form around the page keeps its article."""
+    from millrace.llm.html import page_blocks, proposed
+
+    kept = lambda inner: proposed(page_blocks(inner))
+    marks = ['class="reader-comments"', 'id="user-comments"', 'class="comment-thread"', 'class="newsletter-signup-form"', 'class="google-ad"', 'class="related-articles"', 'class="you-may-also-like-promo"']
+    for mark in marks:
+        assert kept(f"<article><p>Text.</p><div {mark}><p>Unique words of somebody.</p></div><p>More.</p></article>") == (["Text.", "More."], [False, False])
+    # names that say more stay open
+    assert kept('<article><p>Text.</p><section class="related-work"><p>Smith.</p></section></article>') == (["Text.", "Smith."], [False, True])
+    page = '<body><form id="aspnet"><input type="hidden"><div><article><p>Text.</p><form><p>Your name</p><input></form><p>More.</p></article></div></form><div>Elsewhere</div></body>'
+    assert kept(page)[0] == ["Text.", "More."]
+    assert kept("<form action=x><MAIN><p>Text.</p></MAIN></form>")[0] == ["Text."]
+    assert kept("<form><p>Ask</p></form><main><p>Text.</p></main>")[0] == ["Text."]
