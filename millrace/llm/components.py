@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import connected_components, discard, materialise
+from .runtime import bounded, connected_components, discard, materialise
 
 CROWD = 32  # ids of a bucket beyond which its last pairs are found by their rarest n-grams instead
+BROADCAST_GRAMS = 2_000_000  # of a long each, of all centres
 
 
 def pivot_pairs(rows: DataFrame) -> DataFrame:
@@ -27,31 +28,66 @@ def pivot_pairs(rows: DataFrame) -> DataFrame:
     return best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def prefix_pairs(nodes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+def centred_sets(rows: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(grp, id, n, apart, s, hub_s, hub) of the ids of `rows` (bucket, id, component): each set by what sets it apart from its groups.
+
+    Buckets with the same commonest component are a group; its centre has the n-grams that
+    more than half of its sets have. `apart` is the symmetric difference of a set and the
+    centre. Sets x and y link if the symmetric difference of theirs has at most
+    (100 - percent) (x + y) / (100 + percent) n-grams, and it is that of x.apart and
+    y.apart. So with s = (100 + percent) |apart| - (100 - percent) n, sets with
+    s_x + s_y <= 0 link for sure, and then both link with `hub`, the set of least s.
+    Others link only if x.apart and y.apart have (s_x + s_y) / 2 / (100 + percent) in common.
+    """
+    most = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top")).select("bucket", F.col("top.component").alias("grp"))
+    groups = materialise(rows.select("bucket", "id").join(most, "bucket").select("grp", "id").distinct(), "groups")
+    held = materialise(grams.join(groups, "id").select("grp", "id", "gram"), "grams")
+    most = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
+    core = held.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("df")).join(most, "grp").where("2 * df > m")
+    core = materialise(core.groupBy("grp").agg(F.collect_list("gram").alias("core")), "centres")
+    sets = held.groupBy("grp", "id").agg(F.collect_list("gram").alias("g")).join(bounded(core, BROADCAST_GRAMS, "core"), "grp", "left")
+    core_ = F.coalesce("core", F.array().cast("array<long>"))
+    sets = sets.select("grp", "id", F.size("g").cast("long").alias("n"), F.concat(F.array_except("g", core_), F.array_except(core_, "g")).alias("apart"))
+    sets = materialise(sets.withColumn("s", (100 + percent) * F.size("apart").cast("long") - (100 - percent) * F.col("n")), "sets")
+    hubs = materialise(sets.groupBy("grp").agg(F.min(F.struct("s", "id")).alias("h")).select("grp", F.col("h.s").alias("hub_s"), F.col("h.id").alias("hub")), "hubs")
+    out = materialise(sets.join(hubs, "grp"), "apart")
+    discard(groups, held, core, sets, hubs)
+    return out
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that can have a Jaccard similarity of `percent`.
 
-    `nodes` has (id, component), `grams` (id, gram), distinct. The order of n-grams is
-    rarest first. Two sets of sizes x and y that link share at least
-    o = percent (x + y) / (100 + percent) n-grams, so the rarest of them lies among the
-    first x - o + 1 of the one and y - o + 1 of the other. N-grams that a set has for
-    itself, or that one component has, take up places and make no pairs: near copies
-    of one base that differ too much drop out, as their own edits fill the places.
+    `sets` are `centred_sets`, `labels` (id, component) after the links with the hubs. The
+    order of n-grams is rarest first. Of two sets that link the one of smaller s, y, has in
+    common with x, (s_x + s_y) / 2 / (100 + percent) of `apart` at least, so the rarest lies
+    at that many or more from the end of both. If y's component is its hub's, x's isn't,
+    and s_x > -hub_s; else s_x >= s_y. N-grams that one component has to itself take up places
+    and make no pairs. Of near copies of one base, what sets one apart is mostly its own, so
+    those that differ too much drop out however many they are.
     """
-    rows = materialise(grams.join(nodes, "id"), "grams")
-    spread = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
-    spread = materialise(spread.select("gram", "df", (F.col("low") < F.col("high")).alias("open")), "spread")
-    listed = rows.join(spread, "gram").groupBy("id").agg(F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("df", "gram", "open"))).alias("g"))
-    listed = listed.withColumn("n", F.size("g").cast("long"))
-    first = F.slice("g", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    places = listed.select("id", "component", "n", F.posexplode(first).alias("at", "x")).where("x.open")
-    places = materialise(places.select("id", "component", "n", (F.col("at") + 1).alias("at"), F.col("x.gram").alias("gram")), "places")
-    side = lambda p: places.select("gram", *[F.col(c).alias(p + c) for c in ("id", "component", "n", "at")])
-    need = f"ceil({percent} * (x_n + y_n) / {100 + percent})"
-    met = side("x_").join(side("y_"), "gram").where(
-        f"(x_n > y_n or x_n = y_n and x_id > y_id) and x_component <> y_component and 100 * y_n >= {percent} * x_n "
-        f"and x_at <= x_n - {need} + 1 and y_at <= y_n - {need} + 1"
+    twice = 2 * (100 + percent)
+    named = sets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    home = labels.select(F.col("id").alias("hub"), F.col("component").alias("home"))
+    named = named.join(home, "hub", "left").withColumn("home", F.coalesce("home", "hub"))
+    named = materialise(named.withColumn("d", F.size("apart").cast("long")).drop("hub"), "named")
+    rows = named.select("grp", "id", "component", F.explode("apart").alias("gram"))
+    spread = rows.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+    spread = materialise(spread.select("grp", "gram", "df", (F.col("low") < F.col("high")).alias("open")), "spread")
+    listed = rows.join(spread, ["grp", "gram"]).groupBy("grp", "id").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "open"))).alias("g"))
+    at = listed.select("grp", "id", F.posexplode("g").alias("at", "x")).where("x.open").select("grp", "id", (F.col("at") + 1).alias("at"), F.col("x.gram").alias("gram"))
+    places = materialise(at.join(named.drop("apart"), ["grp", "id"]), "places")
+    side = lambda p: places.select("grp", "gram", *[F.col(c).alias(p + c) for c in ("id", "component", "n", "d", "s", "hub_s", "home", "at")])
+    x = side("x_").where(f"x_s + x_hub_s > 0 and x_at <= x_d - ceil((x_s + x_hub_s) / {twice}) + 1")
+    y = side("y_").where(f"y_at <= y_d - greatest(1, ceil(if(y_component = y_home, y_s - y_hub_s + 1, 2 * y_s) / {twice})) + 1")
+    need = f"ceil((x_s + y_s) / {twice})"
+    met = x.join(y, ["grp", "gram"]).where(
+        f"(x_s > y_s or x_s = y_s and x_id > y_id) and x_component <> y_component and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) "
+        f"and x_at <= x_d - {need} + 1 and y_at <= y_d - {need} + 1"
     )
-    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    out = materialise(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "pairs")
+    discard(named, spread, places)
+    return out
 
 
 def components_from_buckets(
@@ -64,9 +100,10 @@ def components_from_buckets(
     column `linked`; links are Jaccard similarities of at least `percent` of the sets
     (id, gram) that `grams_of` returns for rows (id, ...). Every id is compared with a
     pivot of its buckets, and those of large buckets that have no link with a second one
-    among themselves. Then only buckets with several components are left: of small ones
-    all pairs of different components are compared, of larger ones those that
-    `prefix_pairs` leaves. So no link between components is lost, and no group is
+    among themselves. Then only buckets with several components are left. Ids of large
+    ones that are near the centre of their group are linked through its hub
+    (`centred_sets`). Of small ones all pairs of different components are compared, of
+    larger ones those that `prefix_pairs` leaves. So no link between components is lost, and no group is
     expanded into all its pairs.
     """
     first = materialise(verify(pivot_pairs(shared)), "verdicts")
@@ -80,20 +117,33 @@ def components_from_buckets(
         second = materialise(verify(pivot_pairs(rows).join(first, ["a", "b"], "left_anti")), "verdicts")
         tried = first.unionByName(second)
     labels = connected_components(tried.where("linked"))
-    named = shared.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
-    mixed = materialise(mixed.where("low < high").select("bucket", "m"), "mixed")
-    rows = materialise(named.join(mixed, "bucket"), "open")
+
+    def still_mixed(of: DataFrame, labels: DataFrame) -> DataFrame:
+        """(bucket, id, component, m) of the buckets with several components."""
+        named = of.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
+        mixed = materialise(mixed.where("low < high").select("bucket", "m"), "mixed")
+        rows = materialise(named.join(mixed, "bucket"), "open")
+        discard(mixed)
+        return rows
+
+    rows = still_mixed(shared, labels)
+    crowd = rows.where(F.col("m") > CROWD)
+    crowded = None
+    if not crowd.isEmpty():
+        sets = centred_sets(crowd, grams_of(crowd.select("id").distinct()), percent)
+        labels = merged(labels, sets.where("s + hub_s <= 0 and id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        crowded = prefix_pairs(sets, labels, percent)
+        before, rows = rows, still_mixed(rows, labels)
+        discard(before, sets)
     few = rows.where(F.col("m") <= CROWD)
     side = lambda p: few.select("bucket", F.col("id").alias(p), F.col("component").alias(f"{p}_component"))
     pairs = side("a").join(side("b"), "bucket").where("a < b and a_component <> b_component").select("a", "b").distinct()
-    crowd = rows.where(F.col("m") > CROWD)
-    if not crowd.isEmpty():
-        crowd = crowd.select("id", "component").distinct()
-        pairs = pairs.unionByName(prefix_pairs(crowd, grams_of(crowd), percent)).distinct()
+    if crowded is not None:
+        pairs = pairs.unionByName(crowded).distinct()
     last = materialise(verify(pairs.join(tried, ["a", "b"], "left_anti")), "verdicts")
     out = merged(labels, last.where("linked"))
-    discard(first, large, mixed, rows, last)
+    discard(first, large, rows, last, *([crowded] if crowded is not None else []))
     return out
 
 
