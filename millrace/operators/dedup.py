@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +132,60 @@ def duplicate_rate(blocks: DataFrame, key: str) -> DataFrame:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+VECTORS = 4096  # of a block; a task compares two blocks
+
+
+def _block_pairs(threshold: float):
+    """Cosines of two blocks by one matrix product; what reaches the threshold is summed again in the vector's order, as `cosine` does."""
+
+    def go(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, block = rows["id"].to_numpy(), rows["block"].to_numpy()
+        v = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        square = np.zeros(len(ids))
+        for k in range(v.shape[1]):
+            square += v[:, k] * v[:, k]
+        unit = v / np.sqrt(square)[:, None]
+        within = rows["i"][0] == rows["j"][0]
+        first, second = np.flatnonzero(block == rows["i"][0].as_py()), np.flatnonzero(block == rows["j"][0].as_py())
+        out: list[tuple] = [(ids[:0], ids[:0], square[:0])]
+        for at in range(0, len(first), 256):
+            some = first[at : at + 256]
+            x, y = np.nonzero(unit[some] @ unit[second].T >= threshold - 1e-9)
+            x, y = some[x], second[y]
+            if within:
+                x, y = x[ids[x] < ids[y]], y[ids[x] < ids[y]]
+            x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+            dot = np.zeros(len(x))
+            for k in range(v.shape[1]):
+                dot += v[x, k] * v[y, k]
+            cos = dot / np.sqrt(square[x] * square[y])
+            keep = cos >= threshold
+            out.append((ids[x[keep]], ids[y[keep]], cos[keep]))
+        return pa.table([np.concatenate(c) for c in zip(*out)], names=["a", "b", "cos"])
+
+    return go
+
+
+def cosine_pairs(df: DataFrame, key: str, label: str, vector: str, threshold: float) -> DataFrame:
+    """(a, b, cos) of a < b with one label whose cosine reaches `threshold`, by comparing all of them.
+
+    A label's vectors are dealt into blocks, and each task compares two blocks, whatever
+    the size of the label. Vectors with a null are in no pair, nor are two of different
+    lengths; those with a square that is zero or not finite are compared row by row.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    rows = rows.withColumn("dim", F.size("v")).withColumn("plain", (square > 1e-100) & (square < 1e100))
+    good, odd = rows.where("plain"), rows.where("not plain")
+    blocks = good.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / VECTORS).cast("int").alias("blocks"))
+    dealt = good.join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("label", "dim", "block", "id", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("label", "dim", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "v")
+    pairs = dealt.groupBy("label", "dim", "i", "j").applyInArrow(_block_pairs(threshold), "a long, b long, cos double")
+    met = odd.select("label", F.col("id").alias("x"), F.col("v").alias("vx")).join(rows.select("label", F.col("id").alias("y"), F.col("v").alias("vy"), "plain"), "label")
+    met = met.where("x < y or plain and x > y").select("x", "y", cosine(F.col("vx"), F.col("vy")).alias("cos")).where(F.col("cos") >= threshold)
+    return pairs.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cos"))

@@ -191,22 +191,15 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-def _vector_pairs(spark, d):
-    """Pairs of one label: an equi-join on the label, never a cross join."""
-    a = _vectors(spark, d).select("label", F.col("vec_id").alias("a"), F.col("v").alias("va"))
-    b = _vectors(spark, d).select("label", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "label").where("a <> b").select("label", "a", "b", D.cosine(F.col("va"), F.col("vb")).alias("cos"))
-
-
 @query("ddp8_semantic_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_cos}, 6) AS cos FROM {_vec} a JOIN {_vec} b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_cos} >= 0.3")
 def ddp8_pairs(spark, d):
-    return _vector_pairs(spark, d).where("a < b and cos >= 0.3").select("a", "b", F.round("cos", 6).alias("cos"))
+    return D.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 0.3).select("a", "b", F.round("cos", 6).alias("cos"))
 
 
 @query("ddp8_semantic_dedup")
 def ddp8(spark, d):
     _checkpoints(spark)
-    return D.greedy_keep(table(spark, d, "embeddings"), _vector_pairs(spark, d).where("a < b and cos >= 0.3").select("a", "b"), "vec_id")
+    return D.greedy_keep(table(spark, d, "embeddings"), D.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 0.3).select("a", "b"), "vec_id")
 
 
 @query("ddp9_diversity", f"SELECT a.vec_id AS vec_id, round(1 - avg({_cos}), 6) AS diversity FROM {_vec} a JOIN {_vec} b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
