@@ -1,11 +1,19 @@
-"""What is held at a time: vectors that are compared."""
+"""What is held at a time: texts that are encoded, vectors that are compared."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import tokens
 from millrace.operators import dedup
 
 
+def test_texts_are_encoded_in_slices(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 10)
+    runs = list(tokens._slices(pd.Series(["abcd", None, "efghij", "k", "x" * 30, "", "y"], dtype=object)))
+    assert runs == [["abcd", "", "efghij"], ["k"], ["x" * 30], ["", "y"]]
+
+
 @pytest.mark.parametrize("size", [4, 4096])
 def test_cosine_pairs_of_blocks_are_those_of_a_join(spark, monkeypatch, size):
     monkeypatch.setattr(dedup, "VECTORS", size)
