@@ -58,20 +58,27 @@ def shingle_rows(df: DataFrame, key: str, text: str, n: int, extra: tuple[str, .
 def jaccard_pairs(df: DataFrame, key: str, text: str, group: str, n: int, threshold: float) -> DataFrame:
     """(a, b, similarity) of pairs in a group whose shingle sets have at least `threshold`.
 
-    Prefix filter: in the order of rising frequency, similar sets share one of their
-    first |x| - ceil(t |x|) + 1 shingles, so only those are joined.
+    Prefix filter: in the order of rising frequency, sets of sizes x and y that are similar
+    share at least o = threshold (x + y) / (1 + threshold) shingles, so the first that they
+    share is among the first x - o + 1 of the one and y - o + 1 of the other; only those are
+    joined. Shingles, with their group, are known by a 64-bit hash. Candidates meet as
+    whole sets, a row for each.
     """
     shared_folder(df.sparkSession)
-    rows = shingle_rows(df, key, text, n, (group,)).checkpoint()
+    places = shingle_places(df, key, text, n, (group,))
+    rows = places.select(key, group, F.xxhash64(group, "shingle").alias("shingle")).distinct().checkpoint()
     freq = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"))
     w = Window.partitionBy(key)
+    # a shingle of one row makes no pair, but takes up a place
     placed = rows.join(freq, "shingle").withColumn("size", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("f", "shingle")))
-    prefix = placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1)
-    a = prefix.select(F.col(key).alias("a"), group, "shingle", F.col("size").alias("na"))
-    b = prefix.select(F.col(key).alias("b"), group, "shingle", F.col("size").alias("nb"))
-    cand = a.join(b, [group, "shingle"]).where("a < b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9).select("a", "b", "na", "nb").distinct()
-    left, right = rows.select(F.col(key).alias("a"), "shingle"), rows.select(F.col(key).alias("b"), "shingle")
-    common = cand.join(left, "a").join(right, ["b", "shingle"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    prefix = placed.where("f > 1").where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1)
+    side = lambda i: prefix.select(F.col(key).alias(i), group, "shingle", F.col("size").alias("n" + i), F.col("place").alias("p" + i))
+    need = F.ceil(F.lit(threshold) * (F.col("na") + F.col("nb")) / F.lit(1 + threshold) - F.lit(1e-6))
+    near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("pa") <= F.col("na") - need + 1) & (F.col("pb") <= F.col("nb") - need + 1)
+    cand = side("a").join(side("b"), [group, "shingle"]).where("a < b").where(near).select("a", "b", "na", "nb").distinct().checkpoint()
+    ends = cand.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = rows.join(ends, key, "left_semi").groupBy(key).agg(F.collect_set("shingle").alias("s"))
+    common = cand.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("c"))
     return common.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
