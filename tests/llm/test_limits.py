@@ -67,3 +67,21 @@ def test_html_names_and_page_forms():
     assert kept(page)[0] == ["Text.", "More."]
     assert kept("<form action=x><MAIN><p>Text.</p></MAIN></form>")[0] == ["Text."]
     assert kept("<form><p>Ask</p></form><main><p>Text.</p></main>")[0] == ["Text."]
+
+
+def test_toxicity_words_stay_on_the_executors(spark, monkeypatch):
+    """Of the sample's words the driver gets those that a model chooses, not each row's whole set; an id with two texts is used once."""
+    from millrace.llm.toxicity import train_toxicity
+
+    rnd = random.Random(8)
+    rows = [(i, " ".join([f"w{rnd.randrange(10**6)}" for _ in range(300)] + [f"c{rnd.randrange(200)}" for _ in range(100)] + ["vile"] * (i % 5 == 0))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (5, "another text of this id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0), int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    sent, plain = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: (sent.append((out := plain(df)).nbytes), out)[1])
+    chain = train_toxicity(docs, labels)
+    assert 0 < sum(sent) < 8 * sum(len(set(t.split())) for _, t in rows) / 4, sent
+    again = train_toxicity(docs.repartition(3), labels)
+    for one, other in zip(chain.models, again.models, strict=True):
+        assert (one.words == other.words).all() and (one.weights == other.weights).all()
+    assert chain.threshold == again.threshold
