@@ -69,9 +69,12 @@ def _length(completion: Column, target: Column) -> Column:
 
 
 def _no_repeat(completion: Column) -> Column:
-    w = _words(completion)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))
-    return F.when(F.size(w) < 4, 1.0).otherwise(F.size(F.array_distinct(grams)) / (F.size(w) - 2))
+    def share(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))
+        return F.when(F.size(w) < 4, 1.0).otherwise(F.size(F.array_distinct(grams)) / (F.size(w) - 2))
+
+    # the outer array binds the words once; else each gram would split the text again
+    return F.element_at(F.transform(F.array(_words(completion)), share), 1)
 
 
 #: name -> reward of (completion, reference, target_words); rewards that run code aren't here
