@@ -78,8 +78,9 @@ def evl9_compare(spark, d):
 def src8_zstd(spark, d):
     """Documents as zstd JSON lines in a seeded order, read back and counted."""
     path = scratch(spark, "zst")
-    lines = table(spark, d, "documents").select(F.to_json(F.struct("doc_id", "lang", "text")).alias("value"))
-    Z.write_zstd_lines(Z.shuffled(lines, "value", "mix", 6), path)
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.to_json(F.struct("doc_id", "lang", "text")).alias("value"))
+    Z.write_zstd_lines(Z.shuffled(lines, "value", "mix", Z.file_count(docs, "text", 6)), path)
     rows = Z.read_zstd_lines(spark, path).select(F.from_json("value", "doc_id long, lang string, text string").alias("x")).select("x.*")
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.count_distinct("doc_id").alias("docs"))
 

@@ -138,6 +138,15 @@ def read_zstd_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("zstd_lines").option("path", path).load()
 
 
+FILE_BYTES = 64 << 20  # of text, before compression
+
+
+def file_count(rows: DataFrame, column: str, least: int = 1) -> int:
+    """Files for a text column: one for every FILE_BYTES of it, as a file is written by one task and read by one."""
+    size = rows.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+    return max(least, -(-size // FILE_BYTES))
+
+
 def shuffled(lines: DataFrame, column: str, seed: str, files: int) -> DataFrame:
     """`lines` in an order that depends on the seed and the lines alone, cut into about `files` ranges of it.
 
