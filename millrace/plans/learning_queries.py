@@ -135,7 +135,7 @@ def _census_of(spark, d):
     fields = F.struct(F.when(F.col("doc_id") % 4 != 1, F.col("doc_id") % 6).alias("metadata.int_score"), F.when(F.col("doc_id") % 5 != 2, F.col("doc_id") / 8.0).alias("metadata.score"), F.coalesce("text", F.lit("")).alias("text"))
     lines = docs.select(F.col("doc_id").alias("row_index"), F.to_json(fields).alias("raw"))
     excluded = docs.where("doc_id % 9 = 4").select(F.col("doc_id").alias("row_index"))
-    binding = C.Binding(lines.count(), excluded.count(), C.multiset_digest(lines.repartition(5), "raw").first()["digest"])
+    binding = C.Binding(lines.count(), excluded.count(), C.multiset_digest(lines, "raw").first()["digest"])
     words = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
     return C.census(lines, excluded, binding, lambda c: T.strip(T.normalise(c)), words, I.fingerprint, "text", "metadata.int_score", "metadata.score", 40)
 
