@@ -21,7 +21,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, doc_id, pos, line) of the lines that aren't blank; key stands for id and text."""
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))  # below the explode, else a text is hashed once for each of its lines
+    rows = rows.select("key", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rows.select("key", "doc_id", "pos", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
