@@ -178,15 +178,20 @@ def require_release(spark: SparkSession, path: str) -> None:
         raise ReleaseError(f"{path}: " + "; ".join(f"{r['kind']} in {r['split']}" + (f", shard {r['shard']}" if r["shard"] is not None else "") for r in faults))
 
 
+def unpack_shards(batches, kind: str, step: int):
+    """(split, start, ids) of shards (split, shard, data), one at a time: besides the batch a task holds the ids of one shard."""
+    for b in batches:
+        for row in range(b.num_rows):
+            split, shard, data = (b.column(k)[row] for k in range(3))
+            ids = np.frombuffer(data.as_buffer(), kind).astype(np.int32)
+            runs = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array([split.as_py()], pa.string()), pa.array([shard.as_py() * step]), runs], ["split", "start", "ids"])
+
+
 def release_ids(spark: SparkSession, path: str) -> DataFrame:
     """(split, start, ids) of a release that `require_release` accepts: a run for each shard."""
     require_release(spark, path)
     meta = spark.read.schema(META).json(f"{path}/meta").first()
     kind, step = "<u2" if meta["dtype"] == "uint16" else "<u4", meta["shard_tokens"]
-
-    def unpack(batches):
-        for b in batches:
-            for split, shard, data in zip(*(b.column(k).to_pylist() for k in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array([split], pa.string()), pa.array([shard * step]), pa.array([np.frombuffer(data, kind).astype(np.int32)], pa.list_(pa.int32()))], ["split", "start", "ids"])
-
-    return spark.read.parquet(f"{path}/shards").select("split", "shard", "data").mapInArrow(unpack, "split string, start long, ids array<int>")
+    shards = spark.read.parquet(f"{path}/shards").select("split", "shard", "data")
+    return shards.mapInArrow(lambda batches: unpack_shards(batches, kind, step), "split string, start long, ids array<int>")

@@ -55,3 +55,25 @@ def test_metric_lines_are_parsed_once(spark, monkeypatch):
     monkeypatch.setattr(V, "compare_runs", lambda metrics, *a: (seen.append(plan(metrics)), plain(metrics, *a))[1])
     assert QUERIES["evl9_run_comparison"](spark, "/root/testdata/sf0.001").count() > 0
     assert "parse_json" not in seen[0]
+
+
+def test_shards_are_unpacked_one_at_a_time():
+    """4,000 shards of 8 kB in one batch: Python's own copies stay far below the batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.sources import release as R
+
+    data = np.arange(4096, dtype="<u2").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(["train"] * 4000), pa.array(range(4000)), pa.array([data] * 4000, pa.binary())], ["split", "shard", "data"])
+    tracemalloc.start()
+    n = 0
+    for out in R.unpack_shards([batch], "<u2", 4096):
+        assert out["start"][0].as_py() == 4096 * n and len(out["ids"][0]) == 4096
+        n += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 and peak < batch.nbytes / 8
+    print("peak bytes", peak)
