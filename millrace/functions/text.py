@@ -76,7 +76,8 @@ def squeeze(c: Column) -> Column:
 
 def normalise(c: Column) -> Column:
     """Line ends as newlines; no zero-width characters, NULs or other controls but tab and newline."""
-    return rx(rx(c, "\r\n?", "\n"), r"[\u200B-\u200D\uFEFF\x00-\x08\x0B\x0C\x0E-\x1F]")
+    # the left class tells most characters apart by two comparisons
+    return rx(rx(c, "\r\n?", "\n"), r"[[\x00-\x1F\u200B-\uFEFF]&&[\u200B-\u200D\uFEFF\x00-\x08\x0B\x0C\x0E-\x1F]]+")
 
 
 def normalise_minimal(c: Column) -> Column:
@@ -95,10 +96,13 @@ def ascii_quotes(c: Column) -> Column:
 def normalise_lines(c: Column, quotes: bool = True, underscores: bool = True, leading_noise: bool = True) -> Column:
     """Spaces and tabs of a line as one space, none at its end; optional ASCII quotes, underscore runs
     as a space, and up to 32 odd characters off the front."""
-    out = rx(rx(c, "\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    out = rx(rx(c, "\r\n?", "\n"), r"[[\x00-\x1F]&&[^\t\n\r]]+")
     if quotes:
         out = ascii_quotes(out)
-    out = strip(rx(rx(out, r"[ \t]+", " "), rf"{_BLANK}+\n", "\n"))
+    out = rx(out, r"[ \t]{2,}|\t", " ")  # single spaces stay as they are
+    # newlines are found first, as few have blanks before them; the array binds the text once
+    tidy = lambda x: F.when(x.rlike(rf"(?<={_BLANK})\n"), rx(x, rf"{_BLANK}++\n", "\n")).otherwise(x)
+    out = strip(F.element_at(F.transform(F.array(out), tidy), 1))
     if underscores:
         out = strip(rx(out, "_{4,}", " "))
     if leading_noise:
@@ -107,7 +111,7 @@ def normalise_lines(c: Column, quotes: bool = True, underscores: bool = True, le
 
 
 def ascii_share(c: Column, empty: float = 0.0) -> Column:
-    return F.when(c == "", F.lit(empty)).otherwise(F.length(rx(c, r"[^\x00-\x7F]")) / F.length(c))
+    return F.when(c == "", F.lit(empty)).when(F.octet_length(c) == F.length(c), F.lit(1.0)).otherwise(F.length(rx(c, r"[^\x00-\x7F]+")) / F.length(c))
 
 
 def contract_clean(c: Column, underscores: str = "keep", min_chars: int = 0, min_ascii: float = 0.0, quotes: bool = True, leading_noise: bool = True) -> Column:
@@ -193,11 +197,12 @@ def python_block(c: Column) -> Column:
 
 def symbol_share(c: Column) -> Column:
     """Characters that are neither letters, numbers nor white space."""
-    return F.when(c == "", F.lit(0.0)).otherwise(F.length(rx(c, rf"[\p{{L}}\p{{N}}{_SPACE_CLASS}]")) / F.length(c))
+    return F.when(c == "", F.lit(0.0)).otherwise(F.length(rx(c, rf"[a-z[\p{{L}}\p{{N}}{_SPACE_CLASS}]]+")) / F.length(c))
 
 
 def url_density(c: Column) -> Column:
-    return F.when(c == "", F.lit(0.0)).otherwise(count(c, URL) / F.length(c))
+    maybe = c.contains("://") | c.rlike(r"(?i)www\.")
+    return F.when((c == "") | ~maybe, F.lit(0.0)).otherwise(count(c, URL) / F.length(c))
 
 
 def short_line_share(c: Column, most: int = 30) -> Column:
@@ -206,22 +211,24 @@ def short_line_share(c: Column, most: int = 30) -> Column:
 
 
 def menu_hits(c: Column) -> Column:
-    return count(c, rf"(?i)\b(?:{MENU_WORDS})\b")
+    first = "".join(sorted({word[0] for word in MENU_WORDS.split("|")}))  # most words begin otherwise
+    return count(c, rf"(?i)(?=[{first}])\b(?:{MENU_WORDS})\b")
 
 
 def html_units(c: Column) -> Column:
     """Tags and half the entities, per character."""
-    return F.when(c == "", F.lit(0.0)).otherwise((count(c, "<[^>]{1,200}>") + 0.5 * count(c, "&[a-zA-Z]{2,10};")) / F.length(c))
+    tags, entities = (F.when(c.contains(mark), count(c, pattern)).otherwise(0) for mark, pattern in (("<", "<[^>]{1,200}>"), ("&", "&[a-zA-Z]{2,10};")))
+    return F.when(c == "", F.lit(0.0)).otherwise((tags + 0.5 * entities) / F.length(c))
 
 
 def is_html_heavy(c: Column, most: float) -> Column:
-    known = c.rlike(rf"(?i)</?(?:{HTML_TAGS})\b")
+    known = c.contains("<") & c.rlike(rf"(?i)</?(?:{HTML_TAGS})\b")
     return html_units(c) > F.when(known, F.lit(most * 0.5)).otherwise(F.lit(most))
 
 
 def has_filler(c: Column) -> Column:
     """Long runs of underscores, dots, dashes or equals signs."""
-    return c.rlike(r"_{20,}|\.{20,}|-{30,}|={30,}")
+    return any_of(c, ("_" * 20, "." * 20, "-" * 30, "=" * 30))
 
 
 def has_repeats(c: Column) -> Column:
@@ -234,7 +241,7 @@ def is_menu(c: Column, share: float, hits: int) -> Column:
 
 
 def first_line(c: Column) -> Column:
-    return F.coalesce(F.get(full_lines(c), F.lit(0)), F.when(c.isNotNull(), F.lit("")))
+    return rstrip(F.substring_index(F.ltrim(c, F.lit(SPACES)), "\n", 1))
 
 
 def head_label(c: Column) -> Column:
@@ -311,7 +318,7 @@ def code_line_share(c: Column, most: int = 220) -> Column:
 
 
 def letter_share(c: Column) -> Column:
-    return F.length(rx(c, r"[^\p{L}]")) / F.greatest(F.lit(1), F.length(c))
+    return F.length(rx(c, r"[^a-z\p{L}]+")) / F.greatest(F.lit(1), F.length(c))
 
 
 # ---- instruction-data features

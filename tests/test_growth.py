@@ -77,3 +77,40 @@ def test_shards_are_unpacked_one_at_a_time():
     tracemalloc.stop()
     assert n == 4000 and peak < batch.nbytes / 8
     print("peak bytes", peak)
+
+
+def test_text_rules_scan_each_text_few_times(spark):
+    """First lines aren't found by splitting whole texts, single spaces and letters aren't replaced one by one; values are those of the plain forms."""
+    import re
+
+    from millrace.functions import text as T
+
+    rnd = random.Random(9)
+    alphabet = list("ab Z9_.-=<>&;/:\t\n\n\r  \x00\x0b\x1c\x85\xa0  ​﻿“’é漢😀") + ["www.", "https://", "home", "Cookies ", "&amp;", "<p>"]
+    texts = ["", " ", "\n\n", "é", "a", "\x85\n x \n", None] + ["".join(rnd.choices(alphabet, k=rnd.randrange(1, 40))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    x = F.col("x")
+    out = rows.select(
+        "x", T.first_line(x).alias("first"), T.normalise(x).alias("normal"), T.normalise_lines(x, leading_noise=False).alias("lines"), T.ascii_share(x).alias("ascii"), T.symbol_share(x).alias("symbols"),
+        T.letter_share(x).alias("letters"), T.menu_hits(x).alias("menu"), T.url_density(x).alias("urls"), T.html_units(x).alias("html"),
+    )
+    blank = T._BLANK
+    share = lambda v, pattern: len(re.sub(pattern, "", v)) / len(v) if v else 0.0
+    for r in out.collect():
+        v = r["x"]
+        if v is None:
+            assert (r["first"], r["normal"], r["lines"]) == (None, None, None)
+            continue
+        assert r["first"] == next((p for p in (q.strip(T.SPACES) for q in v.split("\n")) if p), ""), repr(v)
+        plain = re.sub("\r\n?", "\n", v)
+        assert r["normal"] == re.sub("[​-‍﻿\x00-\x08\x0b\x0c\x0e-\x1f]", "", plain), repr(v)
+        quotes = re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "", plain).translate(str.maketrans(T.QUOTES_FROM, T.QUOTES_TO))
+        tidy = re.sub(rf"{blank}+\n", "\n", re.sub("[ \t]+", " ", quotes)).strip(T.SPACES)
+        assert r["lines"] == re.sub("_{4,}", " ", tidy).strip(T.SPACES), repr(v)
+        assert r["ascii"] == share(v, r"[^\x00-\x7F]") and r["symbols"] == share(v, rf"[^\W_]|[{T._SPACE_CLASS}]"), repr(v)
+        assert r["letters"] == len([c for c in v if c.isalpha()]) / max(1, len(v)), repr(v)
+        assert r["menu"] == len(re.findall(rf"(?i)\b(?:{T.MENU_WORDS})\b", v)), repr(v)
+        assert r["urls"] == (len(re.findall(T.URL, v)) / len(v) if v else 0.0), repr(v)
+        assert r["html"] == ((len(re.findall("<[^>]{1,200}>", v)) + 0.5 * len(re.findall("&[a-zA-Z]{2,10};", v))) / len(v) if v else 0.0), repr(v)
+    assert "split(" not in plan(rows.select(T.head_label(x)))
+    assert "_{20,}" not in plan(rows.select(T.has_filler(x)))
