@@ -117,9 +117,10 @@ def masked_blocks(runs: DataFrame, size: int, begin: int, end: int, mask_last: b
     them is left out. The mask is 0 where the label begins a document, where it ends one for the second time
     in a row, and with `mask_last` at the last label. A task holds the ids of one block.
     """
-    full = runs.where(F.size("ids") > 0).select("split", "start", "ids", (F.col("start") + F.size("ids") - 1).alias("stop"))
+    # no filter on ids and no explode that Spark puts one before: such filters go below and make the ids once more each
+    full = runs.select("split", "start", "ids", (F.col("start") + F.size("ids") - 1).alias("stop"))
     # an id on a block's edge belongs to two blocks
-    cut = full.select("split", "start", "ids", F.explode(F.sequence(F.greatest(F.lit(0), F.expr(f"(start - 1) div {size}L")), F.expr(f"stop div {size}L"))).alias("block"))
+    cut = full.select("split", "start", "ids", F.explode_outer(F.sequence(F.greatest(F.lit(0), F.expr(f"(start - 1) div {size}L")), F.expr(f"stop div {size}L"))).alias("block"))
     low = F.greatest(F.col("block") * size, F.col("start"))
     high = F.least((F.col("block") + 1) * size, F.col("start") + F.size("ids") - 1)
     pieces = cut.where(low <= high).select("split", "block", low.alias("at"), F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low + 1).cast("int")).alias("ids"))

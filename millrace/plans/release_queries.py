@@ -39,7 +39,9 @@ def streams(spark: SparkSession, d: str) -> DataFrame:
     split = F.when(I.holdout(F.col("text"), (95, 5)), "val").otherwise("train")
     # narrow rows are put in order, then texts meet their starts
     narrow = docs.select(split.alias("split"), "doc_id", count.alias("n"), I.rank(7, "stage_a", F.col("source"), I.fingerprint(F.col("text"))).alias("rank"))
-    starts = S.running_total(narrow, ["split"], ["rank", "doc_id"], "n").select("split", "doc_id", (F.col("running") - F.col("n")).alias("start"))
+    path = scratch(spark, "narrow")
+    narrow.write.parquet(path)  # read twice: texts are counted and hashed once
+    starts = S.running_total(spark.read.parquet(path), ["split"], ["rank", "doc_id"], "n").select("split", "doc_id", (F.col("running") - F.col("n")).alias("start"))
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([\p{L}\p{N}]+)"))
     ids = F.transform(words, lambda w: F.conv(F.left(F.md5(w), F.lit(4)), 16, 10).cast("int"))
     return docs.select("doc_id", "text").join(starts, "doc_id").select("split", "start", F.concat(F.array(F.lit(1)), ids, F.array(F.lit(2))).alias("ids"))

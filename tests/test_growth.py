@@ -114,3 +114,21 @@ def test_text_rules_scan_each_text_few_times(spark):
         assert r["html"] == ((len(re.findall("<[^>]{1,200}>", v)) + 0.5 * len(re.findall("&[a-zA-Z]{2,10};", v))) / len(v) if v else 0.0), repr(v)
     assert "split(" not in plan(rows.select(T.head_label(x)))
     assert "_{20,}" not in plan(rows.select(T.has_filler(x)))
+
+
+def test_stream_texts_are_hashed_once(spark):
+    """What puts documents in order is written; before, each of its two readers counted the words and hashed the texts again."""
+    from millrace.plans.release_queries import streams
+
+    out = streams(spark, "/root/testdata/sf0.001")
+    assert "sha2(" not in plan(out) and out.count() > 0
+
+
+def test_block_masks_make_ids_once(spark):
+    """The words of a text are hashed in one place of the plan; before, a filter on the size of the ids hashed them again."""
+    from millrace.operators import learning as L
+    from millrace.plans import QUERIES
+
+    assert plan(QUERIES["pck3_block_masks"](spark, "/root/testdata/sf0.001")).count("md5(") == 1
+    runs = spark.createDataFrame([("t", 0, [1, 2]), ("t", 2, []), ("t", 2, None), ("t", 2, [1, 9, 2])], "split string, start long, ids array<int>")
+    assert [(r["block"], r["ids"], r["labels"]) for r in L.masked_blocks(runs, 2, 1, 2).orderBy("block").collect()] == [(0, [1, 2], [2, 1]), (1, [1, 9], [9, 2])]
