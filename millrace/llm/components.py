@@ -70,13 +70,19 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     named = sets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     home = labels.select(F.col("id").alias("hub"), F.col("component").alias("home"))
     named = named.join(home, "hub", "left").withColumn("home", F.coalesce("home", "hub"))
-    named = materialise(named.withColumn("d", F.size("apart").cast("long")).drop("hub"), "named")
+    # a group whose sets are all linked by now makes no pairs
+    mixed = named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("grp")
+    named = named.withColumn("d", F.size("apart").cast("long")).drop("hub").join(mixed, "grp", "left_semi")
+    # the last places from which a set can meet others, as x and as y below
+    last = f"greatest(if(s + hub_s > 0, d - ceil((s + hub_s) / {twice}) + 1, 0), d - greatest(1, ceil(if(component = home, s - hub_s + 1, 2 * s) / {twice})) + 1)"
+    named = materialise(named.withColumn("last", F.expr(last)), "named")
     rows = named.select("grp", "id", "component", F.explode("apart").alias("gram"))
     spread = rows.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
     spread = materialise(spread.select("grp", "gram", "df", (F.col("low") < F.col("high")).alias("open")), "spread")
     listed = rows.join(spread, ["grp", "gram"]).groupBy("grp", "id").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "open"))).alias("g"))
-    at = listed.select("grp", "id", F.posexplode("g").alias("at", "x")).where("x.open").select("grp", "id", (F.col("at") + 1).alias("at"), F.col("x.gram").alias("gram"))
-    places = materialise(at.join(named.drop("apart"), ["grp", "id"]), "places")
+    listed = listed.join(named.drop("apart"), ["grp", "id"]).where("last > 0")
+    kept = F.filter(F.transform("g", lambda x, i: F.struct((i + 1).alias("at"), x["gram"].alias("gram"), x["open"].alias("open"))), lambda x: x["open"] & (x["at"] <= F.col("last")))
+    places = materialise(listed.withColumn("g", kept).select(*[c for c in named.columns if c not in ("apart", "last")], F.inline("g")).drop("open"), "places")
     side = lambda p: places.select("grp", "gram", *[F.col(c).alias(p + c) for c in ("id", "component", "n", "d", "s", "hub_s", "home", "at")])
     x = side("x_").where(f"x_s + x_hub_s > 0 and x_at <= x_d - ceil((x_s + x_hub_s) / {twice}) + 1")
     y = side("y_").where(f"y_at <= y_d - greatest(1, ceil(if(y_component = y_home, y_s - y_hub_s + 1, 2 * y_s) / {twice})) + 1")

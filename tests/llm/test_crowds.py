@@ -39,3 +39,33 @@ def test_near_copies_that_differ_too_much_make_few_pairs(spark):
     assert got == want
     assert len(set(want.values())) > 50  # many stay alone
     assert sum(asked) < 4 * len(sets), asked
+
+
+def test_only_places_that_can_meet_are_listed(spark, monkeypatch):
+    """Unrelated sets of one crowded bucket: most of their n-grams lie behind the last place at which a link could show. Before, each was a row."""
+    from millrace.llm import components as C
+
+    rng = random.Random(6)
+    sets = {i: frozenset(rng.sample(range(400), 50)) for i in range(60)}
+    sets[60], sets[61] = sets[3] - {min(sets[3])}, sets[5] | {1000, 1001}
+    grams = spark.createDataFrame([(i, g) for i, s in sets.items() for g in sorted(s)], "id long, gram long")
+    arrays = grams.groupBy("id").agg(F.collect_list("gram").alias("g")).cache()
+
+    def verify(pairs):
+        both = pairs.join(arrays.toDF("a", "ga"), "a").join(arrays.toDF("b", "gb"), "b")
+        return both.select("a", "b", (100 * F.size(F.array_intersect("ga", "gb")) >= 80 * F.size(F.array_union("ga", "gb"))).alias("linked"))
+
+    listed, plain = [], C.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "places":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "materialise", counted)
+    shared = spark.createDataFrame([(1, i, 1) for i in sets], "bucket long, id long, k int")
+    out = C.components_from_buckets(shared, lambda rows: grams.join(rows, "id", "left_semi"), verify, 80).collect()
+    got = {r["id"]: r["component"] for r in out}
+    assert {i: c for i, c in got.items() if c != i} == {60: 3, 61: 5}
+    assert 0 < listed[0] < len(sets) * 50 // 3, listed
