@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_right
 
 import numpy as np
@@ -11,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mixed
-from .components import components_from_buckets, merged
+from .components import KIND, SINGLE, agreeing, components_from_buckets, merged
 from .runtime import discard, materialise
 from .words import shingle_hashes, text_chunks, word_hashes
 
 OVERLAP_FRAGMENTS = 8
+AGREE = 3  # equal fragments of linked sets that are signed, at least
+TINY = 24  # sizes of bands below which it is one: such sets have hardly more n-grams than that
 
 
 def size_bands(percent: int, largest: int) -> list[int]:
@@ -35,28 +36,39 @@ _BANDS = {p: size_bands(p, 1 << 40) for p in (80, 90)}
 
 
 def fragment_cuts(largest: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fragments, slack) for sets of a band up to size `largest`: one more than linked sets may differ by, and the slack.
+    """(fragments, slack) for sets of a band up to size `largest`: AGREE more than linked sets may differ by (one, if they are tiny), and the slack.
 
-    The slack is well above the number of fragments that are empty by chance in the
-    smallest sets that are cut so, which have percent**2 of the largest size.
+    The slack is five deviations above the number of fragments that are empty by chance in the
+    smallest sets that are cut so, which have percent**2 of the largest size. Sets with more
+    share their empty fragments, and with a slack that is little above the number they are a
+    share of all sets and make crowds.
     """
     differ = 2 * largest * (100 - percent) // (100 + percent)
-    t = percent / 100
-    empty = math.exp(-t * t * (1 + t) / (2 * (1 - t))) if t < 1 else 0.0
-    slack = 2 + (1.8 * empty * differ).astype(np.int64)
-    return differ + 1 + slack, slack
+    agree = np.where(largest < TINY, 1, AGREE)
+    smallest = np.maximum(1, largest * (percent / 100) ** 2)
+    slack = np.full(len(largest), 2, np.int64)
+    for _ in range(40):  # more fragments leave more of them empty
+        cuts = differ + agree + slack
+        fill = smallest / cuts
+        empty = cuts * np.exp(-fill)
+        spread = np.sqrt(np.maximum(0, empty * (1 - (1 + fill) * np.exp(-fill))))
+        slack = np.maximum(slack, np.minimum(2 * largest, np.ceil(empty + 5 * spread).astype(np.int64)))
+    return differ + agree + slack, slack
 
 
 def fragment_signatures(shingles: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int):
     """(owner, signature) of every set's fragments.
 
     The global order of n-grams is that of their hashes. For sets of one band the
-    order is cut into more fragments than linked sets may differ by, so more than
-    `slack` fragments of linked sets are equal, and a fragment is known by the
+    order is cut into more fragments than linked sets may differ by, so at least
+    `slack` and AGREE fragments of linked sets are equal, and a fragment is known by the
     hash of its n-grams. A set is signed under its own band's cut and under the
     next band's. Empty fragments, which unrelated sets share, are signed only by
-    the rare sets with more than `slack` of them: otherwise a linked pair has an
-    equal fragment that isn't empty.
+    the rare sets with more than `slack` of them: otherwise a linked pair has AGREE
+    equal fragments that aren't empty. Sets that share one frequent n-gram by chance
+    seldom have a second equal fragment. The two lowest bits of a signature
+    are those of `components.agreeing`: SINGLE if one equal fragment is enough, as of
+    tiny sets, and KIND, which tells apart the cuts that linked sets can share.
     """
     bands = _BANDS.setdefault(percent, size_bands(percent, 1 << 40))
     full = np.flatnonzero(sizes > 0)
@@ -66,8 +78,8 @@ def fragment_signatures(shingles: np.ndarray, owner: np.ndarray, sizes: np.ndarr
         upper = np.array([bands[b + step + 1] - 1 for b in band_of], np.int64)
         cuts, slack = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         cuts[full], slack[full] = fragment_cuts(upper, percent)
-        band = np.zeros(len(sizes), np.int64)
-        band[full] = band_of + step
+        band, upper_of = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        band[full], upper_of[full] = band_of + step, upper
         first = np.cumsum(cuts) - cuts
         with np.errstate(over="ignore"):
             at = ((shingles >> np.uint64(32)) * cuts[owner].astype(np.uint64)) >> np.uint64(32)
@@ -83,7 +95,8 @@ def fragment_signatures(shingles: np.ndarray, owner: np.ndarray, sizes: np.ndarr
         many = np.bincount(who, weights=empty, minlength=len(sizes)) > slack
         keep = ~empty | many[who]
         out_o.append(who[keep])
-        out_s.append(mixed(signature[keep]))
+        marks = np.where(upper_of < TINY, SINGLE, 0) | np.where(band & 1, KIND, 0)
+        out_s.append(mixed(signature[keep]) & ~np.uint64(SINGLE | KIND) | marks[who[keep]].astype(np.uint64))
     return np.concatenate(out_o), np.concatenate(out_s)
 
 
@@ -184,7 +197,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the smallest id reachable by links.
 
     Vertical partitioning: the global n-gram order is cut into fragments. Sets
-    that agree on a whole fragment are candidates (linked sets always do, see
+    that agree on several whole fragments are candidates (linked sets always do, see
     `fragment_signatures`); their overlaps are counted fragment by fragment and
     summed per pair. Equal sets are one node from the start, and candidates come
     from `components_from_buckets`, so neither copies nor near copies are
@@ -204,7 +217,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     twice = keyed.join(twice, "id").where("node <> a").select("a", F.col("node").alias("b"))
 
     signed = _signatures(plain.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), n, percent)
-    shared = materialise(signed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_runs, "bucket long, id long"), "shared")
+    met = materialise(signed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_runs, "bucket long, id long"), "shared")
+    shared = materialise(agreeing(met, AGREE), "shared")
+    discard(met)
 
     nodes = shared.select(F.col("id").alias("node")).distinct()
     wanted = materialise(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "wanted")
@@ -223,7 +238,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     held = shared.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     narrow, shared = shared, materialise(shared.join(held, "id"), "shared")
     discard(narrow)
-    labels = merged(components_from_buckets(shared, grams_of, verify, percent), twice)
+    labels = merged(components_from_buckets(shared, grams_of, verify, percent, AGREE), twice)
     # the smallest id of each component, by nodes; each step is written, so that Spark can split a large component or class
     reps = materialise(classes.groupBy("node").agg(F.min("rep").alias("rep")), "reps")
     named = materialise(reps.join(labels.select(F.col("id").alias("node"), "component"), "node").select("node", "component", "rep"), "named")

@@ -69,3 +69,83 @@ def test_only_places_that_can_meet_are_listed(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in out}
     assert {i: c for i, c in got.items() if c != i} == {60: 3, 61: 5}
     assert 0 < listed[0] < len(sets) * 50 // 3, listed
+
+
+def test_unrelated_sets_share_no_fragments_and_linked_ones_several():
+    """Before, a tenth of the sets at a band's lower end signed their empty fragments, which they all shared."""
+    import numpy as np
+
+    from millrace.llm.components import KIND, SINGLE
+    from millrace.llm.ngram_join import AGREE, fragment_signatures
+
+    rng = np.random.default_rng(7)
+
+    def signed(sets, percent):
+        grams = [np.sort(s) for s in sets]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        who, signature = fragment_signatures(np.concatenate(grams), owner, np.array([len(s) for s in sets]), percent)
+        return [set(signature[who == i].tolist()) for i in range(len(sets))]
+
+    new = lambda n: rng.integers(0, 2**64, n, np.uint64)
+    alone = signed([new(n) for n in range(100, 160) for _ in range(5)], 80)
+    seen = {}
+    for i, found in enumerate(alone):
+        for x in found:
+            seen.setdefault(x, set()).add(i)
+    assert sum(len(x) > 1 for x in seen.values()) < 5
+    for percent in (80, 90):
+        for n in (1, 2, 3, 5, 8, 13, 22, 23, 24, 29, 47, 73, 128, 146, 300, 1000):
+            for _ in range(12):
+                a = new(n)
+                d = (2 * n * (100 - percent) // (100 + percent)) if n > 4 else 0
+                keep = n - int(rng.integers(0, d // 2 + 1))  # the differences on either side, or all on one
+                b = np.append(a[:keep], new(n - keep))
+                if rng.random() < 0.5:
+                    b = a[: -(-n * percent // 100)]
+                both = len(set(a.tolist()) & set(b.tolist()))
+                if 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+                x, y = signed([a, b], percent)
+                common = x & y
+                kinds = [sum(not c & SINGLE and c & KIND == k for c in common) for k in (0, KIND)]
+                assert max(kinds) >= AGREE or any(c & SINGLE for c in common), (percent, n, kinds)
+
+
+def test_crowds_that_share_one_bucket_make_no_pairs(spark):
+    """Ids of crowded buckets: linked ones meet in three, others in one or two. Before, all n-grams of the crowd were listed."""
+    rng, sets, rows = random.Random(9), {}, []
+    for i in range(120):
+        sets[i] = frozenset(rng.sample(range(100_000), 40))
+    for i, base in ((120, 3), (121, 3), (122, 8), (123, 9), (124, 10)):
+        sets[i] = sets[base] - {min(sets[base])}
+    alike = {120: 3, 121: 3, 122: 8, 123: 9, 124: 10}
+    crowds = [4 * b for b in range(1, 9)]  # of one kind
+    of = {i: set(rng.sample(crowds, 2)) for i in range(120)}
+    of[3], of[8], of[9] = set(crowds[:3]), set(crowds[1:4]), {crowds[0], crowds[1], 4000}  # small ones count too
+    of[10] = {crowds[0], 4001}  # SINGLE
+    for i, base in alike.items():
+        of[i] = of[base]
+    rows = [(b, i) for i in of for b in of[i]]
+    of_many = [(4 * b, 7) for b in range(2000, 2020)] + [(4 * b, 11) for b in range(2000, 2020)]
+    rows = sorted({*rows, *of_many})
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    grams = spark.createDataFrame([(i, g) for i, s in sets.items() for g in sorted(s)], "id long, gram long")
+    arrays = grams.groupBy("id").agg(F.collect_list("gram").alias("g")).cache()
+    asked, listed = [], []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        both = pairs.join(arrays.toDF("a", "ga"), "a").join(arrays.toDF("b", "gb"), "b")
+        return both.select("a", "b", (100 * F.size(F.array_intersect("ga", "gb")) >= 80 * F.size(F.array_union("ga", "gb"))).alias("linked"))
+
+    def grams_of(some):
+        out = grams.join(some, "id", "left_semi")
+        listed.append(out.count())
+        return out
+
+    shared = spark.createDataFrame(rows, "bucket long, id long")
+    held = shared.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    out = components_from_buckets(shared.join(held, "id"), grams_of, verify, 80, 3).collect()
+    assert linked(120, 3) and linked(124, 10) and not linked(3, 8)
+    assert {r["id"]: r["component"] for r in out if r["component"] != r["id"]} == alike
+    assert sum(asked) < 40 and sum(listed) < 500, (asked, listed)
