@@ -179,8 +179,7 @@ def ddp7_pairs(spark, d):
 @query("ddp7_lexical_dedup")
 def ddp7(spark, d):
     _checkpoints(spark)
-    docs = _docs(spark, d)
-    return D.greedy_keep(docs, D.jaccard_pairs(docs, "doc_id", "text", "source", 3, 0.95), "doc_id")
+    return D.greedy_similar(_docs(spark, d), "doc_id", "text", "source", 3, 0.95)
 
 
 _cos = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))"
