@@ -97,3 +97,16 @@ def test_near_copies_are_not_sent_for_each_pair(spark):
     before = shuffled(spark)
     assert D.jaccard_pairs(df, "id", "text", "source", 3, 0.6).count() > 10_000
     assert shuffled(spark) - before < 6 * sum(len(r[1]) for r in rows)  # two sets of 398 hashes for each of 11,000 pairs are 100 times as much
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from millrace.llm.runtime import materialise
+
+    df = spark.range(20_000).repartition(4).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    for write in (tables.written, materialise):
+        before = shuffle_files(spark)
+        assert write(df, "rows").count() == 7
+        # the count's own files may stay
+        write(df, "rows")
+        assert len([f for f in shuffle_files(spark) - before if f.endswith(".data")]) <= 1
+    assert spark.conf.get(tables.CLEANUP, None) is None
